@@ -5,15 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_counts
+from . import packing, token_counts
 from .common import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=2048, end_id=1)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
-QUERIES = {"op2_token_counts": op2_token_counts}
+QUERIES = {"op1_packing": op1_packing, "op2_token_counts": op2_token_counts}
 
 ORACLES: dict[str, str] = {}
