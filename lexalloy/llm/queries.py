@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_counts
+from . import decontamination, packing, token_counts
 from .common import table
 
 
@@ -18,6 +19,27 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_token_counts": op2_token_counts}
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, one_in=20)
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
 
-ORACLES: dict[str, str] = {}
+
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, w[s : s + 12] AS p FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(s) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT len(p) AS n FROM windows),
+places AS (SELECT row, s, n, w[s : s + n - 1] AS p FROM d, lengths, unnest(range(1, len(w) - n + 2)) AS t(s) WHERE len(w) >= n),
+hits AS (SELECT row, s, n, item_id FROM places JOIN windows USING (p)),
+hit_words AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT row, s, n FROM hits), unnest(range(s, s + n)) AS t(k) GROUP BY row),
+hit_items AS (SELECT row, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)
+"""
+
+
+QUERIES = {"op4_decontamination": op4_decontamination, "op1_packing": op1_packing, "op2_token_counts": op2_token_counts}
+
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
