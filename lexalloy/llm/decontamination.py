@@ -118,7 +118,7 @@ def judged(docs: DataFrame, items: DataFrame, window: int = 13, one_in: int = 20
     """One row for each row of docs: row, doc_id, n_words, n_hit (words inside occurrences), items (ids of occurring items, sorted), contaminated (a hit, and at least one word in ``one_in``)."""
     index = build_index(docs, items, id_col, text_col)
     hits = search(index, phrases(items, window))
-    by_row = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    by_row = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     joined = index.select("row", "doc_id", "n_words").join(by_row, "row", "left")
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long")
     out = joined.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array()).alias("items"))

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, token_counts
-from .common import table
+from . import boosting, decision_lists, decontamination, packing, token_counts
+from .common import fold, held_out, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,16 @@ FROM d LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)
 """
 
 
-QUERIES = {"op4_decontamination": op4_decontamination, "op1_packing": op1_packing, "op2_token_counts": op2_token_counts}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = decision_lists.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = boosting.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=fold("doc_id", 4) != 2)
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op7_quality_rules": op7_quality_rules, "op10_quality_classifier": op10_quality_classifier, "op4_decontamination": op4_decontamination, "op1_packing": op1_packing, "op2_token_counts": op2_token_counts}
 
 ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
