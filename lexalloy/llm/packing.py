@@ -35,7 +35,11 @@ from .common import stored
 
 #: Python counts these as white space, the tokenizer's pattern doesn't: texts with them are encoded without the memo.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_MEMO_MAX, _WORD_MAX = 500_000, 100
+#: Words without these are their own normal form but for case, and hold no special string; Python's classes fit the tokenizer's there.
+_NOT_PLAIN = re.compile("[^\x00-\u02ff]|<\\|")
+#: Fixed: the pieces that the tokenizer cuts a plain lower-case word into.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+_MEMO_MAX, _WORD_MAX = 1_000_000, 100
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -51,10 +55,11 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(1 << 16, dtype=bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.ends[i] = token.endswith("</w>")
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 16-bit numbers."""
@@ -62,17 +67,38 @@ class WordIds:
             return b""
         if _ODD_SPACE.search(text):
             return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words, known = text.split(), self.known
+        words, known = text.split(), self.words
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
-            new = list({w for w in words if w not in known})
-        if len(known) + len(new) > _MEMO_MAX:
-            self._clear()
-            known, new = self.known, list(set(words))
-        found = {w: self._bytes(e.ids) for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-        known.update((w, b) for w, b in found.items() if len(w) <= _WORD_MAX)
-        return b"".join([known[w] if w in known else found[w] for w in words])
+            found = self._new({w for w in words if w not in known})
+        if len(known) < _MEMO_MAX:  # what comes late and is rare isn't remembered
+            known.update((w, b) for w, b in found.items() if len(w) <= _WORD_MAX)
+        return b"".join([found[w] if w in found else known[w] for w in words])
+
+    def _new(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words not yet known: by pieces where the word is plain, else by the tokenizer as it is."""
+        plain = {w: _PIECES.findall(w.lower()) for w in words if not _NOT_PLAIN.search(w)}
+        other = list(words - plain.keys())
+        found = {w: self._bytes(e.ids) for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True)}
+        pieces = self.pieces
+        fresh = list({p for ps in plain.values() for p in ps if p not in pieces})
+        new = self._split(fresh)
+        if len(pieces) < _MEMO_MAX:
+            pieces.update((p, b) for p, b in new.items() if len(p) <= _WORD_MAX)
+        found.update((w, b"".join([new[p] if p in new else pieces[p] for p in ps])) for w, ps in plain.items())
+        return found
+
+    def _split(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces, encoded in one go and cut behind each id that ends a word."""
+        if not pieces:
+            return {}
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u2")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(pieces):
+            return {p: self._bytes(e.ids) for p, e in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True)}
+        buffer, at = ids.tobytes(), [0, *(2 * cuts).tolist()]
+        return {p: buffer[i:j] for p, i, j in zip(pieces, at[:-1], at[1:], strict=True)}
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
@@ -129,10 +155,7 @@ def word_hashes(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 @lru_cache(maxsize=2)
 def word_ends(path: str, end_id: int) -> np.ndarray:
     """For each id: whether it ends a word."""
-    vocabulary = _words(path).tokenizer.get_vocab(with_added_tokens=True)
-    ends = np.zeros(1 << 16, dtype=bool)
-    for token, i in vocabulary.items():
-        ends[i] = token.endswith("</w>")
+    ends = _words(path).ends.copy()
     ends[end_id] = True
     return ends
 
