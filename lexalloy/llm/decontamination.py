@@ -4,14 +4,14 @@
 arrays, the word's 64-bit hash and its position, in the order of the text. Each row is a shard of its own, so building
 and searching need no shuffle of postings, whatever the sizes of the documents or the frequency of a word.
 
-``search`` ranks the words of every test phrase by their corpus frequency (counted over the whole index), takes the
-postings of the rarest one as candidate beginnings (position minus offset), intersects them with the offset-adjusted
-postings of the second rarest, and then with those of all others: what is left are the exact occurrences.
+``matches`` ranks the words of every test phrase by their corpus frequency (counted over the whole index), takes the
+postings of the two rarest ones as candidate beginnings (position minus offset), intersects the two lists, and checks
+what is left against the offset-adjusted postings of all other words: the exact occurrences.
 ``proximity`` gives places where the rarest words of an item stand within a span of positions, in any order.
 
 Sizes: the test items' words reach the expressions as a literal set only while there are at most ``max_literals`` of
 them; beyond, every word of the corpus is indexed. Phrases are broadcast only while there are at most
-``max_broadcast`` of them; beyond, single postings are shuffled to them. Results are the same either way.
+``max_broadcast`` of them; beyond, Spark chooses the join. Results are the same either way.
 
 Defined results: a null text has no words, is clean and has empty lists; an item without words matches nothing; an item
 that occurs in several rows is listed once; repeated document rows are judged each; empty tables give empty tables or
@@ -74,27 +74,25 @@ def ranked(patterns: DataFrame, index: DataFrame) -> DataFrame:
     return ordered.filter(F.size("o") == F.size("phrase")).select("phrase", "items", F.transform("o", lambda x: x.offset).alias("order"))
 
 
-def _has(word: Column, at: Column, position: Column, wanted: Column) -> Column:
-    """Whether the posting list of wanted has position. array_position is 0 where no indexed word stands there."""
-    return let(F.array_position(at, position), lambda i: (i > 0) & (F.get(word, (i - 1).cast("int")) == wanted))
+def matches(index: DataFrame, patterns: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
+    """row, doc_id, n_words and hits, the exact occurrences of phrases: array of (start, length, items), empty where there are none."""
+    plan = stored(ranked(patterns, index).withColumn("phrase_id", F.monotonically_increasing_id()), "phrases")
+    hinted = F.broadcast if plan.count() <= max_broadcast else (lambda df: df)
+    lists = plan.select("phrase_id", F.least(F.size("order"), F.lit(2)).alias("lists"), "phrase", F.explode(F.slice("order", 1, 2)).alias("offset"))
+    lists = lists.select("phrase_id", "lists", "offset", F.element_at("phrase", F.col("offset") + 1).alias("word"))
+    postings = index.select("row", F.inline(F.arrays_zip("word", "at")).alias("word", "at"))
+    starts = postings.join(hinted(lists), "word").select("row", "phrase_id", "lists", (F.col("at") - F.col("offset")).alias("start")).filter("start >= 0")
+    both = starts.groupBy("row", "phrase_id", "start", "lists").agg(F.count("*").alias("n")).filter("n = lists")
+    candidates = both.join(hinted(plan.select("phrase_id", "phrase", "items")), "phrase_id").groupBy("row").agg(F.collect_list(F.struct("start", "phrase", "items")).alias("candidates"))
 
+    def occurs(c: Column) -> Column:
+        """The words indexed from c.start on are those of the phrase, and stand side by side."""
+        size = F.size(c.phrase)
+        return let(F.array_position("at", c.start), lambda i: (i > 0) & (F.slice("word", i.cast("int"), size) == c.phrase) & (F.get("at", (i - 2).cast("int") + size) == c.start + size - 1))
 
-def search(index: DataFrame, patterns: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
-    """row, start, length, items: the exact occurrences of phrases in documents."""
-    plan = stored(ranked(patterns, index).withColumns({"offset": F.col("order")[0], "rare": F.element_at("phrase", F.col("order")[0] + 1)}), "phrases")
-    begin = (F.get("at", F.col("i")) - F.col("offset")).alias("start")
-    if plan.count() <= max_broadcast:
-        postings = index.select("row", "word", "at", F.posexplode("word").alias("i", "rare"))
-        found = postings.join(F.broadcast(plan), "rare").select("row", "word", "at", begin, "phrase", "order", "items")
-    else:
-        postings = index.select("row", F.explode(F.arrays_zip("word", "at")).alias("p")).select("row", F.col("p.word").alias("rare"), F.col("p.at").alias("p"))
-        starts = postings.join(plan, "rare").select("row", (F.col("p") - F.col("offset")).alias("start"), "phrase", "order", "items")
-        found = starts.join(index.select("row", "word", "at"), "row")
-    found = found.filter("start >= 0")
-    second = F.get("order", F.lit(1))
-    found = found.filter(second.isNull() | _has(F.col("word"), F.col("at"), F.col("start") + second, F.element_at("phrase", second + 1)))
-    every = let(F.array_position("at", F.col("start")), lambda i: (i > 0) & (F.slice("word", i.cast("int"), F.size("phrase")) == F.col("phrase")) & (F.get("at", (i - 2).cast("int") + F.size("phrase")) == F.col("start") + F.size("phrase") - 1))
-    return found.filter(every).select("row", "start", F.size("phrase").alias("length"), "items")
+    hits = F.transform(F.filter("candidates", occurs), lambda c: F.struct(c.start.alias("start"), F.size(c.phrase).alias("length"), c["items"].alias("items")))
+    joined = index.join(candidates, "row", "left")
+    return joined.select("row", "doc_id", "n_words", F.coalesce(hits, F.array().cast(f"array<struct<start:int,length:int,items:{patterns.schema['items'].dataType.simpleString()}>>")).alias("hits"))
 
 
 def proximity(index: DataFrame, items: DataFrame, rarest: int = 3, span: int = 26, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -116,10 +114,8 @@ def covered(intervals: Column) -> Column:
 
 def judged(docs: DataFrame, items: DataFrame, window: int = 13, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: row, doc_id, n_words, n_hit (words inside occurrences), items (ids of occurring items, sorted), contaminated (a hit, and at least one word in ``one_in``)."""
-    index = build_index(docs, items, id_col, text_col)
-    hits = search(index, phrases(items, window))
-    by_row = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    joined = index.select("row", "doc_id", "n_words").join(by_row, "row", "left")
-    n_hit = F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long")
-    out = joined.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array()).alias("items"))
+    found = matches(build_index(docs, items, id_col, text_col), phrases(items, window))
+    spans = F.array_sort(F.transform("hits", lambda h: F.struct(h.start.alias("start"), h.length.alias("length"))))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
+    out = found.select("row", "doc_id", "n_words", covered(spans).cast("long").alias("n_hit"), ids.alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words")))
