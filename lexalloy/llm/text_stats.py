@@ -26,8 +26,9 @@ def count_chars(text: Column, others: str) -> Column:
 
 def repeated_positions(hashes: Column, window: int = 3) -> Column:
     """How many words stand in a window of that many consecutive words which the text holds twice or more. hashes: 64-bit, one a word."""
-    starts = F.when(F.size(hashes) >= window, F.sequence(F.lit(0), F.size(hashes) - window))
-    grams = F.transform(starts, lambda i: F.struct(F.xxhash64(*[F.get(hashes, i + k) for k in range(window)]).alias("h"), i.alias("i")))
+    def grams(h: Column) -> Column:
+        starts = F.when(F.size(h) >= window, F.sequence(F.lit(0), F.size(h) - window))
+        return F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(*[F.get(h, i + k) for k in range(window)]).alias("h"), i.alias("i"))))
 
     def repeated(ordered: Column) -> Column:
         same = lambda x, k: F.coalesce(F.get(ordered, k).h == x.h, F.lit(False))
@@ -38,7 +39,7 @@ def repeated_positions(hashes: Column, window: int = 3) -> Column:
         gaps = F.transform(places, lambda p, k: F.least(F.lit(window), F.coalesce(F.get(places, k + 1) - p, F.lit(window))))
         return F.aggregate(gaps, F.lit(0), lambda a, g: a + g)
 
-    return F.coalesce(let(F.array_sort(grams), lambda g: let(repeated(g), spread)), F.lit(0)).cast("long")
+    return F.coalesce(let(let(hashes, grams), lambda g: let(repeated(g), spread)), F.lit(0)).cast("long")
 
 
 def duplicate_lines(text: Column) -> Column:
