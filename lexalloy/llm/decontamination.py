@@ -45,7 +45,7 @@ def phrases(items: DataFrame, window: int, id_col: str = "item_id", text_col: st
     words = items.select(F.col(id_col).alias("item_id"), hashes_of(F.col(text_col)).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))
     slices = words.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, window))).alias("phrase"))
-    return slices.groupBy("phrase").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return slices.groupBy("phrase").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
 def build_index(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text", max_literals: int = 50_000) -> DataFrame:
@@ -70,7 +70,7 @@ def ranked(patterns: DataFrame, index: DataFrame) -> DataFrame:
     """patterns with order: the offsets of the phrase's words from the rarest to the commonest in the corpus. A pattern with an unseen word can't occur and goes."""
     offsets = patterns.select("phrase", "items", F.posexplode("phrase").alias("offset", "w"))
     counted = offsets.join(frequencies(index), "w")
-    ordered = counted.groupBy("phrase", "items").agg(F.array_sort(F.collect_list(F.struct("n", "offset"))).alias("o"))
+    ordered = counted.groupBy("phrase", "items").agg(F.sort_array(F.collect_list(F.struct("n", "offset"))).alias("o"))
     return ordered.filter(F.size("o") == F.size("phrase")).select("phrase", "items", F.transform("o", lambda x: x.offset).alias("order"))
 
 
@@ -98,7 +98,7 @@ def matches(index: DataFrame, patterns: DataFrame, max_broadcast: int = 100_000)
 def proximity(index: DataFrame, items: DataFrame, rarest: int = 3, span: int = 26, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, item_id, position: an occurrence of an item's rarest word with its next rarest ones (``rarest`` in all) at most span positions away."""
     words = items.select(F.col(id_col).alias("item_id"), F.explode(F.array_distinct(hashes_of(F.col(text_col)))).alias("w")).join(frequencies(index), "w")
-    rare = words.groupBy("item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "w"))), 1, rarest).alias("o"))
+    rare = words.groupBy("item_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "w"))), 1, rarest).alias("o"))
     rare = rare.select("item_id", F.col("o")[0].w.alias("rare"), F.transform(F.expr("slice(o, 2, size(o))"), lambda x: x.w).alias("others"))
     found = index.select("row", "doc_id", "word", "at", F.posexplode("word").alias("i", "rare")).join(rare, "rare").withColumn("position", F.get("at", F.col("i")))
     near = F.filter("at", lambda p, j: F.abs(p - F.col("position")) <= span)
@@ -115,7 +115,7 @@ def covered(intervals: Column) -> Column:
 def judged(docs: DataFrame, items: DataFrame, window: int = 13, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: row, doc_id, n_words, n_hit (words inside occurrences), items (ids of occurring items, sorted), contaminated (a hit, and at least one word in ``one_in``)."""
     found = matches(build_index(docs, items, id_col, text_col), phrases(items, window))
-    spans = F.array_sort(F.transform("hits", lambda h: F.struct(h.start.alias("start"), h.length.alias("length"))))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
+    spans = F.sort_array(F.transform("hits", lambda h: F.struct(h.start.alias("start"), h.length.alias("length"))))
+    ids = F.sort_array(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
     out = found.select("row", "doc_id", "n_words", covered(spans).cast("long").alias("n_hit"), ids.alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words")))

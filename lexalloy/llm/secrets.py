@@ -69,7 +69,7 @@ def base_spans(text: Column) -> Column:
         return F.transform(spans(text, *BASE[kind]), lambda s: F.struct(s.start.alias("start"), F.lit(place).alias("kind"), s.end.alias("end")))
 
     parts = [of_kind(kind) for kind in BASE]
-    return F.array_sort(F.concat(*parts))
+    return F.sort_array(F.concat(*parts))
 
 
 def joined(found: Column) -> Column:
@@ -157,7 +157,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q:
     tokens = rows.select("row", F.explode("tokens").alias("t")).select("row", "t.start", "t.end", "t.value")
     added = random_tokens(tokens, q, natural_changes).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "end")).alias("added"))
     both = rows.select("row", id_col, "base").join(added, "row", "left")
-    return both.select("row", id_col, "base", F.array_sort(F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added"))).alias("spans"))
+    return both.select("row", id_col, "base", F.sort_array(F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added"))).alias("spans"))
 
 
 def redacted(text: Column, found: Column, mark: str = "[redacted]") -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import let
 
 #: Fixed: what separates words, and which characters count as symbols.
-WHITE, SYMBOLS = r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]"
+WHITE, SYMBOLS = r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
 
 
 def words_of(text: Column) -> Column:
@@ -28,12 +28,12 @@ def repeated_positions(hashes: Column, window: int = 3) -> Column:
     """How many words stand in a window of that many consecutive words which the text holds twice or more. hashes: 64-bit, one a word."""
     def grams(h: Column) -> Column:
         starts = F.when(F.size(h) >= window, F.sequence(F.lit(0), F.size(h) - window))
-        return F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64(*[F.get(h, i + k) for k in range(window)]).alias("h"), i.alias("i"))))
+        return F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(*[F.get(h, i + k) for k in range(window)]).alias("h"), i.alias("i"))))
 
     def repeated(ordered: Column) -> Column:
         same = lambda x, k: F.coalesce(F.get(ordered, k).h == x.h, F.lit(False))
         found = F.filter(ordered, lambda x, k: same(x, k - 1) | same(x, k + 1))
-        return F.array_sort(F.transform(found, lambda x: x.i))
+        return F.sort_array(F.transform(found, lambda x: x.i))
 
     def spread(places: Column) -> Column:
         gaps = F.transform(places, lambda p, k: F.least(F.lit(window), F.coalesce(F.get(places, k + 1) - p, F.lit(window))))
@@ -64,7 +64,7 @@ def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 #: Statistics that both models may look at, as shares: what a text's size doesn't change.
-FEATURES = ("n_words", "mean_word", "symbol_share", "upper_share", "bang_share", "pipe_share", "digit_share", "dup_line_share", "repeat_share", "distinct_share", "adjacent_share", "line_words", "stop_share", "comma_share", "license_words")
+FEATURES = ("n_words", "mean_word", "symbol_share", "upper_share", "bang_share", "pipe_share", "digit_share", "dup_line_share", "repeat_share", "distinct_share", "adjacent_share", "line_words", "stop_share", "comma_share")
 
 
 def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -74,20 +74,19 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "_distinct": F.size(F.array_distinct("_w")),
         "_adjacent": F.size(F.filter(F.arrays_zip(F.col("_w").alias("a"), F.expr("slice(_w, 2, greatest(size(_w) - 1, 0))").alias("b")), lambda x: x.a == x.b)),
         "_short": F.size(F.filter("_w", lambda w: F.length(w) <= 3)),
-        "_upper": count_chars(text, r"[^\p{Lu}]"),
-        "_bang": count_chars(text, "[^!]"),
-        "_pipe": count_chars(text, "[^|]"),
-        "_digit": count_chars(text, r"[^0-9]"),
-        "_comma": count_chars(text, "[^,]"),
-        "_lines": count_chars(text, "[^\n]") + 1,
-        "_license": F.size(F.filter("_w", lambda w: F.lower(w).rlike("^(licensed?|copyright|rights|reserved|terms|cookies?|privacy|click|subscribe|https?:.*)\\W*$"))),
+        "_upper": count_chars(text, r"[^\p{Lu}]+"),
+        "_bang": count_chars(text, "[^!]+"),
+        "_pipe": count_chars(text, "[^|]+"),
+        "_digit": count_chars(text, "[^0-9]+"),
+        "_comma": count_chars(text, "[^,]+"),
+        "_lines": count_chars(text, "[^\n]+") + 1,
     })
     n, c = F.greatest(F.col("n_words"), F.lit(1)).cast("double"), F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     shares = {
         "mean_word": F.col("word_chars") / n, "symbol_share": F.col("n_symbols") / c, "upper_share": F.col("_upper") / c, "bang_share": F.col("_bang") / c,
         "pipe_share": F.col("_pipe") / n, "digit_share": F.col("_digit") / c, "dup_line_share": F.col("n_dup_lines") / F.col("_lines"), "repeat_share": F.col("n_repeat_words") / n,
         "distinct_share": F.col("_distinct") / n, "adjacent_share": F.col("_adjacent") / n, "line_words": F.col("n_words") / F.col("_lines"), "stop_share": F.col("_short") / n,
-        "comma_share": F.col("_comma") / n, "license_words": F.col("_license").cast("double"),
+        "comma_share": F.col("_comma") / n,
     }
     plain = [c for c in base.columns if not c.startswith("_") and c != text_col and c not in FEATURES[1:]]
     return base.select(*plain, *[v.cast("double").alias(k) for k, v in shares.items()])
