@@ -39,7 +39,7 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _NOT_PLAIN = re.compile("[^\x00-\u02ff]|<\\|")
 #: Fixed: the pieces that the tokenizer cuts a plain lower-case word into.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
-_MEMO_MAX, _WORD_MAX = 1_000_000, 100
+_MEMO_MAX, _WORD_MAX = 500_000, 100
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -61,20 +61,24 @@ class WordIds:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 16-bit numbers."""
+        known = self.words
+        split = [t.split() if t and not _ODD_SPACE.search(t) else [] for t in texts]
+        found = self._new(set().union(*split).difference(known))
+        known.update(found)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        full = len(known) > _MEMO_MAX
+        for w in found:  # what comes late, and what is long, isn't remembered
+            if full or len(w) > _WORD_MAX:
+                del known[w]
+        for i, t in enumerate(texts):
+            if t and not split[i] and _ODD_SPACE.search(t):
+                out[i] = self._bytes(self.tokenizer.encode(t, add_special_tokens=False).ids)
+        return out
+
     def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 16-bit numbers."""
-        if not text:
-            return b""
-        if _ODD_SPACE.search(text):
-            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words, known = text.split(), self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            found = self._new({w for w in words if w not in known})
-        if len(known) < _MEMO_MAX:  # what comes late and is rare isn't remembered
-            known.update((w, b) for w, b in found.items() if len(w) <= _WORD_MAX)
-        return b"".join([found[w] if w in found else known[w] for w in words])
+        return self.encode_many([text])[0]
 
     def _new(self, words: set[str]) -> dict[str, bytes]:
         """The ids of words not yet known: by pieces where the word is plain, else by the tokenizer as it is."""
@@ -121,7 +125,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, df_buckets: int, id_col:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                ids = [words.encode(t) + end for t in part["text"]]
+                ids = [x + end for x in words.encode_many(part["text"].tolist())]
                 out = pd.DataFrame({"row": part["row"], "doc_id": part["doc_id"], "ids": ids, "n": [len(x) // 2 for x in ids], "df": None})
                 terms, counts = _terms([np.frombuffer(x, dtype="<u2") for x in ids], ends)
                 doc, word = (terms >> np.uint64(32)).astype(np.int64), (terms & np.uint64(0xFFFFFFFF)).astype(np.int64)
