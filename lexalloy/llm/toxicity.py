@@ -5,8 +5,9 @@ digits and signs that stand for letters inside a word become these letters, and
 can tell them apart.
 
 Learning: words of labelled texts (folded) get the log-odds of label 1; stems (beginnings of words) too, so that new
-endings of a known stem are matched. Entries need a weight and a number of labelled texts; an entry inside a chosen
-shorter one is left out. Words of clean texts that hold a chosen stem become exception phrases; more can be given. A
+endings of a known stem are matched. What counts are contexts (a word and the one behind it), each once, so that many
+near copies of one text say no more than the text. Entries need a number of contexts, from several texts, and a precision; an entry inside a
+chosen shorter one is left out. Words of clean texts that hold a chosen stem become exception phrases; more can be given. A
 match inside an exception doesn't count. The score is a logistic function of the matched weight per square root of the
 text's words, fitted on the same labelled texts. A bounded sample of labelled rows (``max_rows``) is used for this;
 matching covers every whole text.
@@ -18,9 +19,8 @@ without labels of both kinds the lexicon is empty and every score is the share o
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, stored
+from .common import bounded_sample, let, stored
 
 #: Look-alikes and the letters that they stand for.
 _LOOK_ALIKES = {
@@ -44,20 +44,20 @@ _NOT_LETTERS = r"[^\p{L}\p{M}]+"
 def folded(text: Column) -> Column:
     """Lower-case letters; signs become letters only between letters, so that punctuation at a word's end stays."""
     out = F.translate(F.lower(F.coalesce(text, F.lit(""))), _FROM, _TO)
-    inside = F.translate(out, "".join(_SIGNS), "".join(_SIGNS.values()))
-    return F.when(out.rlike(r"\p{L}[@$!|348]+\p{L}"), _between(out, inside)).otherwise(out)
+    return F.when(out.rlike(r"\p{L}[@$!|348]+\p{L}"), _between(out)).otherwise(out)
 
 
-def _between(out: Column, inside: Column) -> Column:
+def _between(out: Column) -> Column:
     """Each sign between letters, one kind at a time."""
     for sign, letter in _SIGNS.items():
         out = F.regexp_replace(out, rf"(?<=\p{{L}})[{sign}](?=[\p{{L}}@$!|348])", letter)
     return out
 
 
-def words_of(text: Column) -> Column:
-    """The distinct words of a folded text."""
-    return F.array_distinct(F.filter(F.split(text, _NOT_LETTERS), lambda w: w != ""))
+def contexts_of(text: Column) -> Column:
+    """The distinct pairs (w, behind) of neighbouring words of a folded text."""
+    pairs = lambda w: F.array_distinct(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.struct(a.alias("w"), b.alias("behind"))))
+    return let(F.filter(F.split(text, _NOT_LETTERS), lambda w: w != ""), pairs)
 
 
 @dataclass(frozen=True)
@@ -69,7 +69,6 @@ class Lexicon:
     exceptions: frozenset[str] = frozenset()
     slope: float = 0.0
     offset: float = 0.0
-    _cache: dict = field(default_factory=dict, compare=False, repr=False)
 
     @cached_property
     def automaton(self):
@@ -123,7 +122,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(beta[0]), 0.0), float(beta[1])
 
 
-def learned(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, max_entries: int = 5_000, min_texts: int = 3, min_precision: float = 0.8, stem_sizes: tuple[int, int] = (4, 8), exceptions: tuple[str, ...] = ()) -> Lexicon:
+def learned(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, max_entries: int = 5_000, min_contexts: int = 5, min_texts: int = 3, min_precision: float = 0.8, stem_sizes: tuple[int, int] = (4, 8), exceptions: tuple[str, ...] = ()) -> Lexicon:
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("int").alias("y")).filter(learn).distinct()
     sample = docs.select(id_col, folded(F.col(text_col)).alias("f")).join(bounded_sample(known, id_col, max_rows), id_col)
     # copies of a text say what one says: each distinct text counts once
@@ -132,12 +131,14 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str =
     if not n or not ones or ones == n:
         share = min(max(ones / n if n else 0.0, 1e-6), 1 - 1e-6)
         return Lexicon({}, offset=math.log(share / (1 - share)))
-    by_word = stored(texts.select("y", F.explode(words_of(F.col("f"))).alias("w")).groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("n")), "words")
+    contexts = texts.select("y", "h", F.inline(contexts_of(F.col("f")))).groupBy("w", "behind").agg(F.min("y").alias("y"), F.min("h").alias("h"))
+    by_word = stored(contexts.groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("n"), F.count_distinct(F.when(F.col("y") == 1, F.col("h"))).alias("texts")), "words")
+    n, ones = by_word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     size = F.explode(F.sequence(F.lit(stem_sizes[0]), F.lit(stem_sizes[1]))).alias("k")
-    stems = by_word.filter(F.length("w") > stem_sizes[0]).select("w", "t", "n", size).filter(F.col("k") < F.length("w")).groupBy(F.substring(F.col("w"), F.lit(1), F.col("k")).alias("w")).agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("forms"))
-    good = (F.col("t") >= min_texts) & (F.col("t") >= min_precision * F.col("n"))
+    stems = by_word.filter(F.length("w") > stem_sizes[0]).select("w", "t", "n", "texts", size).filter(F.col("k") < F.length("w")).groupBy(F.substring(F.col("w"), F.lit(1), F.col("k")).alias("w")).agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum("texts").alias("texts"), F.count("*").alias("forms"))
+    good = (F.col("t") >= min_contexts) & (F.col("texts") >= min_texts) & (F.col("t") >= min_precision * F.col("n"))
     weight = F.log((F.col("t") + 0.5) / (ones + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (n - ones + 1))
-    both = by_word.select("w", "t", "n", F.lit(0).alias("forms")).unionByName(stems.filter("forms > 1")).filter(good)
+    both = by_word.select("w", "t", "n", "texts", F.lit(0).cast("long").alias("forms")).unionByName(stems.filter("forms > 1")).filter(good)
     chosen = both.withColumn("weight", weight).orderBy(F.desc("weight"), F.desc("t"), "w", "forms").limit(max_entries).collect()
     stem_weights = {r.w: r.weight for r in chosen if r.forms}
     stem_weights = {w: v for w, v in stem_weights.items() if not any(w[:k] in stem_weights for k in range(stem_sizes[0], len(w)))}
@@ -154,9 +155,6 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str =
     return Lexicon(lexicon.entries, lexicon.stems, lexicon.exceptions, slope, offset)
 
 
-_SPACE = re.compile(r"\S+")
-
-
 def matches(text: Column, lexicon: Lexicon) -> Column:
     """total (matched weight) and words of a folded text."""
 
