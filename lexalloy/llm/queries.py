@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, decision_lists, decontamination, packing, secrets, token_counts, toxicity
+from . import boosting, decision_lists, decontamination, language_id, packing, secrets, token_counts, toxicity
 from .common import fold, held_out, table
 
 
@@ -40,6 +40,12 @@ FROM d LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learned(docs, learn=fold("doc_id", 5) != 0)
+    return language_id.identified(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "langs", "proportions")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scanned(table(spark, sf_dir, "documents"))
     n = lambda kind: F.size(F.filter("base", lambda s: s.kind == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
@@ -62,6 +68,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op6_secrets": op6_secrets, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op10_quality_classifier": op10_quality_classifier, "op4_decontamination": op4_decontamination, "op1_packing": op1_packing, "op2_token_counts": op2_token_counts}
+QUERIES = {"op5_language_id": op5_language_id, "op6_secrets": op6_secrets, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op10_quality_classifier": op10_quality_classifier, "op4_decontamination": op4_decontamination, "op1_packing": op1_packing, "op2_token_counts": op2_token_counts}
 
 ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
