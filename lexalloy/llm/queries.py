@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, decision_lists, decontamination, language_id, packing, secrets, token_counts, toxicity
+from . import boosting, decision_lists, decontamination, language_id, near_duplicates, packing, secrets, token_counts, toxicity
 from .common import fold, held_out, table
 
 
@@ -63,11 +63,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, lexicon).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.grouped(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = boosting.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=fold("doc_id", 4) != 2)
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op5_language_id": op5_language_id, "op6_secrets": op6_secrets, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op10_quality_classifier": op10_quality_classifier, "op4_decontamination": op4_decontamination, "op1_packing": op1_packing, "op2_token_counts": op2_token_counts}
+QUERIES = {"op9_near_duplicates": op9_near_duplicates, "op5_language_id": op5_language_id, "op6_secrets": op6_secrets, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op10_quality_classifier": op10_quality_classifier, "op4_decontamination": op4_decontamination, "op1_packing": op1_packing, "op2_token_counts": op2_token_counts}
 
 ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
