@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,8 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _NOT_PLAIN = re.compile("[^\x00-\u02ff]|<\\|")
 #: Fixed: the pieces that the tokenizer cuts a plain lower-case word into.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
-_MEMO_MAX, _WORD_MAX = 500_000, 100
+_MEMO_MAX, _WORD_MAX = 350_000, 100
+_TOKENS = ["row", "doc_id", "ids", "n", "df", "words", "common", "least"]
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -120,13 +122,12 @@ def tokenised(docs: DataFrame, path: str, end_id: int, df_buckets: int, id_col:
     Each task adds one row without ids, whose df counts its documents by bucket of words."""
     end = np.array([end_id], dtype="<u2").tobytes()
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ends, df = _words(path), word_ends(path, end_id), np.zeros(df_buckets, np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                ids = [x + end for x in words.encode_many(part["text"].tolist())]
-                out = pd.DataFrame({"row": part["row"], "doc_id": part["doc_id"], "ids": ids, "n": [len(x) // 2 for x in ids], "df": None})
+            for at in range(0, len(batch), 256):  # few texts at once, so that memory doesn't grow with the batch
+                part = batch.slice(at, 256)
+                ids = [x + end for x in words.encode_many(part.column("text").to_pylist())]
                 terms, counts = _terms([np.frombuffer(x, dtype="<u2") for x in ids], ends)
                 doc, word = (terms >> np.uint64(32)).astype(np.int64), (terms & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 here, first = np.unique(doc, return_index=True)
@@ -135,11 +136,15 @@ def tokenised(docs: DataFrame, path: str, end_id: int, df_buckets: int, id_col:
                     df += np.bincount(word & (df_buckets - 1), minlength=df_buckets)
                     most = np.maximum.reduceat((counts.astype(np.int64) << 32) | word, first)
                     common[here], least[here] = most & 0xFFFFFFFF, np.minimum.reduceat((word * 2654435761) & 0xFFFFFFFF, first)
-                yield out.assign(words=np.bincount(doc, weights=counts, minlength=len(part)).astype(np.int64), common=common, least=least)
-        yield pd.DataFrame({"row": [-1], "doc_id": [None], "ids": [None], "n": [0], "df": [df], "words": [0], "common": [0], "least": [0]})
+                number = np.bincount(doc, weights=counts, minlength=len(part)).astype(np.int64)
+                columns = [part.column("row"), part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.nulls(len(part), pa.list_(pa.int64())), number, common, least]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], _TOKENS)
+        last = [[-1], [None], [None], [0], [df], [0], [0], [0]]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(last, kinds, strict=True)], _TOKENS)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(encode, "row long, doc_id long, ids binary, n long, df array<long>, words long, common long, least long")
+    return rows.mapInArrow(encode, "row long, doc_id long, ids binary, n long, df array<long>, words long, common long, least long")
 
 
 def word_hashes(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,6 +233,7 @@ def packed(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_c
         from pyspark import TaskContext
 
         ends, sequence = word_ends(path, end_id), TaskContext.get().partitionId() << 36
+        _words.cache_clear()  # this worker's memo isn't needed any more
         def shard(units: list[tuple], last: bool) -> tuple[list[tuple], list[tuple]]:
             nonlocal sequence
             terms, counts = _terms([u[1] for u in units], ends)
