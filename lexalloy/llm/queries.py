@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, decision_lists, decontamination, language_id, near_duplicates, packing, secrets, token_counts, toxicity
+from . import boosting, decision_lists, decontamination, language_id, near_duplicates, packing, secrets, token_counts, toxicity, url_filters
 from .common import fold, held_out, table
 
 
@@ -19,6 +19,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
+#: The rules that the query is given.
+OP3_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.filtered(pages, OP3_RULES).select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, one_in=20)
     ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -72,6 +81,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op9_near_duplicates": op9_near_duplicates, "op5_language_id": op5_language_id, "op6_secrets": op6_secrets, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op10_quality_classifier": op10_quality_classifier, "op4_decontamination": op4_decontamination, "op1_packing": op1_packing, "op2_token_counts": op2_token_counts}
+QUERIES = {"op3_url_filters": op3_url_filters, "op9_near_duplicates": op9_near_duplicates, "op5_language_id": op5_language_id, "op6_secrets": op6_secrets, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op10_quality_classifier": op10_quality_classifier, "op4_decontamination": op4_decontamination, "op1_packing": op1_packing, "op2_token_counts": op2_token_counts}
 
 ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
