@@ -63,6 +63,7 @@ def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return hashed.withColumn("base_failed", failed)
 
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 #: Statistics that both models may look at, as shares: what a text's size doesn't change.
 FEATURES = ("n_words", "mean_word", "symbol_share", "upper_share", "bang_share", "pipe_share", "digit_share", "dup_line_share", "repeat_share", "distinct_share", "adjacent_share", "line_words", "stop_share", "comma_share")
 
@@ -88,5 +89,5 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "distinct_share": F.col("_distinct") / n, "adjacent_share": F.col("_adjacent") / n, "line_words": F.col("n_words") / F.col("_lines"), "stop_share": F.col("_short") / n,
         "comma_share": F.col("_comma") / n,
     }
-    plain = [c for c in base.columns if not c.startswith("_") and c != text_col and c not in FEATURES[1:]]
+    plain = [c for c in docs.columns if c != text_col and c not in BASE and c not in FEATURES] + list(BASE)
     return base.select(*plain, *[v.cast("double").alias(k) for k, v in shares.items()])
