@@ -39,8 +39,8 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Words without these are their own normal form but for case, and hold no special string; Python's classes fit the tokenizer's there.
 _NOT_PLAIN = re.compile("[^\x00-\u02ff]|<\\|")
 #: Fixed: the pieces that the tokenizer cuts a plain lower-case word into.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
-_MEMO_MAX, _WORD_MAX = 350_000, 100
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+|\n")
+_MEMO_MAX, _WORD_MAX = 600_000, 100
 _TOKENS = ["row", "doc_id", "ids", "n", "df", "words", "common", "least"]
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -83,16 +83,25 @@ class WordIds:
         return self.encode_many([text])[0]
 
     def _new(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of words not yet known: by pieces where the word is plain, else by the tokenizer as it is."""
-        plain = {w: _PIECES.findall(w.lower()) for w in words if not _NOT_PLAIN.search(w)}
-        other = list(words - plain.keys())
+        """The ids of words not yet known: by pieces where a word is plain, else by the tokenizer as it is."""
+        plain, other = list(words), []
+        if _NOT_PLAIN.search("\n".join(plain)):
+            plain, other = [w for w in words if not _NOT_PLAIN.search(w)], [w for w in words if _NOT_PLAIN.search(w)]
         found = {w: self._bytes(e.ids) for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True)}
-        pieces = self.pieces
-        fresh = list({p for ps in plain.values() for p in ps if p not in pieces})
-        new = self._split(fresh)
-        if len(pieces) < _MEMO_MAX:
-            pieces.update((p, b) for p, b in new.items() if len(p) <= _WORD_MAX)
-        found.update((w, b"".join([new[p] if p in new else pieces[p] for p in ps])) for w, ps in plain.items())
+        cut = _PIECES.findall("".join([w.lower() + "\n" for w in plain]))  # a line feed ends each word's pieces
+        pieces, parts, at = self.pieces, [], 0
+        new = self._split(list(set(cut).difference(pieces, ("\n",))))
+        pieces.update(new)
+        for p in cut:
+            if p == "\n":
+                found[plain[at]] = b"".join(parts)
+                parts, at = [], at + 1
+            else:
+                parts.append(pieces[p])
+        full = len(pieces) > _MEMO_MAX
+        for p in new:
+            if full or len(p) > _WORD_MAX:
+                del pieces[p]
         return found
 
     def _split(self, pieces: list[str]) -> dict[str, bytes]:
