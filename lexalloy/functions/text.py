@@ -29,11 +29,14 @@ def mentioned(text: Column, vocabulary: Sequence[str]) -> Column:
 
 def confirmed(text: Column, expected: Column, aliases: Mapping[str, Sequence[str]]) -> Column:
     """Those of the expected names of which an alias (a pattern; by default the name itself) occurs in the text."""
-    rules = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(p).alias("pattern")) for k, ps in aliases.items() for p in ps])
-    own = lambda name: F.concat(F.lit(r"(?i)\b"), F.lower(name), F.lit(r"\b"))
-    known = lambda name: F.exists(rules, lambda r: r.name == name)
-    hit = lambda name: F.exists(rules, lambda r: (r.name == name) & F.regexp(text, F.concat(F.lit("(?i)"), r.pattern)))
-    return F.filter(expected, lambda name: F.when(known(name), hit(name)).otherwise(F.regexp(text, own(name))))
+    lowered = F.lower(text)
+    hits = {k: F.lit(False) for k in aliases}
+    for name, patterns in aliases.items():
+        for p in patterns:
+            hits[name] = hits[name] | text.rlike(f"(?i){p}")
+    listed = F.array(*[F.when(h, F.lit(k)) for k, h in hits.items()])
+    own = lambda name: F.regexp(lowered, F.concat(F.lit(r"(?U)\b\Q"), F.lower(name), F.lit(r"\E\b")))
+    return F.filter(expected, lambda name: F.when(name.isin(list(aliases)), F.array_contains(listed, name)).otherwise(own(name)))
 
 
 def contains_any(text: Column, phrases: Sequence[str]) -> Column:
@@ -132,7 +135,7 @@ def sentences(text: Column) -> Column:
 
 def json_in(text: Column) -> Column:
     """The first fenced block that holds a brace, else the widest braced part; null if there is none."""
-    fenced = F.filter(F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1)), lambda b: F.contains(b, F.lit("{")))
+    fenced = F.filter(F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(.*?)\s*```"), F.lit(1)), lambda b: F.contains(b, F.lit("{")))
     return F.coalesce(F.trim(F.get(fenced, F.lit(0))), F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")))
 
 
