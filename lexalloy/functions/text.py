@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Phrases of a paywall.
-PAYWALL = ("subscribe to continue", "subscription required", "premium content", "members only", "sign in to read", "paywall")
+PAYWALL = ("subscribe to continue", "subscription required", "sign up to read", "become a member", "premium content", "for subscribers only")
 
 
 def _escaped(word: str) -> str:
