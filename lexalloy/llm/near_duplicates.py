@@ -10,12 +10,15 @@ diagonal by more than the band are dropped, and the longest increasing run of ma
 similarity is m / (a + b - m), an order-sensitive Jaccard coefficient; links need ``threshold``. The band is as wide as
 the unmatched elements that the threshold leaves room for, so it loses no link.
 
-Groups: exact copies (same words) are one node from the start. In the first round, each bucket gets a hub, its least row;
-in each further round, a bucket that still holds several classes gets ``hubs`` ones, picked by hashes. Every member of
-another class that wasn't compared with a hub is aligned with it; links merge classes. So a bucket of n texts costs
-about n alignments a hub, never its pairs. Rounds end with one that brings no link, or with ``max_rounds``. (Texts that are linked to a common text
-are at least ``2 * threshold - 1`` similar, as distances 1 - similarity obey the triangle inequality: where no member is as
-near as that to the hub, none is linked to those that are, and the first round is the last.)
+Groups: exact copies (same words) are one node from the start. In a first round, each bucket's least row is its hub, and
+every other member is aligned with it; links merge classes. What is left are pairs of other members in different
+classes. Each of them is compared (``rest``), in blocks of at most about ``block`` texts: the largest class of a bucket is
+held against the others, the others against each other. Within a pair of blocks, elements in common are counted first,
+and only pairs whose count could reach the threshold, and that no link has joined yet, are aligned. So two texts that
+share a bucket and are similar enough are always in one class.
+
+In a bucket where ``rest`` would compare more than ``cheap`` pairs a member, ``hubs`` members more, drawn anew for each
+bucket, are tried first, as long as this halves the pairs. This saves comparisons and leaves none out.
 
 Classes are connected components, by contraction: each node points at its least neighbour, pointers are doubled up to the
 roots, edges are relabelled, until none is left. All of this is done by joins; nothing that grows with the corpus reaches the driver or a single task.
@@ -158,7 +161,91 @@ def aligned(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Dat
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInPandas(align, "a long, b long, similarity double")
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), k: int = 5, threshold: float = 0.8, sketches: int = 16, picked: int = 3, hubs: int = 8, max_rounds: int = 3) -> DataFrame:
+def linked(rows: np.ndarray, classes: np.ndarray, left: np.ndarray, right: np.ndarray, labels: np.ndarray, bounds: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between texts at the places left and right (disjoint, or the same) that join all classes which any pair links.
+    The elements of the text at place i are ``labels[bounds[i]:bounds[i + 1]]``."""
+    sizes, n = np.diff(bounds), len(rows)
+    _, codes = np.unique(labels[bounds[0] : bounds[-1]], return_inverse=True)
+    offset, same = bounds - bounds[0], left is right
+    holder = np.repeat(np.arange(n), sizes)
+    held = np.flatnonzero(np.isin(holder, right))
+    held = held[np.argsort(codes[held], kind="stable")]
+    posting, start = holder[held], np.concatenate(([0], np.cumsum(np.bincount(codes[held], minlength=codes.max(initial=-1) + 1))))
+    _, first, of_class = np.unique(classes, return_index=True, return_inverse=True)
+    parent = first[of_class].tolist()
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i in left.tolist():
+        mine = codes[offset[i] : offset[i + 1]]
+        begin, many = start[mine], start[mine + 1] - start[mine]
+        at = np.arange(many.sum()) + np.repeat(begin - np.cumsum(many) + many, many)
+        common = np.bincount(posting[at], minlength=n)
+        for j in np.flatnonzero(common >= threshold * (sizes[i] + sizes - common) - 1e-6).tolist():
+            if (j > i or not same) and common[j] and root(i) != root(j):
+                if alignment(labels[bounds[i] : bounds[i + 1]], labels[bounds[j] : bounds[j + 1]], threshold) >= threshold:
+                    parent[root(i)] = root(j)
+                    out.append((int(rows[i]), int(rows[j])))
+    return out
+
+
+def rest(now: DataFrame, texts: DataFrame, k: int, threshold: float, block: int) -> DataFrame:
+    """Links (a, b) that join all classes with a linked pair in a bucket. now: key, row, n (words), label."""
+    words = 1_000 * block  # a block's words, so that long texts make small blocks
+    by_class = now.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    sums = by_class.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("m", "n", "label")).alias("most"), F.sum("m").alias("m"), F.sum("n").alias("n")).filter("classes > 1")
+    blocks = lambda m, n: F.ceil(F.greatest(m / block, n / words)).cast("int")
+    small = (F.col("m") <= block) & (F.col("n") <= words)
+    few = F.when(small, F.lit(0)).otherwise(blocks(F.col("m") - F.col("most.m"), F.col("n") - F.col("most.n")))
+    sums = sums.select("key", F.col("most.label").alias("large"), few.alias("few"), F.when(small, F.lit(0)).otherwise(F.greatest(blocks(F.col("most.m"), F.col("most.n")), F.lit(1))).alias("many"))
+    deal = lambda count: F.pmod(F.xxhash64("row", F.lit(29)), F.greatest(count, F.lit(1))).cast("int")
+    placed = now.join(sums, "key").withColumn("of_large", F.col("label") == F.col("large"))
+    placed = placed.withColumn("own", F.when(F.col("few") == 0, F.lit(0)).when(F.col("of_large"), F.col("few") + deal(F.col("many"))).otherwise(deal(F.col("few"))))
+    last = F.when(F.col("few") == 0, F.lit(0)).when(F.col("of_large"), F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)
+    dealt = placed.select("key", "row", "label", "own", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "row", "label").join(texts, "row")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def links(part: pd.DataFrame, cuts: list[int]) -> Iterator[pd.DataFrame]:
+            rows, classes, own, lo, hi = (part[c].to_numpy() for c in ("row", "label", "own", "lo", "hi"))
+            at = 0
+            while at < len(cuts) - 1:
+                to = at + 1
+                while to < len(cuts) - 1 and cuts[to + 1] - cuts[at] <= 256:
+                    to += 1
+                labels, bounds = elements([np.frombuffer(w, "<u4") for w in part["w"].iloc[cuts[at] : cuts[to]]], k)
+                found = []
+                for g in range(at, to):
+                    x, y = cuts[g], cuts[g + 1]
+                    if (classes[x:y] != classes[x]).any():
+                        left = np.flatnonzero(own[x:y] == lo[x])
+                        right = left if lo[x] == hi[x] else np.flatnonzero(own[x:y] == hi[x])
+                        found += linked(rows[x:y], classes[x:y], left, right, labels, bounds[x - cuts[at] : y - cuts[at] + 1], threshold)
+                yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+                at = to
+
+        held = None
+        for batch in batches:
+            part = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(part):
+                continue
+            ids = part[["key", "lo", "hi"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist()]
+            yield from links(part, cuts)  # the last group may go on in the next batch
+            held = part.iloc[cuts[-1] :]
+        if held is not None:
+            yield from links(held, [0, len(held)])
+
+    group = ("key", "lo", "hi")
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInPandas(compare, "a long, b long")
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), k: int = 5, threshold: float = 0.8, sketches: int = 16, picked: int = 3, hubs: int = 8, cheap: int = 2048, block: int = 256) -> DataFrame:
     """One row a document: row (unique), id, the columns in keep, class_id (least id of its class), first (whether it is the class's first row)."""
     shared_dir(docs.sparkSession)  # checkpoint() needs it set
     words = F.transform(F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"), lambda w: w != ""), lambda w: F.hash(w))
@@ -183,31 +270,44 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     copies = narrow.groupBy("h", "g", "n", "alone").agg(F.min("row").alias("node"))
     of_node = narrow.join(copies, (narrow.h == copies.h) & (narrow.g == copies.g) & (narrow.n == copies.n) & narrow.alone.eqNullSafe(copies.alone)).select("row", "node").checkpoint()
     nodes = of_node.filter("row = node").select("node")
-    buckets = table.select("row", F.explode("keys").alias("key")).join(nodes, F.col("row") == F.col("node"), "left_semi")
+    buckets = table.select("row", "n", F.explode("keys").alias("key")).join(nodes, F.col("row") == F.col("node"), "left_semi")
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = stored(buckets.join(shared, "key"), "buckets")
     labels = members.select(F.col("row").alias("node")).distinct().select("node", F.col("node").alias("label")).checkpoint()
     texts = stored(table.join(labels, F.col("row") == F.col("node"), "left_semi").select("row", "w"), "texts")
-    tested = None
-    for r in range(max_rounds):
-        now = members.join(labels, F.col("row") == F.col("node")).select("key", "row", "label")
-        seeds = range(1 + (r - 1) * hubs, 1 + r * hubs) if r else (0,)
-        picks = F.array(*[F.min(F.struct((F.xxhash64("row", F.lit(seed)) if seed else F.col("row")).alias("pick"), "row", "label")) for seed in seeds])
-        several = now.groupBy("key").agg(F.array_distinct(picks).alias("picks"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
-        open_hubs = several.select("key", F.explode("picks").alias("hub")).select("key", F.col("hub.row").alias("hub"), F.col("hub.label").alias("hub_label"))
-        pairs = now.join(open_hubs, "key").filter("label <> hub_label").select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct()
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        found = aligned(pairs, texts, k, threshold).checkpoint()
-        links = found.filter(F.col("similarity") >= threshold)
-        near = found.agg(F.count_if(F.col("similarity") >= threshold), F.count_if(F.col("similarity") >= 2 * threshold - 1)).first()
-        if near[0]:
-            ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-            merged = components(labels.select(F.col("label").alias("node")).distinct(), ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-            labels = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("new")), "label").select("node", F.col("new").alias("label")).checkpoint()
-        if not near[0] and (r or not near[1]):
+
+    def merged(links: DataFrame) -> DataFrame:
+        ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+        joined = components(labels.select(F.col("label").alias("node")).distinct(), ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        return labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("new")), "label").select("node", F.col("new").alias("label")).checkpoint()
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return aligned(pairs, texts, k, threshold).filter(F.col("similarity") >= threshold).select("a", "b").checkpoint()
+
+    least = members.groupBy("key").agg(F.min("row").alias("hub"))
+    links = near(members.join(least, "key").filter("row <> hub").select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct())
+    if not links.isEmpty():
+        labels = merged(links)
+    others = members.join(least, "key").filter("row <> hub").drop("hub")  # each was compared with the least row
+    last, seed = None, 0
+    while True:
+        now = others.join(labels, F.col("row") == F.col("node")).select("key", "row", "n", "label")
+        by_class = now.groupBy("key", "label").agg(F.count("*").alias("m"))
+        crossing = by_class.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("s")).select("key", ((F.col("m") * F.col("m") - F.col("s")) / 2).alias("pairs"), "m")
+        large = crossing.filter(F.col("pairs") > cheap * F.col("m"))
+        pairs = large.agg(F.sum("pairs")).first()[0]
+        if not pairs or (last is not None and pairs > last / 2):
+            break
+        here = now.join(large.select("key"), "key")
+        picks = F.array(*[F.min(F.struct(F.xxhash64("row", "key", F.lit(seed + i)).alias("pick"), "row", "label")) for i in range(hubs)])
+        drawn = here.groupBy("key").agg(F.array_distinct(F.transform(picks, lambda p: F.struct(p.row.alias("hub"), p.label.alias("hub_label")))).alias("picks")).select("key", F.inline("picks"))
+        links = near(here.join(drawn, "key").filter("label <> hub_label").select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct())
+        if links.isEmpty():
             break
-        compared = found.select("a", "b")
-        tested = compared if tested is None else tested.union(compared)
+        labels, last, seed = merged(links), pairs, seed + hubs
+    links = rest(now, texts, k, threshold, block).distinct().checkpoint()
+    if not links.isEmpty():
+        labels = merged(links)
     classes = of_node.join(labels, "node", "left").select("row", F.coalesce("label", "node").alias("class"))
     whole = table.select("row", "id", *keep).join(classes, "row")
     ids = whole.groupBy("class").agg(F.min("id").alias("class_id"), F.min("row").alias("first_row"))

@@ -91,6 +91,41 @@ def test_a_large_group_of_near_copies(spark):
     assert {x.class_id for x in nd.grouped(docs).collect()} == {0}
 
 
+def edited(words, places, tag):
+    out = words[:]
+    for p in places:
+        out[p] = f"{tag}x{p}"
+    return out
+
+
+def test_a_star_of_copies_that_only_the_original_links(spark):
+    r = random.Random(3)
+    base = ["w%d" % i for i in range(200)]
+    texts = [" ".join(edited(base, r.sample(range(5, 195, 10), 4), i)) for i in range(700)]
+    texts.insert(431, " ".join(base))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({}, {"cheap": 0}, {"block": 50}):
+        assert {x.class_id for x in nd.grouped(docs, **options).collect()} == {0}, options
+
+
+def test_a_bucket_that_one_class_dominates(spark):
+    r = random.Random(4)
+    base = ["w%d" % i for i in range(200)]
+    texts = [edited(base, [r.randrange(200)], i) for i in range(400)]
+    for i in range(120):  # pairs near to each other, not to the base nor to other pairs
+        one = edited(base, r.sample(range(5, 195, 10), 8), "m%d" % i)
+        texts += [one, edited(one, [r.randrange(200)], "n%d" % i)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    hashed = docs.select("doc_id", F.transform(F.split("text", " "), lambda w: F.hash(w)).alias("w")).orderBy("doc_id").collect()
+    keys = [x[0] for x in nd.order_min_hash([np.array(h.w, np.int32).view(np.uint32) for h in hashed], 5, 1, 3)]
+    most = collections.Counter(keys).most_common(1)[0][0]
+    pairs = [i for i in range(400, 640, 2) if keys[i] == keys[i + 1] == most]
+    assert len(pairs) > 5
+    for options in ({}, {"cheap": 0}, {"block": 20}):
+        got = {x.doc_id: x.class_id for x in nd.grouped(docs, sketches=1, **options).collect()}
+        assert all(got[i] == got[i + 1] == i for i in pairs), options
+
+
 def test_alignment_is_order_sensitive_and_exact():
     r = np.random.default_rng(0)
     for _ in range(200):
