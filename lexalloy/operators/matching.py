@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import cosine
+from ..sources.files import checkpoint_dir
 
 CHUNK = T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType()), T.StructField("token_count", T.IntegerType())]))
 _TOKEN, _SENTENCE = re.compile(r"\w+|[^\w\s]"), re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
@@ -110,11 +112,20 @@ def matched(excerpts: DataFrame, parts: DataFrame, least: float = 0.5) -> DataFr
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector_col: str, max_queries: int = 10_000) -> DataFrame:
-    """The k most cosine-similar vectors of each query vector: query, neighbour, similarity. The queries are a stated set of a checked size."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries: run them in blocks")
-    q = F.broadcast(queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("qv")))
-    pairs = vectors.select(F.col(id_col).alias("neighbour"), F.col(vector_col).alias("v")).join(q, F.col("neighbour") != F.col("query"))
-    ranked = pairs.select("query", "neighbour", cosine(F.col("qv"), F.col("v")).alias("similarity"))
+    """The k most cosine-similar vectors of each query vector: query, neighbour, similarity. Over ``max_queries`` queries run in
+    blocks by a hash of the id, about half as large as that; each block is broadcast, and its result written before the next one."""
+    asked = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("qv"))
+    found = vectors.select(F.col(id_col).alias("neighbour"), F.col(vector_col).alias("v"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
-    return ranked.withColumn("place", place).filter(F.col("place") <= k)
+
+    def of(block: DataFrame) -> DataFrame:
+        pairs = found.join(F.broadcast(block), F.col("neighbour") != F.col("query"))
+        ranked = pairs.select("query", "neighbour", cosine(F.col("qv"), F.col("v")).alias("similarity"))
+        return ranked.withColumn("place", place).filter(F.col("place") <= k)
+
+    n = asked.count()
+    if n <= max_queries:
+        return of(asked)
+    checkpoint_dir(queries.sparkSession)
+    blocks = -(-2 * n // max_queries)
+    return reduce(DataFrame.union, [of(asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).checkpoint() for b in range(blocks)])

@@ -87,6 +87,12 @@ def test_cosine_and_nearest(spark):
     assert one(spark, [1.0], tx.cosine(F.col("t"), F.array(F.lit(1.0), F.lit(2.0))), "array<double>") == 0.0
 
 
+def test_nearest_in_blocks_equals_one_block(spark):
+    v = spark.range(60).select("id", F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("v"))
+    want, got = (sorted(map(tuple, matching.nearest(v.filter("id % 2 = 0"), v, 3, "id", "v", n).collect())) for n in (10_000, 7))
+    assert len(want) == 90 and got == want
+
+
 def test_titles_first_wins(spark):
     rows = [(1, "a", "One"), (2, "a", "Two"), (3, "b", " one "), (4, "c", ""), (5, "d", "")]
     got = {r.o: r.duplicate for r in dedupe.first_of_each(spark.createDataFrame(rows, "o long, article_id string, title string"), "o").collect()}
