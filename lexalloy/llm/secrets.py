@@ -2,17 +2,19 @@
 
 Base: three fixed patterns, leftmost and non-overlapping each, kept if long enough.
 
-Battery: tokens of 16 characters or more that hold digits and letters, outside base spans, are tested. For each, the
-narrowest encoding that holds all its characters is inferred (hex, base 32, base 36, base 62, base 64), and
+Battery: all tokens of 16 characters or more outside base spans are tested. For each, the narrowest encoding that holds
+all its characters is inferred (hex, base 32, base 36, base 62, base 64), and
 
 - the chi-squared statistic of its characters against a uniform alphabet, standardised;
-- the number of runs of digits and of letters;
+- the number of changes between runs of digits and of letters; in tokens without a digit or without a letter, of changes
+  of case, where a word (three small letters or more, the first one may be a capital before them) counts as one run;
 - the lag-1 serial correlation of its characters' places in the alphabet, standardised,
 
-are held against how natural tokens behave: for the first and third, mean and deviation over the letters-only tokens of
-the corpus in the same length class, for the second, a Poisson count of ``natural_changes``. Fisher's method makes the
-three p-values one; Benjamini and Hochberg's step-up rule, applied in each length class over all tokens (from a
-histogram of p-values, so nothing but bounded counts is gathered), keeps the expected share of false finds under ``q``.
+are held against how natural tokens behave: for the first and third, median and quartiles over the corpus's letters-only
+tokens of the same length class that are cased as words are (so keys of mixed case are not among them, and others
+can't shift it), for the second, a Poisson count of ``natural_changes``. Fisher's method makes the three p-values one;
+Benjamini and Hochberg's step-up rule, applied in each length class to tokens with digits and letters and to all others
+(from a histogram of p-values, so nothing but bounded counts is gathered), keeps the expected share of false finds under ``q``.
 
 Defined results: a null text counts as empty; repeated rows are scanned each; an empty table gives an empty table;
 columns of docs named in ``keep`` pass through. Offsets are code points, ends exclusive.
@@ -79,15 +81,15 @@ def joined(found: Column) -> Column:
 
 
 def statistics(tokens: DataFrame) -> DataFrame:
-    """tokens (with value) and length_class, tested (digits and letters), chi, changes, serial."""
+    """tokens (with value) and length_class, mixed (digits and letters), natural (cased as a word), chi, changes, serial."""
     encoded = F.lit(None)
     for pattern, alphabet in reversed(ENCODINGS):
         encoded = F.when(F.col("body").rlike(pattern), F.lit(alphabet)).otherwise(encoded)
     bounds = F.lit(CLASSES[0])
     for c in CLASSES[1:]:
         bounds = F.when(F.length("value") >= c, F.lit(c)).otherwise(bounds)
-    coded = tokens.withColumn("body", F.rtrim(F.col("value"), F.lit("="))).withColumns({"alphabet": encoded, "length_class": bounds, "tested": F.col("body").rlike("[0-9]") & F.col("body").rlike("[A-Za-z]"), "natural": F.col("body").rlike("^[A-Za-z]+$")})
-    coded = coded.filter("tested or natural").withColumns({"size": F.length("alphabet").cast("double"), "n": F.length("body").cast("double"), "places": F.transform(F.split("body", ""), lambda c: F.instr(F.col("alphabet"), c).cast("double"))})
+    coded = tokens.withColumn("body", F.rtrim(F.col("value"), F.lit("="))).withColumns({"alphabet": encoded, "length_class": bounds, "mixed": F.col("body").rlike("[0-9]") & F.col("body").rlike("[A-Za-z]"), "natural": F.col("body").rlike("^([A-Za-z]?[a-z]+|[A-Z]+)$")})
+    coded = coded.withColumns({"size": F.length("alphabet").cast("double"), "n": F.length("body").cast("double"), "places": F.transform(F.split("body", ""), lambda c: F.instr(F.col("alphabet"), c).cast("double"))})
     squares = F.aggregate(F.array_distinct("places"), F.lit(0.0), lambda a, p: a + F.pow(F.size(F.filter("places", lambda x: x == p)).cast("double"), 2))
     coded = coded.withColumns({"squares": squares, "mean": F.aggregate("places", F.lit(0.0), lambda a, p: a + p) / F.col("n")})
     free = F.col("size") - 1
@@ -99,7 +101,9 @@ def statistics(tokens: DataFrame) -> DataFrame:
     serial = F.when(variance > 0, products / variance).otherwise(F.lit(1.0)) * F.sqrt("n")
     marked = F.translate(F.col("body"), _DIGITS + _UPPER + _LOWER, "0" * 10 + "a" * 52)
     changes = F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, "[^0a]", ""), "0+", "0"), "a+", "a")) - 1
-    return coded.withColumns({"chi": chi, "serial": serial, "changes": changes}).drop("body", "alphabet", "size", "n", "places", "squares", "mean", "centred", "natural")
+    letters = F.regexp_replace(F.regexp_replace("body", "[A-Z]?[a-z]{3,}", "a"), "[^A-Za-z]", "")
+    cases = F.greatest(F.length(F.regexp_replace(F.regexp_replace(letters, "[a-z]+", "a"), "[A-Z]+", "A")) - 1, F.lit(0))
+    return coded.withColumns({"chi": chi, "serial": serial, "changes": F.when(F.col("mixed"), changes).otherwise(cases)}).drop("body", "alphabet", "size", "n", "places", "squares", "mean", "centred")
 
 
 def normal_tail(z: Column) -> Column:
@@ -111,9 +115,11 @@ def normal_tail(z: Column) -> Column:
 
 
 def random_tokens(tokens: DataFrame, q: float, natural_changes: float) -> DataFrame:
-    """The tested tokens that the battery finds random at false-discovery rate q in their length class."""
+    """The tokens that the battery finds random at false-discovery rate q in their length class, with digits and letters or not."""
     measured = stored(statistics(tokens), "tokens")
-    nulls = measured.filter(~F.col("tested")).groupBy("length_class").agg(*[f(c).alias(f"{c}_{n}") for c in ("chi", "serial") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    quartiles = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    nulls = measured.filter("natural").groupBy("length_class").agg(quartiles("chi").alias("chi"), quartiles("serial").alias("serial"))
+    nulls = nulls.select("length_class", *[f(F.col(c)).alias(f"{c}_{n}") for c in ("chi", "serial") for n, f in (("mean", lambda q: q[1]), ("std", lambda q: (q[2] - q[0]) / 1.349))])
     nulls = {r["length_class"]: r for r in nulls.collect()}
 
     def of(stat: str, what: str, default: float) -> Column:
@@ -132,19 +138,19 @@ def random_tokens(tokens: DataFrame, q: float, natural_changes: float) -> DataFr
     p_changes = F.greatest(1 - under, F.lit(1e-12))
     half = -(F.log(p_chi) + F.log(p_serial) + F.log(p_changes))
     combined = F.greatest(F.exp(-half) * (1 + half + half * half / 2), F.lit(1e-30))  # chi-squared, 6 degrees of freedom
-    scored = measured.filter("tested").withColumn("level", F.floor(-10 * F.log10(combined)).cast("int"))
-    counts: dict[int, dict[int, int]] = {}
-    for c, level, n in scored.groupBy("length_class", "level").agg(F.count("*")).collect():
-        counts.setdefault(c, {})[level] = n
+    scored = measured.withColumn("level", F.floor(-10 * F.log10(combined)).cast("int"))
+    counts: dict[tuple[int, bool], dict[int, int]] = {}
+    for c, mixed, level, n in scored.groupBy("length_class", "mixed", "level").agg(F.count("*")).collect():
+        counts.setdefault((c, mixed), {})[level] = n
     enough = F.lit(False)
-    for c, levels in counts.items():
+    for (c, mixed), levels in counts.items():
         tests, found, least = sum(levels.values()), 0, None
         for level in sorted(levels, reverse=True):
             found += levels[level]
             if tests * 10 ** (-level / 10) <= q * found:
                 least = level
         if least is not None:
-            enough = enough | ((F.col("length_class") == c) & (F.col("level") >= least))
+            enough = enough | ((F.col("length_class") == c) & (F.col("mixed") == mixed) & (F.col("level") >= least))
     return scored.filter(enough)
 
 

@@ -56,6 +56,16 @@ def test_battery_finds_random_strings_and_leaves_prose(spark):
     assert not any(out[i] for i, _ in texts if i not in keys)
 
 
+def test_battery_finds_keys_without_digits(spark):
+    r = random.Random(9)
+    keys = {i: random_string(r, B62[:52], r.choice([32, 40])) for i in range(0, 60, 3)}
+    texts = [(i, prose(r, 60) + " " + (keys[i] + " " if i in keys else "getElementsByClassNameFromDocument src/main/java/com-example/SomeClass the-third-chapter-of-this-book ") + prose(r, 60)) for i in range(60)]
+    out = {x.doc_id: [tuple(s) for s in x.spans] for x in secrets.scanned(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    hit = [i for i, t in texts if any(t[a:b] == keys.get(i) for a, k, b in out[i])]
+    assert len(hit) >= 0.9 * len(keys)
+    assert not any(out[i] for i, _ in texts if i not in keys)
+
+
 def test_empty_table_and_repeats(spark):
     assert secrets.scanned(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = secrets.scanned(spark.createDataFrame([(1, "f" * 20), (1, "f" * 20), (None, "e" * 20)], "doc_id long, text string")).collect()
