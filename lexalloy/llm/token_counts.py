@@ -7,7 +7,9 @@ pieces hold white space only in front, so it cuts at such a p whatever stands fu
 cross a cut, and no special string holds white space. If an overlap has no such boundary, it is widened (doubled)
 until one is found or the text ends. So the sum over the spliced parts is the count of the whole text.
 
-Defined results: a null text counts as empty (0 tokens); repeated rows are counted each; an empty table gives an
+Shorter texts are counted by their units, remembered between texts: a unit is what lies between two such boundaries.
+
+Defined results: a null text counts as empty (0 tokens); a text without white space is encoded whole; repeated rows are counted each; an empty table gives an
 empty table; further columns pass through, and the columns added here replace any of the same name.
 """
 
@@ -109,7 +111,7 @@ def count_text(text: str | None, path: str, chunk_chars: int, overlap_chars: int
     return sum(map(len, encode_by_chunks(load_tokenizer(path), text, chunk_chars, overlap_chars)))
 
 
-def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int = 512, chunk_chars: int = 65_536, overlap_chars: int = 1_024) -> DataFrame:
+def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int = 512, chunk_chars: int = 8_192, overlap_chars: int = 256) -> DataFrame:
     """docs with n_bytes (UTF-8), n_tokens, over_limit. path: a byte-level BPE .json of the tokenizers library, there on each executor."""
 
     @F.pandas_udf(T.LongType())
