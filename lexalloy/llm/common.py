@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset: one in the warehouse, which
+    executors share too, or, if Spark runs in one process, a temporary one."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if configured is None:
-        configured = tempfile.mkdtemp(prefix="lexalloy-")
-        sc.setCheckpointDir(configured)
+        one_process = sc.master == "local" or sc.master.startswith("local[")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexalloy-") if one_process else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lexalloy-shared")
         configured = sc._jsc.sc().getCheckpointDir().get()
     return configured
 
@@ -44,6 +47,36 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside passes at most ``rows`` rows at once to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], share: int = 1_000, least: int = 1_000) -> DataFrame:
+    """left joined with right, whose keys are unique, where a few keys may hold much of left. Keys with over 1 / share of
+    left's rows (so there are less than ``share`` of them) are joined by broadcast, which leaves left's rows where they are;
+    all others by a shuffle. Rows without a partner go. left is read three times, so it should be stored."""
+    key = F.xxhash64(*on)
+    total = left.count()
+    if total <= least:
+        return left.join(right, on)
+    hot = [r[0] for r in left.groupBy(key.alias("k")).agg(F.count("*").alias("n")).filter(F.col("n") > max(total // share, least)).select("k").collect()]
+    if not hot:
+        return left.join(right, on)
+    here = key.isin(hot)  # a hash decides on the way only
+    return left.filter(here).join(F.broadcast(right.filter(here)), on).unionByName(left.filter(~here).join(right.filter(~here), on))
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
