@@ -8,7 +8,8 @@ label 1 (block) or 0 (allow). ``labelled_by_rules`` makes such a table from urls
 Sizes: rules and weights are bounded by their parameters, not by the corpus, and reach the expressions as literals.
 
 Defined results: a null url, and one without ``://``, has an empty host and path, fits no rule and is judged by the
-regression on nothing but the two markers; repeated rows are judged each; with no label of one kind every verdict is the
+regression on nothing but the two markers; of rules of equal length (such as the same one twice) the later given one decides; a very
+long url is judged whole, by as many n-grams as it has; repeated rows are judged each; with no label of one kind every verdict is the
 other kind, without labels ``allow``; empty tables give empty tables; further columns pass through, those of the result's
 names are replaced.
 """
@@ -23,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, dropped, stored
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,25 +61,31 @@ def grams(host: Column, path: Column, sizes: Sequence[int]) -> Column:
 
 
 def labelled_by_rules(judged: DataFrame, id_col: str, max_rows: int) -> DataFrame:
-    """url parts and label of urls that rules decide: about max_rows at most, picked by a hash of the id."""
+    """The rows that rules decide, with label: about max_rows at most, picked by a hash of the id."""
     known = judged.filter(F.col("rule_verdict").isNotNull())
-    return bounded_sample(known.select(id_col, "host", "path", (F.col("rule_verdict") == "block").cast("double").alias("label")), id_col, max_rows)
+    return bounded_sample(known.withColumn("label", (F.col("rule_verdict") == "block").cast("double")), id_col, max_rows)
 
 
 def filtered(urls: DataFrame, rules: Sequence[tuple[str, str]], labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", sizes: Sequence[int] = (2, 3, 4), features: int = 1 << 14, max_rows: int = 20_000, ridge: float = 0.01) -> DataFrame:
-    """urls with host, path, rule, block_probability (of the regression) and verdict. labelled: host, path, label; by default
-    what the rules say of a bounded sample of the urls."""
-    judged = with_rule(urls, rules, url_col)
-    table = labelled_by_rules(judged, id_col, max_rows) if labelled is None else labelled
-    kinds = {r["label"] for r in table.select("label").filter("label is not null").distinct().collect()}
+    """urls with host, path, rule, block_probability (of the regression) and verdict. labelled: host, path and label, a small table;
+    by default, what the rules say of a bounded sample of the urls: where nobody has labelled urls, the rules are the only
+    judgement there is, and the regression carries it over to urls that look like those they decide.
+
+    Hosts, rules and n-grams are computed once and stored; fitting and scoring read them from there."""
+    hashing = HashingTF(numFeatures=features, binary=True, inputCol="_grams", outputCol="_features")
+    hashed = lambda parts: hashing.transform(parts.withColumn("_grams", grams(F.col("host"), F.col("path"), sizes))).drop("_grams")
+    judged = stored(hashed(with_rule(urls, rules, url_col)), "urls")
+    if labelled is None:
+        table = labelled_by_rules(judged, id_col, max_rows)
+    else:
+        table = hashed(labelled.filter("label is not null").select("label", "host", "path"))
+    train = stored(table.select("_features", F.col("label").cast("double").alias("label")), "labelled")
+    kinds = {r["label"] for r in train.select("label").distinct().collect()}
     if len(kinds) < 2:
-        probability = F.lit(float(max(kinds, default=0.0)))
-        scored = judged.withColumn("block_probability", probability)
+        scored = judged.withColumn("block_probability", F.lit(float(max(kinds, default=0.0))))
     else:
-        hashing = HashingTF(numFeatures=features, binary=True, inputCol="_grams", outputCol="_features")
-        train = hashing.transform(table.filter("label is not null").withColumn("_grams", grams(F.col("host"), F.col("path"), sizes)))
-        model = LogisticRegression(featuresCol="_features", labelCol="label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_y", regParam=ridge, maxIter=50).fit(train.select("_features", "label"))
-        scored = model.transform(hashing.transform(judged.withColumn("_grams", grams(F.col("host"), F.col("path"), sizes))))
-        scored = scored.withColumn("block_probability", vector_to_array("_p")[1]).drop("_grams", "_features", "_p", "_raw", "_y")
+        model = LogisticRegression(featuresCol="_features", labelCol="label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_y", regParam=ridge, maxIter=50).fit(train)
+        scored = model.transform(judged).withColumn("block_probability", vector_to_array("_p")[1]).drop("_p", "_raw", "_y")
+    dropped(train)
     own = F.when(F.col("block_probability") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
-    return scored.withColumn("verdict", F.coalesce("rule_verdict", own)).drop("rule_verdict")
+    return scored.withColumn("verdict", F.coalesce("rule_verdict", own)).drop("rule_verdict", "_features")
