@@ -13,7 +13,10 @@ text's words, fitted on the same labelled texts. A bounded sample of labelled ro
 matching covers every whole text.
 
 Defined results: a null or empty text matches nothing and gets the score of no match; repeated rows are scored each;
-without labels of both kinds the lexicon is empty and every score is the share of ones (0 without labels).
+without labels of both kinds the lexicon is empty and every score is the share of ones (0 without labels); an empty table
+gives an empty table; a very long text is matched whole, in time linear in its length but for the sorting of its matches;
+further columns pass through, and score and predicted replace columns of these names. The lexicon holds words of the
+labelled sample alone, which ``max_rows`` bounds; beyond that nothing limits its entries or exceptions.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, let, stored
+from .common import bounded_sample, dropped, let, stored
 
 #: Look-alikes and the letters that they stand for.
 _LOOK_ALIKES = {
@@ -56,8 +59,9 @@ def _between(out: Column) -> Column:
 
 def contexts_of(text: Column) -> Column:
     """The distinct pairs (w, behind) of neighbouring words of a folded text."""
-    pairs = lambda w: F.array_distinct(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.struct(a.alias("w"), b.alias("behind"))))
-    return let(F.filter(F.split(text, _NOT_LETTERS), lambda w: w != ""), pairs)
+    pairs = lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), F.coalesce(b, F.lit(""))))
+    distinct = F.array_distinct(let(F.filter(F.split(text, _NOT_LETTERS), lambda w: w != ""), pairs))  # of strings, which are hashed
+    return F.transform(distinct, lambda p: F.struct(F.substring_index(p, " ", 1).alias("w"), F.substring_index(p, " ", -1).alias("behind")))
 
 
 @dataclass(frozen=True)
@@ -95,9 +99,12 @@ class Lexicon:
                 excepted.append((start, end))
             if entry in self.entries and (closed or entry in self.stems):
                 spans.append((start, -end, self.entries[entry]))
-        total, last = 0.0, -1
+        total, last, furthest, at = 0.0, -1, -1, 0
+        excepted.sort()
         for start, negative_end, weight in sorted(spans):
-            if start > last and not any(a <= start and -negative_end <= b for a, b in excepted):
+            while at < len(excepted) and excepted[at][0] <= start:
+                furthest, at = max(furthest, excepted[at][1]), at + 1
+            if start > last and -negative_end > furthest:  # no exception begins here or before and ends here or behind
                 total, last = total + weight, -negative_end
         return total
 
@@ -122,16 +129,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(beta[0]), 0.0), float(beta[1])
 
 
-def learned(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, max_entries: int = 5_000, min_contexts: int = 5, min_texts: int = 3, min_precision: float = 0.8, stem_sizes: tuple[int, int] = (4, 8), exceptions: tuple[str, ...] = ()) -> Lexicon:
+def learned(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, min_contexts: int = 5, min_texts: int = 3, min_precision: float = 0.8, stem_sizes: tuple[int, int] = (4, 8), exceptions: tuple[str, ...] = ()) -> Lexicon:
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("int").alias("y")).filter(learn).distinct()
     sample = docs.select(id_col, folded(F.col(text_col)).alias("f")).join(bounded_sample(known, id_col, max_rows), id_col)
     # copies of a text say what one says: each distinct text counts once
     texts = stored(sample.groupBy(F.xxhash64("f").alias("h")).agg(F.first("f").alias("f"), F.max("y").alias("y")), "toxicity")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n, ones = texts.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or not ones or ones == n:
         share = min(max(ones / n if n else 0.0, 1e-6), 1 - 1e-6)
         return Lexicon({}, offset=math.log(share / (1 - share)))
-    contexts = texts.select("y", "h", F.inline(contexts_of(F.col("f")))).groupBy("w", "behind").agg(F.min("y").alias("y"), F.min("h").alias("h"))
+    contexts = texts.repartition(tasks).select("y", "h", F.inline(contexts_of(F.col("f")))).groupBy("w", "behind").agg(F.min("y").alias("y"), F.min("h").alias("h"))
     by_word = stored(contexts.groupBy("w").agg(F.sum("y").alias("t"), F.count("*").alias("n"), F.count_distinct(F.when(F.col("y") == 1, F.col("h"))).alias("texts")), "words")
     n, ones = by_word.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     size = F.explode(F.sequence(F.lit(stem_sizes[0]), F.lit(stem_sizes[1]))).alias("k")
@@ -139,7 +147,7 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str =
     good = (F.col("t") >= min_contexts) & (F.col("texts") >= min_texts) & (F.col("t") >= min_precision * F.col("n"))
     weight = F.log((F.col("t") + 0.5) / (ones + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (n - ones + 1))
     both = by_word.select("w", "t", "n", "texts", F.lit(0).cast("long").alias("forms")).unionByName(stems.filter("forms > 1")).filter(good)
-    chosen = both.withColumn("weight", weight).orderBy(F.desc("weight"), F.desc("t"), "w", "forms").limit(max_entries).collect()
+    chosen = both.withColumn("weight", weight).collect()  # words of the sample, which max_rows bounds
     stem_weights = {r.w: r.weight for r in chosen if r.forms}
     stem_weights = {w: v for w, v in stem_weights.items() if not any(w[:k] in stem_weights for k in range(stem_sizes[0], len(w)))}
     inside = lambda w: any(w[:k] in stem_weights for k in range(stem_sizes[0], len(w) + 1))
@@ -147,11 +155,13 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str =
     clean = F.lit(False)
     for stem in stem_weights:
         clean = clean | F.col("w").startswith(stem)
-    excepted = [r.w for r in by_word.filter((F.col("t") == 0) & clean).limit(max_entries).collect()] if stem_weights else []
+    excepted = [r.w for r in by_word.filter((F.col("t") == 0) & clean).collect()] if stem_weights else []
+    dropped(by_word)
     lexicon = Lexicon(entries, frozenset(stem_weights), frozenset([*excepted, *exceptions]) - entries.keys())
     measured = texts.select("y", matches(F.col("f"), lexicon).alias("m")).select("y", "m.*").collect()
     y, total, words = (np.array([r[k] for r in measured], dtype=np.float64) for k in ("y", "total", "words"))
     slope, offset = _logistic(normalised(total, words), y)
+    dropped(texts)
     return Lexicon(lexicon.entries, lexicon.stems, lexicon.exceptions, slope, offset)
 
 

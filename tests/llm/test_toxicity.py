@@ -54,3 +54,20 @@ def test_folding(spark):
     texts = ["Ｉd1о7", "a|b !x x! 3a b@c", None]
     got = [r.f for r in spark.createDataFrame([(t,) for t in texts], "t string").select(toxicity.folded(F.col("t")).alias("f")).collect()]
     assert got == ["idiot", "aib !x x! 3a bac", ""]
+
+
+def test_exceptions_hold_in_any_order_and_edges_have_results(spark):
+    lexicon = toxicity.Lexicon({"bad": 2.0, "awful": 1.0}, frozenset({"bad"}), frozenset({"bad apple", "badminton", "so awful it"}), 1.0, -1.0)
+    plain = lambda t: sum({"bad": 2.0, "awful": 1.0}[w] for w in t)
+    assert lexicon.matched("bad apple badminton bad so awful it awful") == plain(["bad", "awful"])
+    assert lexicon.matched("bad apple " * 20_000 + "bad") == 2.0
+    docs = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (2, "", "y"), (3, "bad " * 30_000, "z")], "doc_id long, text string, score string")
+    found = toxicity.scored(docs, lexicon).collect()
+    assert len(found) == 4 and found[0].score == found[1].score == found[2].score < found[3].score and found[3].predicted == 1
+    assert toxicity.scored(docs.limit(0), lexicon).count() == 0
+
+
+def test_contexts_are_distinct_pairs(spark):
+    docs = spark.createDataFrame([("a b a b c",), ("",), ("x",)], "t string")
+    rows = [[tuple(p) for p in r[0]] for r in docs.select(toxicity.contexts_of(docs.t)).collect()]
+    assert rows == [[("a", "b"), ("b", "a"), ("b", "c"), ("c", "")], [], [("x", "")]]
