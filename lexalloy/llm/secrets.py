@@ -12,12 +12,13 @@ all its characters is inferred (hex, base 32, base 36, base 62, base 64), and
 
 are held against how natural tokens behave: for the first and third, median and quartiles over the corpus's letters-only
 tokens of the same length class that are cased as words are (so keys of mixed case are not among them, and others
-can't shift it), for the second, a Poisson count of ``natural_changes``. Fisher's method makes the three p-values one;
+can't shift it; a class without such tokens takes those of the nearest class, and where there are none at all, these two
+tests say nothing, p = 1), for the second, a Poisson count of ``natural_changes``. Fisher's method makes the three p-values one;
 Benjamini and Hochberg's step-up rule, applied in each length class to tokens with digits and letters and to all others
 (from a histogram of p-values, so nothing but bounded counts is gathered), keeps the expected share of false finds under ``q``.
 
 Defined results: a null text counts as empty; repeated rows are scanned each; an empty table gives an empty table;
-columns of docs named in ``keep`` pass through. Offsets are code points, ends exclusive.
+columns of docs other than id and text are ignored; a very long token is tested whole, in the last length class. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -122,18 +123,17 @@ def random_tokens(tokens: DataFrame, q: float, natural_changes: float) -> DataFr
     nulls = nulls.select("length_class", *[f(F.col(c)).alias(f"{c}_{n}") for c in ("chi", "serial") for n, f in (("mean", lambda q: q[1]), ("std", lambda q: (q[2] - q[0]) / 1.349))])
     nulls = {r["length_class"]: r for r in nulls.collect()}
 
-    def of(stat: str, what: str, default: float) -> Column:
-        out = F.lit(default)
-        for c, r in nulls.items():
-            value = r[f"{stat}_{what}"]
-            if value is not None and (what == "mean" or value > 0.05):
-                out = F.when(F.col("length_class") == c, F.lit(float(value))).otherwise(out)
+    def z(stat: str) -> Column:
+        """Distance from the natural tokens' median; null without natural tokens to compare with."""
+        usable = {c: (float(r[f"{stat}_mean"]), float(r[f"{stat}_std"])) for c, r in nulls.items() if (r[f"{stat}_std"] or 0) > 0.05}
+        out = F.lit(None).cast("double")
+        for c in CLASSES if usable else ():
+            mean, std = usable[min(usable, key=lambda k: abs(math.log(k / c)))]  # the nearest length class that has natural tokens
+            out = F.when(F.col("length_class") == c, (F.col(stat) - mean) / std).otherwise(out)
         return out
 
-    #: Without natural tokens to compare with: what invented prose shows.
-    z = lambda stat, mean, std: (F.col(stat) - of(stat, "mean", mean)) / of(stat, "std", std)
-    p_chi = normal_tail(-z("chi", 3.0, 2.0))
-    p_serial = F.least(2 * normal_tail(F.abs(z("serial", 0.0, 1.0))), F.lit(1.0))
+    p_chi = F.coalesce(normal_tail(-z("chi")), F.lit(1.0))
+    p_serial = F.coalesce(F.least(2 * normal_tail(F.abs(z("serial"))), F.lit(1.0)), F.lit(1.0))
     under = sum((math.exp(-natural_changes) * natural_changes**k / math.factorial(k) * F.when(F.col("changes") > k, 1.0).otherwise(0.0) for k in range(16)), F.lit(0.0))
     p_changes = F.greatest(1 - under, F.lit(1e-12))
     half = -(F.log(p_chi) + F.log(p_serial) + F.log(p_changes))
@@ -167,12 +167,20 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q:
 
 
 def redacted(text: Column, found: Column, mark: str = "[redacted]") -> Column:
-    """text with its spans (sorted by start; they may overlap) replaced by a mark each."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    """text with its spans (sorted by start; they may overlap) replaced by a mark each. Parts are joined in blocks, so that
+    many spans in one text don't cost their square."""
+    state = lambda at, parts: F.struct(at.alias("at"), parts.alias("parts"))
+    none = F.array().cast("array<string>")
 
     def step(s: Column, x: Column) -> Column:
-        part = F.when(x.start >= s["at"], F.concat(F.substring(text, s["at"] + 1, x.start - s["at"]), F.lit(mark)))
-        return F.struct(F.greatest(s["at"], x.end).alias("at"), F.when(part.isNull(), s.parts).otherwise(F.concat(s.parts, F.array(part))).alias("parts"))
+        part = F.when(x.start >= s["at"], F.array(F.substring(text, s["at"] + 1, x.start - s["at"]), F.lit(mark))).otherwise(none)
+        return state(F.greatest(s["at"], x.end), F.concat(s.parts, part))
 
-    done = lambda s: F.concat(F.array_join(s.parts, ""), F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(found, zero, step, done)).otherwise(text)
+    def block(s: Column, spans_: Column) -> Column:
+        done = F.aggregate(spans_, state(s["at"], none), step, lambda x: state(x["at"], F.array(F.array_join(x.parts, ""))))
+        return let(done, lambda d: state(d["at"], F.concat(s.parts, d.parts)))
+
+    last = F.floor((F.size(found) - 1) / _BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(found, b * _BLOCK + 1, F.lit(_BLOCK)))
+    whole = lambda s: F.concat(F.array_join(s.parts, ""), F.substring(text, s["at"] + 1, F.length(text)))
+    return F.when(F.size(found) > 0, F.aggregate(blocks, state(F.lit(0), none), block, whole)).otherwise(text)

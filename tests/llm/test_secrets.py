@@ -76,3 +76,16 @@ def test_redaction(spark):
     text = "é " + "f" * 20 + " token=" + "a" * 20 + " end"
     docs = spark.createDataFrame([(1, text), (2, "clean"), (3, "")], "doc_id long, text string").withColumn("found", secrets.base_spans(F.col("text")))
     assert [x.t for x in docs.select(secrets.redacted(F.col("text"), F.col("found")).alias("t")).collect()] == ["é [redacted] [redacted] end", "clean", ""]
+
+
+def test_redaction_of_many_and_overlapping_spans(spark):
+    text = "ab" * 1000
+    found = [(i * 5, 0, i * 5 + 2) for i in range(300)] + [(7, 1, 26)]
+    docs = spark.createDataFrame([(text, sorted(found)), (text, []), (None, [(0, 0, 1)])], "text string, s array<struct<start:int,kind:int,end:int>>")
+    rows = docs.select(secrets.redacted(docs.text, docs.s, "#").alias("t")).collect()
+    want, at = "", 0
+    for start, _, end in sorted(found):
+        if start >= at:
+            want += text[at:start] + "#"
+        at = max(at, end)
+    assert [r.t for r in rows] == [want + text[at:], text, None]
