@@ -23,8 +23,12 @@ bucket, are tried first, as long as this halves the pairs. This saves comparison
 Classes are connected components, by contraction: each node points at its least neighbour, pointers are doubled up to the
 roots, edges are relabelled, until none is left. All of this is done by joins; nothing that grows with the corpus reaches the driver or a single task.
 
+Hot keys: a class or a group of copies may hold much of the corpus; joins by them broadcast the few largest keys
+(``split_join``), so that their rows stay where they are.
+
 Defined results: texts without words (null, empty) are classes of their own; repeated rows are copies; the class id is
-the least id in the class; an empty table gives an empty table; columns named in ``keep`` pass through.
+the least id in the class; an empty table gives an empty table; a very long text is sketched and aligned whole, and
+makes small blocks; columns named in ``keep`` pass through, whatever their names, but for those of the result.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, shared_dir, stored
+from .common import arrow_batches, dropped, shared_dir, split_join, stored
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SHIFT, _LARGEST = np.uint64(31), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -83,7 +87,7 @@ def order_min_hash(words: list[np.ndarray], k: int, sketches: int, picked: int)
     first, counts = bounds[here], np.diff(bounds)[here]
     keys = np.empty((len(here), sketches), np.uint64)
     for j in range(sketches):
-        values = _mixed(labels * _A + np.uint64(2 * j + 1) * _C)
+        values = _mixed(labels * _A + np.uint64((2 * j + 1) * int(_C) & 0xFFFFFFFFFFFFFFFF))
         places = np.full((len(here), picked), len(labels), np.int64)
         for p in range(picked):
             least = np.minimum.reduceat(values, first)
@@ -245,7 +249,7 @@ def rest(now: DataFrame, texts: DataFrame, k: int, threshold: float, block: int)
     return dealt.repartition(*group).sortWithinPartitions(*group).mapInPandas(compare, "a long, b long")
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), k: int = 5, threshold: float = 0.8, sketches: int = 16, picked: int = 3, hubs: int = 8, cheap: int = 2048, block: int = 256) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), k: int = 5, threshold: float = 0.8, sketches: int = 16, picked: int = 3, hubs: int = 8, cheap: int = 2048, block: int = 256, batch_rows: int = 2_000) -> DataFrame:
     """One row a document: row (unique), id, the columns in keep, class_id (least id of its class), first (whether it is the class's first row)."""
     shared_dir(docs.sparkSession)  # checkpoint() needs it set
     words = F.transform(F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"), lambda w: w != ""), lambda w: F.hash(w))
@@ -256,19 +260,20 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
                 part = batch.iloc[at : at + 128]
                 lists = [np.asarray(w, dtype=np.int32).view(np.uint32) for w in part["w"]]
                 keys = order_min_hash(lists, k, sketches, picked)
-                yield pd.DataFrame({"row": part["row"], "n": [len(w) for w in lists], "h": part["h"], "g": part["g"], "keys": keys, "w": [w.tobytes() for w in lists], "id": part["id"]} | {c: part[c] for c in keep})
+                yield pd.DataFrame({"row": part["row"], "n": [len(w) for w in lists], "h": part["h"], "g": part["g"], "keys": keys, "w": [w.tobytes() for w in lists], "id": part["id"]} | {c: part[c] for c in own})
 
-    named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("w"), *keep)
+    own = [f"_keep{i}" for i in range(len(keep))]  # so that no kept column clashes with a working one
+    named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("w"), *[F.col(c).alias(o) for c, o in zip(keep, own, strict=True)])
     hashed = named.withColumns({"h": F.xxhash64("w"), "g": F.xxhash64(F.lit(1), "w")})
     id_type = docs.schema[id_col].dataType.simpleString()
-    kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    table = stored(hashed.mapInPandas(sketch, f"row long, n int, h long, g long, keys array<long>, w binary, id {id_type}{kept}"), "sketches")
+    kept = "".join(f", {o} {docs.schema[c].dataType.simpleString()}" for c, o in zip(keep, own, strict=True))
+    with arrow_batches(docs.sparkSession, batch_rows):
+        table = stored(hashed.mapInPandas(sketch, f"row long, n int, h long, g long, keys array<long>, w binary, id {id_type}{kept}"), "sketches")
 
     # exact copies: one node; texts without words: a node each
-    alone = F.when(F.col("n") == 0, F.col("row"))
-    narrow = table.select("row", "n", "h", "g", alone.alias("alone"))
+    narrow = table.select("row", "n", "h", "g", F.when(F.col("n") == 0, F.col("row")).otherwise(F.lit(-1)).alias("alone"))
     copies = narrow.groupBy("h", "g", "n", "alone").agg(F.min("row").alias("node"))
-    of_node = narrow.join(copies, (narrow.h == copies.h) & (narrow.g == copies.g) & (narrow.n == copies.n) & narrow.alone.eqNullSafe(copies.alone)).select("row", "node").checkpoint()
+    of_node = split_join(narrow, copies, ["h", "g", "n", "alone"]).select("row", "node").checkpoint()
     nodes = of_node.filter("row = node").select("node")
     buckets = table.select("row", "n", F.explode("keys").alias("key")).join(nodes, F.col("row") == F.col("node"), "left_semi")
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
@@ -279,7 +284,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     def merged(links: DataFrame) -> DataFrame:
         ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
         joined = components(labels.select(F.col("label").alias("node")).distinct(), ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        return labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("new")), "label").select("node", F.col("new").alias("label")).checkpoint()
+        return split_join(labels, joined.select(F.col("node").alias("label"), F.col("label").alias("new")), ["label"]).select("node", F.col("new").alias("label")).checkpoint()
 
     def near(pairs: DataFrame) -> DataFrame:
         return aligned(pairs, texts, k, threshold).filter(F.col("similarity") >= threshold).select("a", "b").checkpoint()
@@ -309,9 +314,10 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     if not links.isEmpty():
         labels = merged(links)
     classes = of_node.join(labels, "node", "left").select("row", F.coalesce("label", "node").alias("class"))
-    whole = table.select("row", "id", *keep).join(classes, "row")
+    whole = table.select("row", "id", *own).join(classes, "row").checkpoint()
     ids = whole.groupBy("class").agg(F.min("id").alias("class_id"), F.min("row").alias("first_row"))
-    out = whole.join(ids, "class").select("row", F.col("id").alias(id_col), *keep, "class_id", (F.col("row") == F.col("first_row")).alias("first")).checkpoint()
+    named_back = [F.col(o).alias(c) for c, o in zip(keep, own, strict=True)]
+    out = split_join(whole, ids, ["class"]).select("row", F.col("id").alias(id_col), *named_back, "class_id", (F.col("row") == F.col("first_row")).alias("first")).checkpoint()
     dropped(table)
     dropped(members)
     dropped(texts)
