@@ -65,3 +65,65 @@ def test_copies_meet_in_a_window(spark):
     for p in pieces:
         where.setdefault(p.doc_id, set()).add(p.sequence_id)
     assert sum(bool(where[i] & where[1000 + i]) for i in range(50)) >= 35
+
+
+def test_pieces_equal_the_tokenizer():
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(2)
+    parts = ["a", "The", "DON'T", "'s", "'S", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "12", "²", "é", "é", "İ", "ſ", "ß", "Ж", "“q”", "—", "€", "漢", "<|endoftext|>", "<|", "...", "!!", "_", "x1y", "\x00", "Ǆ", "ª", "'"]
+    texts = ["".join(r.choice(parts) + (" " if r.random() < 0.3 else "") for _ in range(r.randint(0, 40))) for _ in range(3000)] + [None, ""]
+    tokenizer, pieces = Tokenizer.from_file(PATH), packing.PieceIds(PATH)
+    for at in range(0, len(texts), 500):
+        ids, lengths = pieces.encode_many(pa.array(texts[at : at + 500], pa.string()))
+        ends = np.cumsum(lengths)
+        for t, a, b in zip(texts[at : at + 500], (ends - lengths).tolist(), ends.tolist(), strict=True):
+            assert ids[a:b].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_frequencies_are_exact_and_bounded(spark):
+    texts = [f"common w{i % 7} only{i}" for i in range(70)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tokens = packing.stored(packing.tokenised(docs, PATH, 1), "test")
+    counts = {}
+    for t in texts:
+        for w in {h for h in packing.word_hashes(packing._pieces(PATH).encode(t), packing.word_ends(PATH, 1))[0].tolist()}:
+            counts[w] = counts.get(w, 0) + 1
+    word, df = packing.frequent_words(tokens, 1 << 18)
+    assert dict(zip(word.tolist(), df.tolist(), strict=True)) == {w: n for w, n in counts.items() if n >= 3}
+    word, df = packing.frequent_words(tokens, 4)
+    assert len(word) <= 4 and dict(zip(word.tolist(), df.tolist(), strict=True)).items() <= counts.items()
+
+
+def test_shard_ranks_as_plain_bm25():
+    r = np.random.default_rng(1)
+    ends = np.ones(50, bool)
+    lengths = r.integers(5, 40, 30)
+    ids = r.zipf(1.4, lengths.sum()).clip(1, 49).astype("<u2")
+    index = packing.Shard(ids, lengths, ends, (np.zeros(0, np.int64), np.zeros(0, np.int64)), 30, 20.0)
+    units = np.split(ids, np.cumsum(lengths)[:-1])
+    df = {t: sum(t in u for u in units) for t in range(50)}
+    for seed in range(30):
+        asked = [t for t in set(units[seed].tolist()) if 1 < df[t] <= 15]
+        scores = {}
+        for i, u in enumerate(units):
+            if i != seed:
+                for t in asked:
+                    tf = int((u == t).sum())
+                    if tf:
+                        idf = np.log1p((30 - df[t] + 0.5) / (df[t] + 0.5))
+                        scores[i] = scores.get(i, 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(u) / 20))
+        unused = np.ones(30, bool)
+        unused[seed] = False
+        got = list(index.neighbours(seed, unused))
+        assert sorted(got) == sorted(scores) and np.allclose([scores[i] for i in got], sorted(scores.values(), reverse=True))
+
+
+def test_tails_are_packed_again(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 90)) for i in range(3000)], "doc_id long, text string")
+    pieces = packing.packed(docs, PATH, window=128, shard_units=10).collect()
+    padding, sequences = check_pieces(pieces, [(i, f"w{i} " * (i % 90)) for i in range(3000)], 128)
+    full = sum(p.length for p in pieces) // 128
+    assert padding == 0 and sequences <= full + 7
