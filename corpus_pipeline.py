@@ -2,8 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A
 stage works on all rows of docs. Ids may repeat and any column may be null, so decisions are joined back by a row
-number: the row's place in the files that docs is read from. Null texts count as empty in each stage; an empty table
-passes all stages. The last stage returns the pieces of ``lexalloy.llm.packing``.
+number, which is stored with the rows: both sides read the same numbers, whatever becomes of executors meanwhile.
+
+Defined results: null texts count as empty in each stage (and stay null); empty texts have no near duplicates; repeated
+rows are copies of which one stays; very long texts are judged whole; an empty table passes all stages; columns that aren't
+columns of documents are dropped. The last stage returns the pieces of ``lexalloy.llm.packing``.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches 0.5; the classifier is fitted on all labelled documents."""
-    rows = numbered(docs)
-    scored = boosting.scored(rows, table(spark, sf_dir, "labels"), learn=F.lit(True), keep=("_row",), threshold=0.5)
-    return without(rows, scored.filter("predicted = 0").select("_row"))
+    """Documents whose quality score reaches 0.5; the classifier is fitted on all labelled documents. Texts are stored with
+    their statistics, so that nothing is joined back."""
+    rows = docs.select(*COLUMNS, F.col("text").alias("_body"))  # scored keeps no text of its own
+    scored = boosting.scored(rows, table(spark, sf_dir, "labels"), learn=F.lit(True), keep=("_body", *COLUMNS[2:]), threshold=0.5)
+    return scored.filter("predicted = 1").select("doc_id", F.col("_body").alias("text"), *COLUMNS[2:])
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +63,8 @@ ORACLE_SQL = None
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs, which is read from files, with a number for each row: place of the split and in it, the same at each reading."""
-    return docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    """The columns of documents and a number for each row, stored once, so that every reading sees the same numbers."""
+    return stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
 def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
