@@ -242,7 +242,8 @@ def keyed(tokens: DataFrame, frequent) -> DataFrame:
             best = np.where((first < len(rare)) & (best < bounds[1:]), best, bounds[:-1])  # no rare word: the least hash
             padded = np.concatenate((flat, [0]))
             key = np.where(bounds[1:] > bounds[:-1], padded[np.minimum(best, len(flat))], 0)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *[batch.column(c) for c in ("row", "doc_id", "ids", "n")]], ["key", "row", "doc_id", "ids", "n"])
+            key = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # long texts have the least hashes: spread them
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *[batch.column(c) for c in ("row", "doc_id", "ids", "n")]], ["key", "row", "doc_id", "ids", "n"])
 
     return tokens.filter(F.col("ids").isNotNull()).select("row", "doc_id", "ids", "n", "sketch").mapInArrow(choose, "key long, row long, doc_id long, ids binary, n long")
 
