@@ -1,8 +1,8 @@
 """The corpus pipeline: quality classifier, near duplicates, decontamination, secret scans, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A
-stage works on all rows of docs. Ids may repeat and any column may be null, so decisions are joined back by a row
-number, which is stored with the rows: both sides read the same numbers, whatever becomes of executors meanwhile.
+stage works on all rows of docs. Ids may repeat and any column may be null, so decisions are joined back by a row's file
+and its place in that file: both sides read the same, however the files are split and whatever becomes of executors.
 
 Defined results: null texts count as empty in each stage (and stay null); empty texts have no near duplicates; repeated
 rows are copies of which one stays; very long texts are judged whole; an empty table passes all stages; columns that aren't
@@ -12,6 +12,7 @@ columns of documents are dropped. The last stage returns the pieces of ``lexallo
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the first, of each class of near duplicates."""
     rows = numbered(docs)
-    return without(rows, near_duplicates.grouped(rows, keep=("_row",)).filter(~F.col("first")).select("_row"))
+    found = near_duplicates.grouped(rows.withColumns({"_file": "_row.file", "_at": "_row.at"}), keep=("_file", "_at"))
+    return without(rows, found.filter(~F.col("first")).select(F.struct(F.col("_file").alias("file"), F.col("_at").alias("at")).alias("_row")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +65,12 @@ ORACLE_SQL = None
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The columns of documents and a number for each row, stored once, so that every reading sees the same numbers."""
-    return stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    """The columns of documents and _row: the row's file and its place there. Rows that come from no file are stored first."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    try:
+        return docs.select(*COLUMNS, place.alias("_row"))
+    except AnalysisException:  # no scan of files, or none whose places are known here
+        return stored(docs.select(*COLUMNS), "numbered").select(*COLUMNS, place.alias("_row"))
 
 
 def without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
