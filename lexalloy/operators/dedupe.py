@@ -48,7 +48,7 @@ def near_pairs(articles: DataFrame, order: str, title_col: str = "title", thresh
     return pairs.withColumn("ratio", ratio("new", "seen")).filter(F.col("ratio") >= threshold).select("later", "earlier", "ratio")
 
 
-def greedy(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
+def greedy(pairs: DataFrame) -> DataFrame:
     """Which of the later titles go: those that are near a kept earlier one. A title is decided once all its earlier neighbours are; rounds of joins."""
     from ..sources.files import checkpoint_dir
 
@@ -56,9 +56,7 @@ def greedy(pairs: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = pairs.select("later", "earlier").distinct().checkpoint()
     nodes = edges.select(F.col("later").alias("o")).union(edges.select(F.col("earlier").alias("o"))).distinct()
     state = nodes.join(edges.select(F.col("later").alias("o")).distinct().withColumn("waits", F.lit(True)), "o", "left").select("o", F.when(F.col("waits").isNull(), F.lit(True)).alias("kept")).checkpoint()
-    for _ in range(max_rounds):
-        if state.filter("kept is null").isEmpty():
-            break
+    while not state.filter("kept is null").isEmpty():  # each round decides at least the earliest of those left
         around = edges.join(state.select(F.col("o").alias("earlier"), "kept"), "earlier").groupBy("later").agg(F.bool_or("kept").alias("any_kept"), F.count_if(F.col("kept").isNull()).alias("open"))
         decided = F.when(F.col("any_kept"), F.lit(False)).when(F.col("open") == 0, F.lit(True))
         state = state.join(around.withColumnRenamed("later", "o"), "o", "left").select("o", F.coalesce("kept", decided).alias("kept")).checkpoint()

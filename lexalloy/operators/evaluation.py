@@ -1,4 +1,4 @@
-"""Scores against labels, thresholds, splits, drift, and the model registry: aggregates and windows over distinct scores."""
+"""Scores against labels, thresholds, splits, drift, and the model registry: aggregates, and running sums over ranges of scores."""
 
 from __future__ import annotations
 
@@ -9,25 +9,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def running(df: DataFrame, value: str, sums: Sequence[str], falling: bool = False, parts: int = 64, group: str | None = None) -> DataFrame:
+    """df (one row a value and group) with ``{c}_upto``, the sum of c over all rows up to the row's value, and ``{c}_all``.
+
+    Values are cut at quantiles into about ``parts`` ranges; each range is summed up by a window of its own, and what lies
+    before a range comes from the ranges' totals, of which there are few. So no task sees all values."""
+    keys = [group] if group else []
+    bounds = sorted(set(df.approxQuantile(value, [i / parts for i in range(1, parts)], 0.01)))
+    ranged = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(value))) if bounds else F.lit(0))
+    totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    order = lambda c: F.desc(c) if falling else F.asc(c)
+    before = Window.partitionBy(*keys).orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys)
+    totals = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}_before") for c in sums], *[F.sum(f"_{c}").over(every).alias(f"{c}_all") for c in sums])
+    inside = Window.partitionBy(*keys, "_range").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.join(totals, [*keys, "_range"])
+    return out.withColumns({f"{c}_upto": F.col(f"_{c}_before") + F.sum(c).over(inside) for c in sums}).drop("_range", *[f"_{c}_before" for c in sums])
+
+
 def stratified(df: DataFrame, label: str, key: str, shares: Sequence[float] = (0.6, 0.2, 0.2), seed: int = 42) -> DataFrame:
-    """df with split (0, 1, ...): in each class, rows in the order of a hash of the key are dealt by the shares."""
+    """df with split (0, 1, ...): in each class, rows in the order of a hash of the key are dealt by the shares. A row's place
+    is the number of rows in lower ranges of the hash (4,096 a class) and its place in its own range."""
     if abs(sum(shares) - 1) > 1e-9:
         raise ValueError("shares must sum to 1")
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key)
-    place = (F.row_number().over(order) - 1) / F.count("*").over(Window.partitionBy(label))
+    hashed = df.withColumn("_hash", F.xxhash64(F.col(key).cast("string"), F.lit(seed))).withColumn("_range", F.shiftright("_hash", 52))
+    counts = hashed.groupBy(label, "_range").agg(F.count("*").alias("_n"))
+    lower = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(label).alias("_label"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(label)).alias("_all"))
+    placed = hashed.join(F.broadcast(counts), F.col(label).eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_r")))  # 4,096 rows a class
+    place = (F.col("_before") + F.row_number().over(Window.partitionBy(label, "_range").orderBy("_hash", key)) - 1) / F.col("_all")
     split, total = F.lit(len(shares) - 1), 1.0
     for i in range(len(shares) - 2, -1, -1):
         total -= shares[i + 1]
-        split = F.when(place < total - 1e-12, F.lit(i)).otherwise(split)
-    return df.withColumn("split", split)
+        split = F.when(F.col("_place") < total - 1e-12, F.lit(i)).otherwise(split)
+    return placed.withColumn("_place", place).withColumn("split", split).select(*df.columns, "split")
 
 
 def curve(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """For each distinct score, falling: tp and fp at or above it, and the totals. Counts are summed before the one ordered window."""
+    """For each distinct score, falling: tp and fp at or above it, and the totals. Counts are summed first."""
     distinct = scored.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    above = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    return distinct.select("score", "p", "n", F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"), F.sum("p").over(every).alias("positives"), F.sum("n").over(every).alias("negatives"))
+    found = running(distinct, "score", ("p", "n"), falling=True)
+    return found.select("score", "p", "n", F.col("p_upto").alias("tp"), F.col("n_upto").alias("fp"), F.col("p_all").alias("positives"), F.col("n_all").alias("negatives"))
 
 
 def metrics(scored: DataFrame, score: str, label: str, threshold: float, beta: float = 2.0) -> DataFrame:
@@ -52,9 +74,8 @@ def ks_drift(reference: DataFrame, current: DataFrame, column: str, decision: st
     """One row: two-sample Kolmogorov-Smirnov statistic, asymptotic p-value, difference of the mean decisions, score, drifted."""
     both = reference.select(F.col(column).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(current.select(F.col(column).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))).filter("v is not null")
     sums = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    below = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    shares = sums.select(F.try_divide(F.sum("a").over(below), F.sum("a").over(every)).alias("fa"), F.try_divide(F.sum("b").over(below), F.sum("b").over(every)).alias("fb"), F.sum("a").over(every).alias("n"), F.sum("b").over(every).alias("m"))
+    counted = running(sums, "v", ("a", "b"))
+    shares = counted.select(F.try_divide("a_upto", "a_all").alias("fa"), F.try_divide("b_upto", "b_all").alias("fb"), F.col("a_all").alias("n"), F.col("b_all").alias("m"))
     found = shares.agg(F.max(F.abs(F.col("fa") - F.col("fb"))).alias("statistic"), F.max("n").alias("n"), F.max("m").alias("m"))
     scale = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m"))) * F.col("statistic")
     series = sum(((-1) ** (k - 1) * F.exp(-2.0 * k * k * scale * scale) for k in range(1, 31)), F.lit(0.0))

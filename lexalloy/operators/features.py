@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, mentioned
+from ..sources.files import checkpoint_dir
 
 _EDGE = r"""^[.,!?;:'"()\[\]{}]+|[.,!?;:'"()\[\]{}]+$"""
 
@@ -113,11 +114,13 @@ def tf_idf(docs: DataFrame, id_col: str, text_col: str, pattern: str = r"[a-zA-Z
     length 1. Terms in fewer than min_df documents or more than the share max_df are left out; the max_features most frequent ones stay."""
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(pattern), F.lit(0)), lambda w: ~w.isin(list(stop_words)) if stop_words else F.lit(True))
     pairs = lambda w: F.concat(w, F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull()))
-    counts = docs.select(id_col, F.explode(let(words, pairs)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    checkpoint_dir(docs.sparkSession)
+    counts = docs.select(id_col, F.explode(let(words, pairs)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf")).checkpoint()  # read by the vocabulary and by the weights
     n = docs.count()
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     kept = terms.orderBy(F.desc("cf"), "term").limit(max_features)  # the vocabulary's bound is the feature
     weight = (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
-    weighted = counts.join(F.broadcast(kept), "term").select(id_col, "term", weight.alias("w"))
+    few = max_features <= 200_000  # a larger vocabulary isn't broadcast
+    weighted = counts.join(F.broadcast(kept) if few else kept, "term").select(id_col, "term", weight.alias("w"))
     norms = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,11 +99,12 @@ def matched(excerpts: DataFrame, parts: DataFrame, least: float = 0.5) -> DataFr
     embedding): chunk_id, similarity, method. An exact hit wins; else 0.3 fuzzy and 0.7 cosine with embeddings, else fuzzy; under least: none."""
     e, c = excerpts.alias("e"), parts.alias("c")
     pairs = e.join(c, F.col("e.article_id") == F.col("c.article_id"), "left")
-    exact = F.contains(F.col("c.chunk_text"), F.trim(F.col("e.excerpt")))
+    exact = F.contains(F.col("c.chunk_text"), F.regexp_replace(F.col("e.excerpt"), r"(?U)^\s+|\s+$", ""))
     both = F.col("e.embedding").isNotNull() & F.col("c.embedding").isNotNull()
     pairs = pairs.select("e.excerpt_id", "e.excerpt", "c.chunk_id", "c.chunk_index", "c.chunk_text", F.coalesce(exact, F.lit(False)).alias("exact"), F.when(both, cosine(F.col("e.embedding"), F.col("c.embedding"))).alias("cosine"))
     near = F.when(F.col("exact"), F.lit(1.0)).otherwise(F.col("fuzzy"))
-    scored = pairs.withColumn("fuzzy", fuzzy(F.when(~F.col("exact"), F.col("excerpt")), "chunk_text"))
+    settled = F.max("exact").over(Window.partitionBy("excerpt_id"))  # where a chunk holds the excerpt, no other one is compared
+    scored = pairs.withColumn("_settled", settled).filter(F.col("exact") | ~F.col("_settled")).drop("_settled").withColumn("fuzzy", fuzzy(F.when(~F.col("exact"), F.col("excerpt")), "chunk_text"))
     score = F.when(F.col("exact"), F.lit(1.0)).when(F.col("cosine").isNotNull(), 0.3 * near + 0.7 * F.col("cosine")).otherwise(F.coalesce(near, F.lit(0.0)))
     method = F.when(F.col("exact"), F.lit("exact")).when(F.col("cosine").isNotNull(), F.lit("combined")).otherwise(F.lit("fuzzy"))
     rank = F.struct(F.col("exact"), F.when(F.col("exact"), F.lit(1.0)).otherwise(score).alias("score"), (-F.coalesce("chunk_index", F.lit(0))).alias("place"))
@@ -111,21 +113,57 @@ def matched(excerpts: DataFrame, parts: DataFrame, least: float = 0.5) -> DataFr
     return best.select("excerpt_id", F.when(~weak, F.col("b.chunk_id")).alias("chunk_id"), F.coalesce("b.score", F.lit(0.0)).alias("similarity"), F.when(weak, F.lit("none")).otherwise(F.col("b.method")).alias("method"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector_col: str, max_queries: int = 10_000) -> DataFrame:
-    """The k most cosine-similar vectors of each query vector: query, neighbour, similarity. Over ``max_queries`` queries run in
-    blocks by a hash of the id, about half as large as that; each block is broadcast, and its result written before the next one."""
-    asked = queries.select(F.col(id_col).alias("query"), F.col(vector_col).alias("qv"))
-    found = vectors.select(F.col(id_col).alias("neighbour"), F.col(vector_col).alias("v"))
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector_col: str, max_queries: int = 4_000) -> DataFrame:
+    """The k most cosine-similar vectors of each query vector: query, neighbour, similarity; ties go to the lesser id, a vector
+    without length or of another size has similarity 0.
+
+    A block of at most about ``max_queries`` queries is broadcast as one matrix; each task multiplies its vectors with it
+    and passes on only the k best of each query, so that what is shuffled is queries times tasks, not queries times
+    vectors. More queries run in blocks by a hash of the id, each block's result written before the next one."""
+    asked = queries.select(F.col(id_col).cast("long").alias("query"), F.col(vector_col).alias("qv"))
+    found = vectors.select(F.col(id_col).cast("long").alias("neighbour"), F.col(vector_col).alias("v"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
+    spark = queries.sparkSession
 
     def of(block: DataFrame) -> DataFrame:
-        pairs = found.join(F.broadcast(block), F.col("neighbour") != F.col("query"))
-        ranked = pairs.select("query", "neighbour", cosine(F.col("qv"), F.col("v")).alias("similarity"))
+        rows = block.collect()
+        by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in {len(r.qv or ()) for r in rows}:
+            mine = [r for r in rows if len(r.qv or ()) == size]
+            by_size[size] = np.array([r["query"] for r in mine], np.int64), _unit(np.array([r.qv or () for r in mine], np.float64).reshape(len(mine), size))
+        shared = spark.sparkContext.broadcast(by_size)
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            top = {s: (np.full((len(q), 0), 0, np.int64), np.full((len(q), 0), 0.0)) for s, (q, _) in shared.value.items()}
+            for batch in batches:
+                for at in range(0, len(batch), 1024):
+                    part = batch.iloc[at : at + 1024]
+                    ids, values = part["neighbour"].to_numpy(np.int64), list(part["v"])
+                    for size, (own, matrix) in shared.value.items():
+                        fits = np.array([x is not None and len(x) == size for x in values], bool)
+                        similarity = np.zeros((len(own), len(ids)))
+                        if size and fits.any():
+                            similarity[:, fits] = matrix @ _unit(np.array([x for x, f in zip(values, fits, strict=True) if f], np.float64)).T
+                        similarity[own[:, None] == ids[None, :]] = -np.inf
+                        names, scores = top[size]
+                        names, scores = np.hstack([names, np.broadcast_to(ids, similarity.shape)]), np.hstack([scores, similarity])
+                        order = np.lexsort((names, -scores), axis=1)[:, :k]
+                        top[size] = np.take_along_axis(names, order, 1), np.take_along_axis(scores, order, 1)
+            for size, (names, scores) in top.items():
+                out = pd.DataFrame({"query": np.repeat(shared.value[size][0], names.shape[1]), "neighbour": names.ravel(), "similarity": scores.ravel()})
+                yield out[np.isfinite(out["similarity"])]
+
+        ranked = found.mapInPandas(best, "query long, neighbour long, similarity double")
         return ranked.withColumn("place", place).filter(F.col("place") <= k)
 
     n = asked.count()
     if n <= max_queries:
         return of(asked)
-    checkpoint_dir(queries.sparkSession)
+    checkpoint_dir(spark)
     blocks = -(-2 * n // max_queries)
     return reduce(DataFrame.union, [of(asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).checkpoint() for b in range(blocks)])
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows / np.where(length > 0, length, 1.0)

@@ -82,6 +82,9 @@ def _articles(d: Dialect) -> str:
 
 
 def _article_brands(d: Dialect) -> str:
+    if d.spark:  # from the array of an article's own brands: no join
+        names = ", ".join(f"'{b}'" for b in VOCABULARY)
+        return f"SELECT id, created_at, labeled_at, labeling_status, CAST(array_position(array({names}), brand) - 1 AS INT) AS place, brand FROM ({_articles(d)}) a LATERAL VIEW explode(split(nullif(brands_mentioned, ''), ',')) AS brand"
     rows = " UNION ALL ".join(f"SELECT {i} AS place, '{b}' AS brand" for i, b in enumerate(VOCABULARY))
     return f"SELECT a.id, a.created_at, a.labeled_at, a.labeling_status, v.place, v.brand FROM ({_articles(d)}) a JOIN ({rows}) v ON contains(concat(',', a.brands_mentioned, ','), concat(',', v.brand, ','))"
 

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 PREDICTION = T.StructType([T.StructField("timestamp", T.TimestampType()), T.StructField("probability", T.DoubleType()), T.StructField("prediction", T.IntegerType()), T.StructField("text_length", T.LongType()), T.StructField("has_brand_context", T.BooleanType())])
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's folder for checkpoints; set here only where it is unset."""
+    """The session's folder for checkpoints. Where it is unset: one in the warehouse, which executors share too, or, if Spark runs
+    in one process, a temporary one."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if found is None:
-        found = tempfile.mkdtemp(prefix="lexalloy-")
+        one_process = sc.master == "local" or sc.master.startswith("local[")
+        found = tempfile.mkdtemp(prefix="lexalloy-") if one_process else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lexalloy-shared"
         sc.setCheckpointDir(found)
     return found
 
@@ -45,10 +49,13 @@ def write_reference(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_feed(items: DataFrame, path: str, summary: dict[str, Column], limit: int = 1000) -> None:
-    """One JSON document: the summary's columns and the (at most limit) items; the limit is what a feed is."""
-    rows = items.limit(limit).agg(*[c.alias(k) for k, c in summary.items()], F.collect_list(F.struct("*")).alias("items"))
-    rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+def write_feed(items: DataFrame, path: str, summary: dict[str, Column], order: Sequence[Column], limit: int = 1000) -> None:
+    """One JSON document: the summary's columns (over all items) and the first ``limit`` items in the order given, nested as they are.
+    The limit is what a feed is, and bounds the one row."""
+    total = items.agg(*[c.alias(k) for k, c in summary.items()])
+    first = items.orderBy(*order).limit(limit).withColumn("_place", F.row_number().over(Window.orderBy(*order)))
+    listed = first.agg(F.sort_array(F.collect_list(F.struct("_place", F.struct(*items.columns).alias("item")))).alias("l")).select(F.transform("l", lambda x: x["item"]).alias("items"))
+    total.crossJoin(listed).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_xml(items: DataFrame, path: str, root: str = "feed", row: str = "entry") -> None:
