@@ -164,3 +164,88 @@ def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.when((F.size(a) != F.size(b)) | (norm(a) == 0) | (norm(b) == 0), F.lit(0.0)).otherwise(dot / (norm(a) * norm(b)))
+
+
+def snippet(text: Column, excerpt: Column, reach: int = 100) -> Column:
+    """The excerpt (or, where it isn't found, its first five words) with reach characters around it, cut at spaces, ``...`` where
+    something is cut off; the text's beginning where neither is found."""
+    words = F.array_join(F.slice(F.filter(F.split(excerpt, r"\s+"), lambda w: w != ""), 1, 5), " ")
+    whole = F.position(F.lower(excerpt), F.lower(text))
+    at = F.when(whole > 0, whole).otherwise(F.position(F.lower(words), F.lower(text))) - 1
+    size, n = F.length(excerpt), F.length(text)
+    head = F.when(n <= 2 * reach, text).otherwise(F.concat(F.substring(text, 1, 2 * reach), F.lit("...")))
+
+    def around(x: Column) -> Column:
+        after = F.position(F.lit(" "), text, x.begin + 1) - 1  # the next space, which must stand before the excerpt
+        begin = F.when((x.begin > 0) & (after >= 0) & (after < x["at"]), after + 1).otherwise(x.begin)
+        tail = F.substring(text, x["at"] + size + 1, x.end - x["at"] - size)
+        last = F.length(tail) - F.position(F.lit(" "), F.reverse(tail))
+        end = F.when((x.end < n) & (F.position(F.lit(" "), F.reverse(tail)) > 0), x["at"] + size + last).otherwise(x.end)
+        body = F.regexp_replace(F.substring(text, begin + 1, end - begin), r"(?U)^\s+|\s+$", "")
+        return F.concat(F.when(begin > 0, F.lit("...")).otherwise(F.lit("")), body, F.when(end < n, F.lit("...")).otherwise(F.lit("")))
+
+    place = F.struct(at.alias("at"), F.greatest(at - reach, F.lit(0)).alias("begin"), F.least(at + size + reach, n).alias("end"))
+    return F.when(at < 0, head).otherwise(let(place, around))
+
+
+def windows_around(text: Column, phrases: Sequence[str], reach: int = 20) -> Column:
+    """The lower-case words up to reach before and behind each place where a phrase stands as a substring, window after window
+    (overlaps are repeated), phrases in order; the empty text without one."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    split = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
+
+    def of(phrase: str) -> Column:
+        pieces = F.split(lowered, rf"\Q{phrase}\E", -1)
+
+        def window(i: Column) -> Column:
+            before = split(F.array_join(F.slice(pieces, F.lit(1), i - 1), phrase))
+            behind = split(F.array_join(F.slice(pieces, i, F.size(pieces)), phrase))
+            near = F.slice(before, F.greatest(F.size(before) - reach + 1, F.lit(1)), F.lit(reach))
+            return F.concat(near, F.array(F.lit(phrase)), F.slice(behind, F.lit(1), F.lit(reach)))
+
+        return F.when(F.size(pieces) > 1, F.flatten(F.transform(F.sequence(F.lit(2), F.size(pieces)), window))).otherwise(F.array().cast("array<string>"))
+
+    parts = [of(p.lower()) for p in phrases]
+    return F.array_join(F.concat(*parts), " ")
+
+
+def mood(sentiment: Column) -> Column:
+    return F.when(sentiment == 1, F.lit("positive")).when(sentiment == 0, F.lit("neutral")).when(sentiment == -1, F.lit("negative"))
+
+
+def checked_share(value: Column, name: str = "probability") -> Column:
+    """The value; an error outside [0, 1]."""
+    return F.when(value.isNull() | value.between(0, 1), value).otherwise(F.raise_error(F.concat(F.lit(f"{name} outside [0, 1]: "), value.cast("string"))).cast("double"))
+
+
+def confidence_label(probability: Column) -> Column:
+    """low under 0.3, medium under 0.6, else high; an error outside [0, 1]."""
+    return let(checked_share(probability), lambda p: F.when(p < 0.3, F.lit("low")).when(p < 0.6, F.lit("medium")).when(p.isNotNull(), F.lit("high")))
+
+
+def bumped(current: Column, part: str = "minor") -> Column:
+    """The next version of an array of three numbers, as text."""
+    major, minor, patch = (F.get(current, F.lit(i)) for i in range(3))
+    parts = {"major": (major + 1, F.lit(0), F.lit(0)), "minor": (major, minor + 1, F.lit(0)), "patch": (major, minor, patch + 1)}[part]
+    return F.concat(F.lit("v"), F.concat_ws(".", *[p.cast("string") for p in parts]))
+
+
+def english(text: Column, detected: Column, least: int = 100) -> Column:
+    """Whether a text counts as English: short ones and those without a detected language do."""
+    return (F.length(F.trim(F.coalesce(text, F.lit("")))) < least) | (F.coalesce(detected, F.lit("en")) == "en")
+
+
+def likeliest_language(text: Column, profiles: Mapping[str, Sequence[str]]) -> Column:
+    """The language with most of its stop words among the text's words; null where no word is one. The default detector; any
+    column of language codes can stand in its place."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\w']+"), lambda w: w != "")
+    among = lambda p: lambda x: x.isin(list(p))
+    counts = lambda w: F.array(*[F.struct(F.size(F.filter(w, among(p))).alias("n"), F.lit(name).alias("name")) for name, p in profiles.items()])
+    best = let(let(words, counts), lambda c: F.array_max(c))
+    return F.when(best["n"] > 0, best["name"])
+
+
+def explained(brand: Column, categories: Column, n_evidence: Column, moods: Column) -> Column:
+    """A sentence on what a label rests on; null without evidence."""
+    sentence = F.concat(brand, F.lit(": "), listed(categories), F.lit(" ("), n_evidence.cast("string"), F.when(n_evidence == 1, F.lit(" excerpt")).otherwise(F.lit(" excerpts")), F.lit("), sentiment "), F.coalesce(listed(F.array_distinct(moods)), F.lit("unclear")), F.lit("."))
+    return F.when((n_evidence > 0) & (F.size(categories) > 0), sentence)

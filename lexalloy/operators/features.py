@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import let, mentioned
 from ..sources.files import checkpoint_dir
@@ -124,3 +127,129 @@ def tf_idf(docs: DataFrame, id_col: str, text_col: str, pattern: str = r"[a-zA-Z
     weighted = counts.join(F.broadcast(kept) if few else kept, "term").select(id_col, "term", weight.alias("w"))
     norms = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def vocabulary_near(text: Column, names: Sequence[str], categories: Mapping[str, Sequence[str]], reach: int = 15) -> dict[str, Column]:
+    """n_near_{category}: how many distinct words of the category stand at most reach words from a one-word name."""
+
+    def near(words: Column, vocabulary: Sequence[str]) -> Column:
+        places = places_of(words, names)
+        close = F.filter(words, lambda w, i: w.isin([v.lower() for v in vocabulary]) & F.exists(places, lambda p: F.abs(p - i) <= reach))
+        return F.size(F.array_distinct(close))
+
+    return {f"n_near_{name}": let(bare_words(text), (lambda v: lambda w: near(w, v))(vocabulary)) for name, vocabulary in categories.items()}
+
+
+def brand_summary(brands: Column, problematic: Sequence[str]) -> dict[str, Column]:
+    """n_brands, n_problematic, any_problematic of an array of names."""
+    n = F.size(F.array_intersect(F.coalesce(brands, F.array().cast("array<string>")), F.array(*map(F.lit, problematic))))
+    return {"n_brands": F.greatest(F.size(F.coalesce(brands, F.array().cast("array<string>"))), F.lit(0)), "n_problematic": n, "any_problematic": (n > 0).cast("int")}
+
+
+def metadata(source: Column, categories: Column, publishers: Mapping[str, Sequence[str]], topics: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+    """from_{list} where the source's name holds a publisher of the list, topic_{t} where a category is one of the topic's, and
+    the number of categories; nulls count as nothing."""
+    held = F.coalesce(categories, F.array().cast("array<string>"))
+    lowered, names = F.lower(F.coalesce(source, F.lit(""))), F.transform(held, lambda c: F.lower(c))
+    out = {f"from_{k}": F.exists(F.array(*[F.lit(p.lower()) for p in v]), lambda p: F.contains(lowered, p)).cast("int") for k, v in publishers.items()}
+    out |= {f"topic_{k}": F.arrays_overlap(names, F.array(*[F.lit(t.lower()) for t in v])).cast("int") for k, v in topics.items()}
+    return out | {"n_categories": F.size(held), "has_categories": (F.size(held) > 0).cast("int")}
+
+
+def substring_vocabulary(text: Column, categories: Mapping[str, Sequence[str]], others: Sequence[str] = ()) -> dict[str, Column]:
+    """How many keywords of each category occur as substrings of the lower-case text, whether any does, their total, that of the
+    other keywords, and the share of the former (0.5 without either)."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    count = lambda words: F.size(F.filter(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(lowered, w))) if words else F.lit(0)
+    counts = {k: count(v) for k, v in categories.items()}
+    total, other = sum(counts.values(), F.lit(0)), count(others)
+    share = F.when(total + other > 0, total / (total + other)).otherwise(F.lit(0.5))
+    return {f"n_{k}": c for k, c in counts.items()} | {f"has_{k}": (c > 0).cast("int") for k, c in counts.items()} | {"n_total": total, "n_other": other, "share": share}
+
+
+def several_categories(text: Column, categories: Mapping[str, Sequence[str]], least: int = 2) -> Column:
+    """1 where words of at least ``least`` categories occur in the text."""
+    words = F.array_distinct(bare_words(text))
+    hits = lambda w: sum((F.arrays_overlap(w, F.array(*[F.lit(v.lower()) for v in vocabulary])).cast("int") for vocabulary in categories.values()), F.lit(0))
+    return (let(words, hits) >= least).cast("int")
+
+
+def headline(title: Column, groups: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+    """For each group of patterns whether one matches the title (case aside) and how many do."""
+    text = F.coalesce(title, F.lit(""))
+    counts = {k: sum((text.rlike("(?i)" + p).cast("int") for p in v), F.lit(0)) for k, v in groups.items()}
+    return {f"n_{k}": c for k, c in counts.items()} | {f"is_{k}": (c > 0).cast("int") for k, c in counts.items()}
+
+
+def characters(text: Column, sizes: tuple[int, int] = (3, 5)) -> Column:
+    """The character n-grams of a lower-case text whose runs of white space are one space, sizes from the first to the last."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")
+    of = lambda t, n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return let(plain, lambda t: F.concat(*[of(t, n) for n in range(sizes[0], sizes[1] + 1)]))
+
+
+def weighted_terms(docs: DataFrame, id_col: str, terms: Column, min_df: int = 2, max_df: float = 0.95, max_features: int = 10_000) -> DataFrame:
+    """(id, term, weight) as ``tf_idf`` weighs, of any array of terms."""
+    checkpoint_dir(docs.sparkSession)
+    counts = docs.select(id_col, F.explode(terms).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf")).checkpoint()
+    n = docs.count()
+    seen = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    kept = seen.orderBy(F.desc("cf"), "term").limit(max_features)  # the vocabulary's bound is the feature
+    weight = (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+    weighted = counts.join(F.broadcast(kept) if max_features <= 200_000 else kept, "term").select(id_col, "term", weight.alias("w"))
+    norms = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighted.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def vectors(weights: DataFrame, id_col: str) -> DataFrame:
+    """(id, features): one sparse vector a document, places by the terms' order; the vocabulary is bounded by max_features."""
+    from pyspark.ml.functions import array_to_vector
+
+    terms = [r.term for r in weights.select("term").distinct().orderBy("term").collect()]
+    numbers = weights.sparkSession.createDataFrame(list(enumerate(terms)), "place int, term string")
+    placed = weights.join(F.broadcast(numbers), "term").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(max(len(terms) - 1, 0))), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return placed.select(id_col, array_to_vector(dense).alias("features"))
+
+
+def latent(rows: DataFrame, components: int, features: str = "features") -> DataFrame:
+    """rows with ``latent``: their features projected on the first right singular vectors (truncated SVD, as the rows aren't
+    centred). The Gram matrix is summed over all rows on the executors, its size is that of the vocabulary."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    found = RowMatrix(rows.select(features).rdd.map(lambda r: Vectors.fromML(r[0]))).computeSVD(components, computeU=False)
+    basis = found.V.toArray()
+    basis = basis * [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in basis.T]  # a sign for each, so that runs agree
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
+
+    @F.pandas_udf("array<double>")
+    def project(part: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(part.to_list()) @ shared.value))
+
+    from pyspark.ml.functions import vector_to_array
+
+    return rows.withColumn("latent", array_to_vector(project(vector_to_array(features))))
+
+
+def assembled_blocks(df: DataFrame, blocks: Mapping[str, Sequence[str]], fit_on: Column | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
+    """df with ``features``: each block's columns scaled (fitted on the rows of fit_on only) and put side by side, and the names of the
+    columns by block, in the order of their places."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    stages = []
+    for name, columns in blocks.items():
+        stages += [VectorAssembler(inputCols=list(columns), outputCol=f"_{name}_raw", handleInvalid="keep"), StandardScaler(inputCol=f"_{name}_raw", outputCol=f"_{name}", withMean=True)]
+    stages.append(VectorAssembler(inputCols=[f"_{n}" for n in blocks], outputCol="features"))
+    numeric = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for columns in blocks.values() for c in columns})
+    model = Pipeline(stages=stages).fit(numeric if fit_on is None else numeric.filter(fit_on))
+    return model.transform(numeric).drop(*[f"_{n}{x}" for n in blocks for x in ("", "_raw")]), {k: list(v) for k, v in blocks.items()}
+
+
+def top_words(words: DataFrame, group: str, stop_words: Sequence[str], n: int) -> DataFrame:
+    """(group, word, n): the n commonest words of each group that aren't stop words; ties by name. words: group, word."""
+    counts = words.filter(~F.col("word").isin(list(stop_words))).groupBy(group, "word").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "word"))
+    return counts.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")

@@ -113,6 +113,14 @@ def matched(excerpts: DataFrame, parts: DataFrame, least: float = 0.5) -> DataFr
     return best.select("excerpt_id", F.when(~weak, F.col("b.chunk_id")).alias("chunk_id"), F.coalesce("b.score", F.lit(0.0)).alias("similarity"), F.when(weak, F.lit("none")).otherwise(F.col("b.method")).alias("method"))
 
 
+def exact_matches(excerpts: DataFrame, parts: DataFrame) -> DataFrame:
+    """excerpt_id, chunk_id of the first chunk of its article that holds the excerpt (outer white space aside): the first stage of
+    ``matched``, without any fuzzy work."""
+    trimmed = F.regexp_replace(F.col("e.excerpt"), r"(?U)^\s+|\s+$", "")
+    pairs = excerpts.alias("e").join(parts.alias("c"), (F.col("e.article_id") == F.col("c.article_id")) & F.contains(F.col("c.chunk_text"), trimmed))
+    return pairs.groupBy("e.excerpt_id").agg(F.min_by("c.chunk_id", "c.chunk_index").alias("chunk_id"))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector_col: str, max_queries: int = 4_000) -> DataFrame:
     """The k most cosine-similar vectors of each query vector: query, neighbour, similarity; ties go to the lesser id, a vector
     without length or of another size has similarity 0.
