@@ -8,7 +8,8 @@ time, vectorised. Scores are Platt-free sigmoids of the summed values.
 ``scored`` computes the statistics natively over every whole text (only numbers reach Python) and stores them, so that
 texts are read once for fitting and scoring. Defined results: a null text counts as empty and is scored as such;
 repeated rows are scored each; without labels of both kinds every score is the share of ones (0.5 without labels); null
-labels and labels of unknown documents are ignored; extra columns are ignored.
+labels and labels of unknown documents are ignored; an empty table gives an empty table; a very long text is counted
+whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,9 +95,11 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
 
 
 def training_rows(features: DataFrame, labels: DataFrame, label_col: str, learn: Column, id_col: str, max_rows: int) -> DataFrame:
-    """Labelled rows that may be learned from: their FEATURES and y. About max_rows at most, picked by hash of the id."""
+    """Labelled rows that may be learned from: their FEATURES and y. About max_rows at most, picked by hash of the id; an id that
+    several rows have gives one row (the least), so that no repeated id exceeds the bound."""
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("int").alias("y")).filter(learn).distinct()
-    return features.join(bounded_sample(known, id_col, max_rows), id_col).select(*text_stats.FEATURES, "y")
+    joined = features.join(bounded_sample(known, id_col, max_rows), id_col)
+    return joined.groupBy(id_col, "y").agg(F.min(F.struct(*text_stats.FEATURES)).alias("row")).select("row.*", "y")
 
 
 def scored(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), max_rows: int = 20_000, threshold: float = 0.7) -> DataFrame:

@@ -11,7 +11,8 @@ Candidate thresholds are quantiles of the labelled statistics. Fitting looks at
 (``max_rows``), on the driver; statistics, rules and verdicts cover every document.
 
 Defined results: a null text has statistics of 0 and fails the base rules (too few words); repeated rows are judged each;
-without labels of both kinds the list is just its default; extra columns are ignored.
+without labels of both kinds the list is just its default; of conditions with equal gain the first in the order of features
+and thresholds is taken; an empty table gives an empty table; a very long text is counted whole; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,12 +5,13 @@ Learning: character n-grams (3 code points, letters lower-cased, runs of other c
 log-likelihoods. The model has buckets x languages numbers.
 
 Inference, vectorised over a batch of whole texts: expectation-maximisation estimates the proportions of all languages
-in a text from its n-grams' likelihoods; the languages, ordered by proportion, give nested sets; each set is refitted
-and the one with the best log-likelihood less ``penalty`` per language and half the logarithm of the n-grams (as in
+in a text from its n-grams' likelihoods; the languages, ordered by proportion, give nested sets (an approximation: not all
+sets of languages are tried, and the search ends with the first larger set that doesn't pay); each set is refitted and the one with the best log-likelihood less ``penalty`` per language and half the logarithm of the n-grams (as in
 the Bayesian information criterion) is selected. The first language of that set is the prediction, its proportion the score.
 
 Defined results: a null text, an empty one, and one without a letter get ``und``, score 0 and no languages; repeated
-rows are judged each; without labelled texts all others get ``und`` too; extra columns pass through, those of the result's
+rows are judged each; without labelled texts all others get ``und`` too; an empty table gives an empty table; a very long text is inferred whole, in
+a block of its own; extra columns pass through, those of the result's
 names are replaced.
 """
 
@@ -134,13 +135,12 @@ def learned(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str
             used = np.flatnonzero(found)
             yield pd.DataFrame({"lang": lang, "bucket": used, "n": found[used]})
 
-    counted = sample.select("lang", "text").mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    languages = tuple(sorted({r.lang for r in counted}))
+    counted = sample.select("lang", "text").mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # columns, not objects: at most buckets x languages numbers
+    languages = tuple(sorted(counted["lang"].unique()))
     if len(languages) > max_languages:
         raise ValueError(f"{len(languages)} languages; max_languages is {max_languages}")
     place, counts = {x: i for i, x in enumerate(languages)}, np.zeros((buckets, len(languages)))
-    for lang, bucket, n in counted:
-        counts[bucket, place[lang]] = n
+    counts[counted["bucket"].to_numpy(np.int64), [place[x] for x in counted["lang"]]] = counted["n"].to_numpy()
     smooth = counts + smoothing
     return Model(languages, np.log(smooth / smooth.sum(axis=0)))
 

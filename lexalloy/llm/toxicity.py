@@ -132,6 +132,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def learned(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, min_contexts: int = 5, min_texts: int = 3, min_precision: float = 0.8, stem_sizes: tuple[int, int] = (4, 8), exceptions: tuple[str, ...] = ()) -> Lexicon:
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("int").alias("y")).filter(learn).distinct()
     sample = docs.select(id_col, folded(F.col(text_col)).alias("f")).join(bounded_sample(known, id_col, max_rows), id_col)
+    sample = sample.groupBy(id_col, "y").agg(F.min("f").alias("f"))  # one text an id, so that a repeated id doesn't exceed the bound
     # copies of a text say what one says: each distinct text counts once
     texts = stored(sample.groupBy(F.xxhash64("f").alias("h")).agg(F.first("f").alias("f"), F.max("y").alias("y")), "toxicity")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

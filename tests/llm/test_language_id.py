@@ -54,3 +54,40 @@ def test_nothing_to_learn_from(spark):
     model = language_id.learned(empty, F.lit(True))
     assert [x.lang_pred for x in language_id.identified(spark.createDataFrame([(1, "abc")], "doc_id long, text string"), model).collect()] == ["und"]
     assert language_id.identified(empty, model).count() == 0
+
+
+def test_mixture_equals_plain_em():
+    import numpy as np
+
+    from lexalloy.llm import language_id as li
+
+    r = np.random.default_rng(3)
+    languages, buckets = ("a", "b", "c"), 512
+    table = r.dirichlet(np.full(buckets, 0.05), 3).T + 1e-6
+    model = li.Model(languages, np.log(table / table.sum(axis=0)))
+    alphabets = ("abcde", "fghij", "klmno")
+    texts = [" ".join("".join(r.choice(list(alphabets[r.choice(3, p=p)]), 5)) for _ in range(60)) for p in ([1, 0, 0], [0.5, 0.5, 0], [0.2, 0.3, 0.5], [0, 0, 1])]
+    for text, (name, score, chosen, shares) in zip(texts, model.infer(texts, 3.0, 12), strict=True):
+        grams = li.hashed_grams([li.normal_form(text)], buckets)[1].tolist()
+        like = np.exp(model.log_likelihood)
+
+        def em(allowed, rounds):
+            p = np.array([1.0 if j in allowed else 0.0 for j in range(3)]) / len(allowed)
+            for _ in range(rounds):
+                new = np.zeros(3)
+                for g in grams:
+                    share = p * like[g]
+                    new += share / share.sum()
+                p = new / len(grams)
+            return p, sum(np.log((p * like[g]).sum()) for g in grams)
+
+        order = np.argsort(-em((0, 1, 2), 12)[0], kind="stable").tolist()
+        best = None
+        for k in (1, 2, 3):
+            p, fit = em(order[:k], 12 if k > 1 else 0)
+            value = fit - 3.0 * k * (1 + 0.5 * np.log(len(grams)))
+            if best is not None and value <= best[0]:
+                break
+            best = (value, p, k)
+        want = sorted(((best[1][j], languages[j]) for j in order[: best[2]]), key=lambda x: (-x[0], x[1]))
+        assert [n for _, n in want] == chosen and np.allclose([s for s, _ in want], shares, atol=1e-6) and name == want[0][1] and abs(score - want[0][0]) < 1e-6

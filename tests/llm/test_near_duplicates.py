@@ -141,3 +141,46 @@ def test_components_of_a_chain(spark):
     nodes = spark.range(50).select((49 - F.col("id")).alias("node"))
     edges = spark.createDataFrame([(i, i + 1) for i in range(29)] + [(i + 1, i) for i in range(30, 49)], "a long, b long")
     assert {(r.node, r.label) for r in nd.components(nodes, edges).collect()} == {(i, 0 if i < 30 else 30) for i in range(50)}
+
+
+def test_recall_of_all_pairs_on_the_given_tables(spark):
+    """Every pair of the small documents table with an ordered or a plain Jaccard coefficient of 0.8 or more is in one class."""
+    import itertools
+    from pathlib import Path
+
+    import pytest
+
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("the driver's tables aren't here")
+    docs = spark.read.parquet(str(path))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    seqs = {i: labelled(t) for i, t in texts.items() if (t or "").strip()}
+    holders = collections.defaultdict(list)
+    for i, s in seqs.items():
+        for g in s:
+            holders[g].append(i)
+    common = collections.Counter()
+    for ids in holders.values():
+        common.update(itertools.combinations(sorted(set(ids)), 2))
+    pairs = [p for p, n in common.items() if n >= 0.8 * (len(seqs[p[0]]) + len(seqs[p[1]]) - n)]
+    classes = {r.doc_id: r.class_id for r in nd.grouped(docs).collect()}
+    caught = sum(classes[a] == classes[b] for a, b in pairs)
+    print(f"{len(pairs)} pairs, {caught} caught")
+    assert len(pairs) > 20 and caught >= 0.99 * len(pairs)
+
+
+def test_kept_columns_may_have_working_names(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, "a", 1.5, None), (2, text, "b", 2.5, "k"), (3, "x " * 50_000, "c", 0.0, "z")], "doc_id long, text string, n string, h double, keys string")
+    rows = {r.doc_id: r for r in nd.grouped(docs, keep=("n", "h", "keys")).collect()}
+    assert [(rows[i].n, rows[i].h, rows[i]["keys"], rows[i].class_id) for i in (1, 2, 3)] == [("a", 1.5, None, 1), ("b", 2.5, "k", 1), ("c", 0.0, "z", 3)]
+
+
+def test_joins_of_hot_keys_equal_plain_ones(spark):
+    from lexalloy.llm.common import split_join
+
+    left = spark.range(6000).select((F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 50)).alias("k"), "id")
+    right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    got = sorted(map(tuple, split_join(left, right, ["k"], share=10).collect()))
+    assert got == sorted(map(tuple, left.join(right, ["k"]).collect())) and len(got) > 3000

@@ -92,3 +92,47 @@ def test_rules_over_documents(spark):
     assert len(got) == docs.count() and rules.rules
     assert np.mean([k == (i is not None and i % 4 != 0) for i, k in got]) > 0.98
     assert decision_lists.judged(docs.limit(0), labels)[0].count() == 0
+
+
+def test_flattened_trees_equal_a_scalar_walk():
+    r = np.random.default_rng(7)
+    x = r.random((1500, 5))
+    y = ((x[:, 0] + x[:, 3] > 1.1) | (x[:, 2] < 0.1)).astype(float)
+    model = boosting.fit(x[:1000], y[:1000], trees=25)
+    for row in x[1000:1200]:
+        total = model.base
+        for t in range(len(model.feature)):
+            node = 0
+            while model.left[t, node] != node:
+                node = int(model.left[t, node] if row[model.feature[t, node]] <= model.threshold[t, node] else model.right[t, node])
+            total += model.value[t, node]
+        assert abs(1 / (1 + np.exp(-total)) - model.predict(row[None])[0]) < 1e-9
+    held = model.predict(x[1000:]) > 0.5
+    assert (held == y[1000:]).mean() > 0.95
+
+
+def test_a_list_of_several_conjunctions_is_learned_in_order(spark):
+    r = np.random.default_rng(9)
+    x = np.round(r.random((6000, 3)), 4)
+    bad = ((x[:, 0] > 0.7) & (x[:, 1] < 0.4)) | ((x[:, 2] > 0.8) & (x[:, 0] < 0.3))
+    rules = decision_lists.learn(x[:4000], (~bad[:4000]).astype(float), ("n_words", "mean_word", "symbol_share"))
+    assert len(rules.rules) >= 2 and max(len(c) for c, _ in rules.rules) >= 2 and rules.default is True
+    rows = spark.createDataFrame([tuple(map(float, v)) for v in x[4000:]], "n_words double, mean_word double, symbol_share double")
+    got = np.array([v.k for v in rows.select(rules.expression().alias("k")).collect()])
+
+    def plain(v):
+        for conditions, verdict in rules.rules:
+            if all((v[("n_words", "mean_word", "symbol_share").index(c.feature)] > c.threshold) == c.above for c in conditions):
+                return verdict
+        return rules.default
+
+    assert got.tolist() == [plain(v) for v in x[4000:]]
+    assert (got == ~bad[4000:]).mean() > 0.93
+
+
+def test_a_repeated_labelled_id_gives_one_row(spark):
+    docs = spark.createDataFrame([(1, "a b c")] * 50 + [(2, "d e f g")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    assert boosting.training_rows(text_stats.with_features(docs), labels, "quality", F.lit(True), "doc_id", 10).count() == 2
+    scored = boosting.scored(docs, labels, F.lit(True))
+    assert scored.count() == 51 and boosting.scored(docs.limit(0), labels, F.lit(True)).count() == 0
