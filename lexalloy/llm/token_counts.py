@@ -43,37 +43,42 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-def stable_boundaries(text: str, starts: np.ndarray) -> np.ndarray:
-    """Those of the token starts at which every encoding of a surrounding part of text cuts."""
-    return np.array([p for p in starts.tolist() if 0 < p < len(text) and text[p] in " \n" and not text[p - 1].isspace() and not _ODD_SPACE.match(text[p - 1])], dtype=np.int64)
+#: A place at which every encoding of a surrounding part of a text cuts: a space or line feed behind no white space.
+_STABLE = re.compile(r"(?<=\S)[ \n]")
 
 
-def encode_by_chunks(tokenizer, text: str, chunk_chars: int, overlap_chars: int) -> Iterator[np.ndarray]:
-    """Yields the ids of successive spliced parts of text; together they are the ids of the whole text."""
+def _token_at(encoding, begin: int, place: int) -> int | None:
+    """The token that begins at a place of the text, in the encoding of its part from begin on; None if none does."""
+    token = encoding.char_to_token(place - begin)
+    return token if token is not None and encoding.token_to_chars(token)[0] == place - begin else None
 
-    def encoded(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        e = tokenizer.encode(text[a:b], add_special_tokens=False)
-        offsets = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
-        return np.array(e.ids, dtype=np.int64), offsets[:, 0] + a
 
-    n, done, begin, end = len(text), 0, 0, min(chunk_chars, len(text))
-    ids, starts = encoded(begin, end)
-    overlap = overlap_chars
+def spliced(tokenizer, text: str, chunk_chars: int, overlap_chars: int) -> Iterator[tuple]:
+    """Yields (encoding of a chunk, first token, one behind the last one): spliced together, they are the tokens of the whole text."""
+    encoded = lambda a, b: tokenizer.encode(text[a:b], add_special_tokens=False)
+    n, done, begin, end, first, overlap = len(text), 0, 0, min(chunk_chars, len(text)), 0, overlap_chars
+    now = encoded(begin, end)
     while end < n:
         after = max(done + 1, end - overlap)  # where the next chunk begins: one character before the first place to splice
         next_end = min(n, max(after + chunk_chars, end + overlap))
-        next_ids, next_starts = encoded(after, next_end)
-        common = np.intersect1d(starts[starts < end - 1], next_starts[next_starts > after])
-        common = stable_boundaries(text, common[common > done])
-        if len(common):
-            p = int(common[len(common) // 2])
-            yield ids[(starts >= done) & (starts < p)]
-            ids, starts, done, end, overlap = next_ids, next_starts, p, next_end, overlap_chars
+        following, middle = encoded(after, next_end), (after + end) // 2
+        places = sorted((m.start() for m in _STABLE.finditer(text, after + 1, max(end - 1, after + 1))), key=lambda p: abs(p - middle))
+        common = ((p, _token_at(now, begin, p), _token_at(following, after, p)) for p in places)
+        found = next((c for c in common if None not in c), None)  # aligned: both chunks have a token that begins there
+        if found:
+            yield now, first, found[1]
+            now, begin, end, overlap, (done, _, first) = following, after, next_end, overlap_chars, found
         else:  # alignment failed: widen the overlap, to the right and to the left
             overlap *= 2
-            end = min(n, end + overlap)
-            ids, starts = encoded(done, end)
-    yield ids[starts >= done]
+            begin, end, first = done, min(n, end + overlap), 0
+            now = encoded(begin, end)
+    yield now, first, len(now)
+
+
+def encode_by_chunks(tokenizer, text: str, chunk_chars: int, overlap_chars: int) -> Iterator[np.ndarray]:
+    """Yields the ids of successive spliced parts of text; together they are the ids of the whole text."""
+    for encoding, first, last in spliced(tokenizer, text, chunk_chars, overlap_chars):
+        yield np.array(encoding.ids[first:last], dtype=np.int64)
 
 
 class Memo:
@@ -108,7 +113,7 @@ def count_text(text: str | None, path: str, chunk_chars: int, overlap_chars: int
         return 0
     if len(text) <= chunk_chars:
         return _memo(path).count(text)
-    return sum(map(len, encode_by_chunks(load_tokenizer(path), text, chunk_chars, overlap_chars)))
+    return sum(last - first for _, first, last in spliced(load_tokenizer(path), text, chunk_chars, overlap_chars))
 
 
 def with_token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int = 512, chunk_chars: int = 8_192, overlap_chars: int = 256) -> DataFrame:
