@@ -176,3 +176,26 @@ def test_feature_columns(spark):
     rows = docs.select(*[c.alias(k) for k, c in (near | summary | meta).items()], features.several_categories(F.col("t"), {"a": ("cat",), "b": ("shoe",)}).alias("two"), F.get(features.characters(F.col("t"), (3, 3)), F.lit(0)).alias("first")).collect()
     assert rows[0].asDict() == {"n_near_animal": 1, "n_near_sport": 1, "n_brands": 2, "n_problematic": 1, "any_problematic": 1, "from_press": 1, "topic_sport": 1, "n_categories": 1, "has_categories": 1, "two": 1, "first": "pum"}
     assert all(v in (0, None) for v in rows[1].asDict().values())
+
+
+def test_registry_tables(spark, tmp_path):
+    from lexalloy.operators import registry
+
+    rows = rows_of(spark, 120)
+    for name in ("logistic", "svm"):
+        scorer = models.fitted(rows, models.Config(name, (("maxIter", 10),), 0.4))
+        registry.save(scorer, f"{tmp_path}/{name}", spark)
+        again = registry.load(f"{tmp_path}/{name}", spark)
+        want, got = ([round(x.probability, 9) for x in s.score(rows).orderBy("doc_id").collect()] for s in (scorer, again))
+        assert want == got and again.config.threshold == 0.4
+    registry.tracked(spark, f"{tmp_path}/runs", "r", "fit", {"f1": 0.5, "recall": 1.0})
+    registry.tracked(spark, f"{tmp_path}/runs", "r", "fit", {"f1": 0.75})
+    assert registry.latest_measures(spark.read.parquet(f"{tmp_path}/runs")).first().measures == {"f1": 0.75, "recall": 1.0}
+    prompts = spark.createDataFrame([("p", [1, 0, 0], "old"), ("p", [1, 2, 0], "new")], "model string, version array<int>, text string")
+    assert registry.current_prompts(prompts).first().text == "new"
+    drift = spark.createDataFrame([("a", 0.3, True), ("b", 0.01, False)], "classifier string, score double, drifted boolean")
+    assert [(x.severity, x.message) for x in registry.alerts(drift).collect()] == [("critical", "a drifted: score 0.300")]
+    words = spark.createDataFrame([(0.83, [("rise", 0.4), ("fall", -0.1)])], "p double, w array<struct<word:string,weight:double>>")
+    assert words.select(registry.explanation(F.col("p"), F.col("w")).alias("x")).first().x == "0.83: +rise (0.40), -fall (0.10)"
+    early, late = evaluation.halves(spark.range(100).withColumn("t", F.col("id")), "t")
+    assert early.count() + late.count() == 100 and abs(early.count() - 50) <= 2
