@@ -10,11 +10,12 @@ what is left against the offset-adjusted postings of all other words: the exact
 ``proximity`` gives places where the rarest words of an item stand within a span of positions, in any order.
 
 Sizes: the test items' words reach the expressions as a literal set only while there are at most ``max_literals`` of
-them; beyond, every word of the corpus is indexed. Phrases are broadcast only while there are at most
-``max_broadcast`` of them; beyond, Spark chooses the join. Results are the same either way.
+them; beyond, every word of the corpus is indexed. Phrases (and their items) are broadcast only while there are at most
+``max_broadcast`` of them; beyond, postings and phrases meet in a shuffle by word, in which common words are salted.
+Results are the same either way.
 
 Defined results: a null text has no words, is clean and has empty lists; an item without words matches nothing; an item
-that occurs in several rows is listed once; repeated document rows are judged each; empty tables give empty tables or
+that occurs in several rows is listed once; an item without an id counts as a hit and is listed nowhere; repeated document rows are judged each; empty tables give empty tables or
 clean documents; further columns of the inputs are ignored.
 """
 
@@ -66,33 +67,59 @@ def frequencies(index: DataFrame) -> DataFrame:
     return index.select(F.explode("word").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
 
 
-def ranked(patterns: DataFrame, index: DataFrame) -> DataFrame:
-    """patterns with order: the offsets of the phrase's words from the rarest to the commonest in the corpus. A pattern with an unseen word can't occur and goes."""
+def ranked(patterns: DataFrame, counts: DataFrame) -> DataFrame:
+    """patterns with order: (n, offset) of the phrase's words from the rarest to the commonest in the corpus. A pattern with an unseen word can't occur and goes. counts: ``frequencies``."""
     offsets = patterns.select("phrase", "items", F.posexplode("phrase").alias("offset", "w"))
-    counted = offsets.join(frequencies(index), "w")
-    ordered = counted.groupBy("phrase", "items").agg(F.sort_array(F.collect_list(F.struct("n", "offset"))).alias("o"))
-    return ordered.filter(F.size("o") == F.size("phrase")).select("phrase", "items", F.transform("o", lambda x: x.offset).alias("order"))
-
-
-def matches(index: DataFrame, patterns: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
-    """row, doc_id, n_words and hits, the exact occurrences of phrases: array of (start, length, items), empty where there are none."""
-    plan = stored(ranked(patterns, index).withColumn("phrase_id", F.monotonically_increasing_id()), "phrases")
-    hinted = F.broadcast if plan.count() <= max_broadcast else (lambda df: df)
-    lists = plan.select("phrase_id", F.least(F.size("order"), F.lit(2)).alias("lists"), "phrase", F.explode(F.slice("order", 1, 2)).alias("offset"))
-    lists = lists.select("phrase_id", "lists", "offset", F.element_at("phrase", F.col("offset") + 1).alias("word"))
-    postings = index.select("row", F.inline(F.arrays_zip("word", "at")).alias("word", "at"))
-    starts = postings.join(hinted(lists), "word").select("row", "phrase_id", "lists", (F.col("at") - F.col("offset")).alias("start")).filter("start >= 0")
-    both = starts.groupBy("row", "phrase_id", "start", "lists").agg(F.count("*").alias("n")).filter("n = lists")
-    candidates = both.join(hinted(plan.select("phrase_id", "phrase", "items")), "phrase_id").groupBy("row").agg(F.collect_list(F.struct("start", "phrase", "items")).alias("candidates"))
+    counted = offsets.join(counts, "w")
+    ordered = counted.groupBy("phrase", "items").agg(F.sort_array(F.collect_list(F.struct("n", "offset"))).alias("order"))
+    return ordered.filter(F.size("order") == F.size("phrase")).select("phrase", "items", "order")
+
+
+def sought(postings: DataFrame, lists: DataFrame, total: int, salt_rows: int) -> DataFrame:
+    """postings joined with lists by word through a shuffle, in which no word keeps more than about ``salt_rows`` postings
+    together: a commoner word's are dealt over salts, its lists repeated for each. At most 10,000 words are that common
+    (their number is broadcast). lists: word, n (the word's postings)."""
+    most = max(salt_rows, total // 10_000)
+    common = lists.filter(F.col("n") > most).select("word", F.ceil(F.col("n") / most).cast("int").alias("salts")).distinct()
+    dealt = postings.join(F.broadcast(common), "word", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row", "at"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    salts = F.sequence(F.lit(0), F.when(F.col("n") > most, F.ceil(F.col("n") / most).cast("int") - 1).otherwise(0))
+    return dealt.join(lists.withColumn("salt", F.explode(salts)), ["word", "salt"]).drop("salt", "n")
+
+
+def matches(index: DataFrame, patterns: DataFrame, max_broadcast: int = 100_000, salt_rows: int = 1_000_000) -> DataFrame:
+    """row, doc_id, n_words; hits, the exact occurrences of phrases: array of (start, length), ascending; items, the distinct
+    items that have them, ascending. Both are empty where there are none."""
+    counts = frequencies(index)
+    plan = stored(ranked(patterns, counts).withColumn("phrase_id", F.monotonically_increasing_id()), "phrases")
+    few = plan.count() <= max_broadcast
+    hinted = F.broadcast if few else (lambda df: df)
+    lists = plan.select("phrase_id", F.least(F.size("order"), F.lit(2)).alias("lists"), "phrase", F.explode(F.slice("order", 1, 2)).alias("o"))
+    lists = lists.select("phrase_id", "lists", F.col("o.offset").alias("offset"), F.element_at("phrase", F.col("o.offset") + 1).alias("word"), F.col("o.n").alias("n"))
+    postings = index.select("row", F.posexplode(F.arrays_zip("word", "at")).alias("i", "p")).select("row", "i", "p.word", "p.at")
+    if few:
+        found = postings.join(F.broadcast(lists), "word")
+    else:
+        found = sought(postings, lists, counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], salt_rows)
+    # all words of an occurrence are indexed, so its first one is as many postings back as it is words back
+    starts = found.select("row", "phrase_id", "lists", (F.col("at") - F.col("offset")).alias("start"), (F.col("i") - F.col("offset")).alias("i")).filter("i >= 0")
+    both = starts.groupBy("row", "phrase_id", "start", "i", "lists").agg(F.count("*").alias("n")).filter("n = lists")
+    candidates = both.join(hinted(plan.select("phrase_id", "phrase")), "phrase_id").groupBy("row").agg(F.collect_list(F.struct("start", "i", "phrase", "phrase_id")).alias("candidates"))
 
     def occurs(c: Column) -> Column:
-        """The words indexed from c.start on are those of the phrase, and stand side by side."""
+        """The words indexed from place c.i on are those of the phrase, and stand side by side from c.start on."""
         size = F.size(c.phrase)
-        return let(F.array_position("at", c.start), lambda i: (i > 0) & (F.slice("word", i.cast("int"), size) == c.phrase) & (F.get("at", (i - 2).cast("int") + size) == c.start + size - 1))
+        return (F.slice("word", c.i + 1, size) == c.phrase) & (F.get("at", c.i) == c.start) & (F.get("at", c.i + size - 1) == c.start + size - 1)
 
-    hits = F.transform(F.filter("candidates", occurs), lambda c: F.struct(c.start.alias("start"), F.size(c.phrase).alias("length"), c["items"].alias("items")))
-    joined = index.join(candidates, "row", "left")
-    return joined.select("row", "doc_id", "n_words", F.coalesce(hits, F.array().cast(f"array<struct<start:int,length:int,items:{patterns.schema['items'].dataType.simpleString()}>>")).alias("hits"))
+    hits = F.transform(F.filter("candidates", occurs), lambda c: F.struct(c.start.alias("start"), F.size(c.phrase).alias("length"), c.phrase_id.alias("phrase_id")))
+    exact = stored(index.join(candidates, "row").select("row", hits.alias("hits")).filter(F.size("hits") > 0), "hits")
+    # a phrase's items are joined once a document that has it, not once an occurrence
+    held = exact.select("row", F.explode(F.array_distinct(F.transform("hits", lambda h: h.phrase_id))).alias("phrase_id"))
+    of_phrase = plan.select("phrase_id", F.explode("items").alias("item_id"))
+    items = held.join(hinted(of_phrase) if few and of_phrase.count() <= max_broadcast else of_phrase, "phrase_id").groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    spans = exact.select("row", F.sort_array(F.transform("hits", lambda h: F.struct(h.start.alias("start"), h.length.alias("length")))).alias("hits"))
+    kind = patterns.schema["items"].dataType.simpleString()
+    found = index.select("row", "doc_id", "n_words").join(spans.join(items, "row", "left"), "row", "left")
+    return found.select("row", "doc_id", "n_words", F.coalesce("hits", F.array().cast("array<struct<start:int,length:int>>")).alias("hits"), F.coalesce("items", F.array().cast(kind)).alias("items"))
 
 
 def proximity(index: DataFrame, items: DataFrame, rarest: int = 3, span: int = 26, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -115,7 +142,5 @@ def covered(intervals: Column) -> Column:
 def judged(docs: DataFrame, items: DataFrame, window: int = 13, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: row, doc_id, n_words, n_hit (words inside occurrences), items (ids of occurring items, sorted), contaminated (a hit, and at least one word in ``one_in``)."""
     found = matches(build_index(docs, items, id_col, text_col), phrases(items, window))
-    spans = F.sort_array(F.transform("hits", lambda h: F.struct(h.start.alias("start"), h.length.alias("length"))))
-    ids = F.sort_array(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    out = found.select("row", "doc_id", "n_words", covered(spans).cast("long").alias("n_hit"), ids.alias("items"))
+    out = found.select("row", "doc_id", "n_words", covered(F.col("hits")).cast("long").alias("n_hit"), "items")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words")))

@@ -52,9 +52,20 @@ def test_other_paths_give_the_same(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     index, full = dc.build_index(d, b), dc.build_index(d, b, max_literals=3)
     patterns = dc.phrases(b, 13)
-    found = lambda i, **more: sorted((r["row"], sorted(tuple(h) for h in r["hits"])) for r in dc.matches(i, patterns, **more).collect())
+    found = lambda i, **more: sorted((r["row"], sorted(tuple(h) for h in r["hits"]), r["items"]) for r in dc.matches(i, patterns, **more).collect())
     want = found(index)
-    assert any(h for _, h in want) and found(full) == want and found(index, max_broadcast=0) == want
+    assert any(h for _, h, _ in want) and found(full) == want and found(index, max_broadcast=0) == want
+    assert found(full, max_broadcast=0, salt_rows=5) == want  # the commonest words in many salts
+
+
+def test_a_phrase_of_many_items(spark):
+    docs = [(i, "one two three " * (1 + i % 7)) for i in range(30)] + [(99, "one two four")]
+    items = [(i, "two three") for i in range(300)] + [(500, "two")]
+    assert run(spark, docs, items) == sorted(brute(docs, items))
+
+
+def test_items_without_an_id_hit_and_are_not_listed(spark):
+    assert run(spark, [(1, "a b c"), (2, "b c")], [(None, "b c")]) == [(1, 3, 2, [], True), (2, 2, 2, [], True)]
 
 
 def test_empty_tables(spark):
