@@ -58,39 +58,41 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class PieceIds:
     """Ids of texts by their pieces, whose ids are remembered. The tokenizer lower-cases a text, drops white space and
     cuts it into pieces, which it encodes each for itself; so a text's ids are those of its pieces, one after the other.
-    Arrow does the cutting, and finds the distinct pieces of a slice of texts."""
+    Arrow does it in steps, each for distinct values of a slice of texts only: texts into runs without white space, runs
+    into pieces, pieces into remembered ids."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.of_pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.of_pieces):
+            t.no_truncation()
+            t.no_padding()
+        # pieces are lower-cased and cut already, and hold no character that the normalizer changes otherwise (_NOT_PLAIN)
+        self.of_pieces.normalizer = None
+        self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(1 << 16, dtype=bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.flat, self.sizes = pa.array([], pa.string()), np.zeros(0, "<u2"), np.zeros(0, np.int64)
 
     def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (unsigned 16-bit), one text after the other, and how many each has."""
         texts = pc.fill_null(texts, "")
         plain = pc.invert(pc.match_substring_regex(texts, _NOT_PLAIN))
-        cut = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(plain, texts, "")), pattern=_CUTS, replacement=r" \1 ")
-        lists = pc.utf8_split_whitespace(cut)
-        bounds, pieces = lists.offsets.to_numpy(), pc.dictionary_encode(lists.values)
-        found = self._ids_of(pieces.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 2
-        flat, begin = np.frombuffer(b"".join(found), dtype="<u2"), np.cumsum(sizes) - sizes
-        codes = pieces.indices.to_numpy()
-        many = sizes[codes]
-        upto = np.concatenate(([0], np.cumsum(many)))
-        ids = flat[np.arange(upto[-1]) + np.repeat(begin[codes] - upto[:-1], many)]
-        places = upto[bounds]
-        lengths = np.diff(places)
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(plain, texts, "")))
+        runs = pc.dictionary_encode(lists.values)
+        cut = pc.utf8_split_whitespace(pc.replace_substring_regex(runs.dictionary, pattern=_CUTS, replacement=r" \1 "))
+        pieces = pc.dictionary_encode(cut.values)
+        of_runs, run_sizes = _joined(*self._ids_of(pieces.dictionary), pieces.indices.to_numpy(), cut.offsets.to_numpy())
+        ids, lengths = _joined(of_runs, run_sizes, runs.indices.to_numpy(), lists.offsets.to_numpy())
         other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
         if len(other):
-            parts = [ids[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
+            parts = np.split(ids, np.cumsum(lengths)[:-1])
             for i in other.tolist():
                 parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype="<u2")
             ids, lengths = np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
@@ -99,30 +101,48 @@ class PieceIds:
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_many(pa.array([text], pa.string()))[0]
 
-    def _ids_of(self, pieces: list[str]) -> list[bytes]:
-        known = self.known
-        new = [p for p in pieces if p and p not in known]
-        if len(known) + len(new) > _MEMO_MAX:
-            known.clear()
-            new = [p for p in pieces if p]
-        fresh = dict(zip(new, self._encoded(new), strict=True))
-        known.update(fresh)
-        out = [known[p] if p else b"" for p in pieces]
-        for p in new:  # long pieces aren't remembered, nor is anything beyond the memo's size
-            if len(p) > _PIECE_MAX or len(known) > _MEMO_MAX:
-                del known[p]
-        return out
-
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        """Encoded in one go, and cut behind each id that ends a word."""
-        if not pieces:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u2")
+    def _ids_of(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces, one piece after the other, and how many each has."""
+        at = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(at.is_null())
+        fresh, fresh_sizes = self._encoded(new.to_pylist())
+        flat, sizes = np.concatenate((self.flat, fresh)), np.concatenate((self.sizes, fresh_sizes))
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        place[at.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        found = _joined(flat, sizes, place, np.arange(len(place) + 1))
+        # a full memo is left for the pieces of this slice, which hold the frequent ones; long pieces aren't remembered
+        if len(sizes) > _MEMO_MAX:
+            self.known, self.flat, self.sizes = pieces, *found
+        else:
+            self.known, self.flat, self.sizes = pa.concat_arrays([self.known, new]), flat, sizes
+        stay = (pc.binary_length(self.known).to_numpy() <= _PIECE_MAX) & (np.arange(len(self.known)) < _MEMO_MAX)
+        if not stay.all():
+            kept = np.flatnonzero(stay)
+            self.flat, self.sizes = _joined(self.flat, self.sizes, kept, np.arange(len(kept) + 1))
+            self.known = self.known.filter(pa.array(stay))
+        return found
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encoded in one go, and cut behind each id that ends a word. (The empty string has no ids.)"""
+        filled = np.array([p != "" for p in pieces], dtype=bool)
+        sizes = np.zeros(len(pieces), np.int64)
+        if not filled.any():
+            return np.zeros(0, "<u2"), sizes
+        ids = np.array(self.of_pieces.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u2")
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(pieces):
-            return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        buffer, at = ids.tobytes(), [0, *(2 * cuts).tolist()]
-        return [buffer[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+        if len(cuts) == filled.sum():
+            sizes[filled] = np.diff(cuts, prepend=0)
+            return ids, sizes
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for e in each for i in e], dtype="<u2"), np.array([len(e) for e in each], dtype=np.int64)
+
+
+def _joined(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the values with these codes, one after the other, and how many fall to each list of codes within bounds.
+    Value i has sizes[i] ids; flat holds those of all values in order."""
+    begin, many = np.cumsum(sizes) - sizes, sizes[codes]
+    upto = np.concatenate(([0], np.cumsum(many)))
+    return flat[np.arange(upto[-1]) + np.repeat(begin[codes] - upto[:-1], many)], np.diff(upto[bounds])
 
 
 @lru_cache(maxsize=2)
@@ -303,7 +323,7 @@ def packed(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, id_c
             from pyspark import TaskContext
 
             ends, sequence = word_ends(path, end_id), ((round_ << 22) + TaskContext.get().partitionId()) << 36
-            _pieces(path).known.clear()  # this worker's memo isn't needed any more
+            _pieces(path).forget()  # this worker's memo isn't needed any more
 
             def shard(units: list[tuple], last: bool) -> tuple[list[tuple], list[tuple]]:
                 nonlocal sequence
