@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, decision_lists, decontamination, language_id, near_duplicates, packing, secrets, token_counts, toxicity, url_filters
+from . import boosting, decision_lists, decontamination, language_id, near_duplicates, packing, prefix_trie, secrets, token_counts, toxicity, url_filters, vector_links, whitening
 from .common import fold, held_out, table
 
 
@@ -81,6 +81,53 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op3_url_filters": op3_url_filters, "op9_near_duplicates": op9_near_duplicates, "op5_language_id": op5_language_id, "op6_secrets": op6_secrets, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op10_quality_classifier": op10_quality_classifier, "op4_decontamination": op4_decontamination, "op1_packing": op1_packing, "op2_token_counts": op2_token_counts}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), k=8)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    nodes = prefix_trie.trie(table(spark, sf_dir, "conversations"), head=fold("conv_id", 9), base=c - c % 5, longest=8)
+    return nodes.drop("enter", "exit")
+
+
+#: crc32 a bit at a time; prefixes as lists of turns.
+OP12_SQL = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce("text", '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce("text", '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT c, flatten(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: [CAST(ascii(substr(CAST(c AS VARCHAR), i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS b FROM (SELECT DISTINCT c FROM t)),
+ids AS (SELECT c, c - c % 5 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda s, e: CASE WHEN xor(s, e) % 2 = 1 THEN xor(xor(s, e) // 2, 3988292384) ELSE xor(s, e) // 2 END), 4294967295) % 9 AS h FROM bits),
+heads AS (SELECT ids.c, t.p, t.r, t.x FROM ids JOIN t ON t.c = ids.base AND t.p <= ids.h),
+shared AS (SELECT c, count(*) AS n FROM heads GROUP BY c),
+turns AS (SELECT * FROM heads UNION ALL SELECT ids.c, t.p - ids.h + coalesce(shared.n, 0), t.r, t.x FROM ids JOIN t ON t.c = ids.c AND t.p > ids.h LEFT JOIN shared ON shared.c = ids.c),
+pre AS (SELECT c, p AS d, list({'r': r, 'x': x}) OVER (PARTITION BY c ORDER BY p) AS k, x FROM turns
+  UNION ALL SELECT c, 0, CAST([] AS STRUCT(r VARCHAR, x VARCHAR)[]), '' FROM ids),
+nodes AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * strlen(any_value(x)) AS saved FROM pre GROUP BY d, k),
+linked AS (SELECT n.*, u.conv_id AS parent FROM nodes n LEFT JOIN nodes u ON n.d > 0 AND u.d = n.d - 1 AND u.k = n.k[1 : n.d - 1]),
+children AS (SELECT d - 1 AS d, parent AS conv_id, count(*) AS n FROM linked WHERE d > 0 GROUP BY 1, 2),
+whole AS (SELECT l.*, coalesce(ch.n, 0) AS n_children FROM linked l LEFT JOIN children ch ON ch.d = l.d AND ch.conv_id = l.conv_id),
+inside AS (SELECT u.d, u.conv_id, count(*) FILTER (WHERE n.n_children = 0) AS n_leaves, sum(n.saved) AS saved FROM whole n, unnest(range(0, n.d + 1)) AS a(up) JOIN nodes u ON u.d = a.up AND u.k = n.k[1 : a.up] GROUP BY 1, 2),
+ends AS (SELECT n.d, n.conv_id, string_agg(CAST(e.c AS VARCHAR), ',' ORDER BY e.c) AS ids FROM (SELECT c, max(d) AS d, arg_max(k, d) AS k FROM pre GROUP BY c) e JOIN nodes n ON n.d = e.d AND n.k = e.k GROUP BY 1, 2)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, w.parent AS parent_conv_id, CAST(w.n_convs AS BIGINT) AS n_convs, CAST(w.n_children AS BIGINT) AS n_children, CAST(i.n_leaves AS BIGINT) AS n_leaves, CAST(i.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM whole w JOIN inside i ON i.d = w.d AND i.conv_id = w.conv_id LEFT JOIN ends e ON e.d = w.d AND e.conv_id = w.conv_id
+"""
+
+
+def op13_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.grouped(table(spark, sf_dir, "embeddings"), threshold=0.95).select("vec_id", "n_links", "component_id", "kept")
+
+
+OP13_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS row, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT row, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_dot_product(e, e) > 0),
+near AS MATERIALIZED (SELECT a.row AS a, b.row AS b FROM u a JOIN u b ON a.row <> b.row AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.95),
+reach AS (SELECT row AS a, row AS b FROM v UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b),
+links AS (SELECT a, count(*) AS n FROM near GROUP BY a),
+least AS (SELECT reach.a, min(v.vec_id) AS component FROM reach JOIN v ON v.row = reach.b GROUP BY reach.a)
+SELECT v.vec_id, CAST(coalesce(links.n, 0) AS BIGINT) AS n_links, least.component AS component_id, v.vec_id = least.component AS kept FROM v LEFT JOIN links ON links.a = v.row LEFT JOIN least ON least.a = v.row
+"""
+
+
+QUERIES = {"op3_url_filters": op3_url_filters, "op9_near_duplicates": op9_near_duplicates, "op5_language_id": op5_language_id, "op6_secrets": op6_secrets, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op10_quality_classifier": op10_quality_classifier, "op4_decontamination": op4_decontamination, "op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op11_whitening": op11_whitening, "op12_prefix_trie": op12_prefix_trie, "op13_vector_links": op13_vector_links}
 
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_links": OP13_SQL}
