@@ -96,16 +96,22 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
 
 def training_rows(features: DataFrame, labels: DataFrame, label_col: str, learn: Column, id_col: str, max_rows: int) -> DataFrame:
     """Labelled rows that may be learned from: their FEATURES and y. About max_rows at most, picked by hash of the id; an id that
-    several rows have gives one row (the least), so that no repeated id exceeds the bound."""
+    several rows have gives one row (the least), so that no repeated id exceeds the bound; an id with both labels gives a row a label."""
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).cast("int").alias("y")).filter(learn).distinct()
     joined = features.join(bounded_sample(known, id_col, max_rows), id_col)
-    return joined.groupBy(id_col, "y").agg(F.min(F.struct(*text_stats.FEATURES)).alias("row")).select("row.*", "y")
+    return joined.groupBy(id_col, "y").agg(F.min(F.struct(*text_stats.FEATURES)).alias("row")).select("row.*", "y", F.xxhash64(F.col(id_col).cast("string"), F.lit(5)).alias("order"))
+
+
+def fetched(rows: DataFrame) -> np.ndarray:
+    """``training_rows`` on the driver (their number is bounded), in the order of a hash of the id: the same at every run."""
+    found = sorted((r[-1], *r[:-1]) for r in rows.collect())
+    return np.array([r[1:] for r in found], dtype=np.float64).reshape(-1, len(text_stats.FEATURES) + 1)
 
 
 def scored(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), max_rows: int = 20_000, threshold: float = 0.7) -> DataFrame:
     """One row a document: id, the columns in keep, score, predicted. learn: says of a labels row whether it may be learned from."""
     features = stored(text_stats.with_features(docs.select(id_col, text_col, *keep), text_col), "features")
-    rows = np.array([tuple(r) for r in training_rows(features, labels, label_col, learn, id_col, max_rows).collect()], dtype=np.float64).reshape(-1, len(text_stats.FEATURES) + 1)
+    rows = fetched(training_rows(features, labels, label_col, learn, id_col, max_rows))
     model = features.sparkSession.sparkContext.broadcast(fit(rows[:, :-1], rows[:, -1]))  # trees x nodes, whatever the corpus
 
     @F.pandas_udf(T.DoubleType())

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text_stats
-from .boosting import training_rows
+from .boosting import fetched, training_rows
 from .common import stored
 
 
@@ -75,7 +75,7 @@ def learn(x: np.ndarray, y: np.ndarray, features: tuple[str, ...], cuts: int = 2
                 conditions.append(Condition(name, above, float(t)))
                 masks.append(x[:, f] > t if above else x[:, f] <= t)
     masks = np.array(masks)
-    turn = np.zeros(len(y), bool)  # the pruning part: every third row of each label
+    turn = np.zeros(len(y), bool)  # the pruning part: every third row of each label, in the order of a hash of the ids
     for label in (0, 1):
         turn[np.flatnonzero(y == label)[2::3]] = True
     left, rules = np.ones(len(y), bool), []
@@ -113,6 +113,6 @@ def judged(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_co
     """The statistics, base_failed and kept of every document, and the list behind kept."""
     features = stored(text_stats.with_features(docs.select(id_col, text_col, *keep), text_col), "rules")
     sample = training_rows(features.filter(~F.col("base_failed")), labels, label_col, F.lit(True), id_col, max_rows)
-    rows = np.array([tuple(r) for r in sample.collect()], dtype=np.float64).reshape(-1, len(text_stats.FEATURES) + 1)
+    rows = fetched(sample)
     rules = learn(rows[:, :-1], rows[:, -1], text_stats.FEATURES)
     return features.withColumn("kept", ~F.col("base_failed") & rules.expression()), rules

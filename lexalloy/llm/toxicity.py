@@ -13,6 +13,7 @@ text's words, fitted on the same labelled texts. A bounded sample of labelled ro
 matching covers every whole text.
 
 Defined results: a null or empty text matches nothing and gets the score of no match; repeated rows are scored each;
+an id with both labels counts as label 1;
 without labels of both kinds the lexicon is empty and every score is the share of ones (0 without labels); an empty table
 gives an empty table; a very long text is matched whole, in time linear in its length but for the sorting of its matches;
 further columns pass through, and score and predicted replace columns of these names. The lexicon holds words of the
@@ -153,10 +154,7 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str =
     stem_weights = {w: v for w, v in stem_weights.items() if not any(w[:k] in stem_weights for k in range(stem_sizes[0], len(w)))}
     inside = lambda w: any(w[:k] in stem_weights for k in range(stem_sizes[0], len(w) + 1))
     entries = {r.w: r.weight for r in chosen if not r.forms and not inside(r.w)} | stem_weights
-    clean = F.lit(False)
-    for stem in stem_weights:
-        clean = clean | F.col("w").startswith(stem)
-    excepted = [r.w for r in by_word.filter((F.col("t") == 0) & clean).collect()] if stem_weights else []
+    excepted = under_stems(by_word.filter("t = 0").select("w"), sorted(stem_weights), stem_sizes) if stem_weights else []
     dropped(by_word)
     lexicon = Lexicon(entries, frozenset(stem_weights), frozenset([*excepted, *exceptions]) - entries.keys())
     measured = texts.select("y", matches(F.col("f"), lexicon).alias("m")).select("y", "m.*").collect()
@@ -166,13 +164,21 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str =
     return Lexicon(lexicon.entries, lexicon.stems, lexicon.exceptions, slope, offset)
 
 
+def under_stems(words: DataFrame, stems: list[str], stem_sizes: tuple[int, int]) -> list[str]:
+    """The words that begin with a stem: their beginnings are joined with the stems, however many there are."""
+    known = words.sparkSession.createDataFrame([(s,) for s in stems], "beginning string")
+    sizes = F.filter(F.sequence(F.lit(stem_sizes[0]), F.lit(stem_sizes[1])), lambda k: k <= F.length("w"))
+    beginnings = words.select("w", F.explode(F.transform(sizes, lambda k: F.substring(F.col("w"), F.lit(1), k))).alias("beginning"))
+    return [r.w for r in beginnings.join(known, "beginning", "left_semi").select("w").distinct().collect()]
+
+
 def matches(text: Column, lexicon: Lexicon) -> Column:
     """total (matched weight) and words of a folded text."""
 
     @F.pandas_udf(T.StructType([T.StructField("total", T.DoubleType()), T.StructField("words", T.LongType())]))
     def match(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"total": [lexicon.matched(t) if lexicon.entries else 0.0 for t in part], "words": [t.count(" ") + t.count("\n") + 1 for t in part]})
+            yield pd.DataFrame({"total": [lexicon.matched(t) if lexicon.entries else 0.0 for t in part], "words": [len(t.split()) for t in part]})
 
     return match(text)
 

@@ -91,3 +91,26 @@ def test_mixture_equals_plain_em():
             best = (value, p, k)
         want = sorted(((best[1][j], languages[j]) for j in order[: best[2]]), key=lambda x: (-x[0], x[1]))
         assert [n for _, n in want] == chosen and np.allclose([s for s, _ in want], shares, atol=1e-6) and name == want[0][1] and abs(score - want[0][0]) < 1e-6
+
+
+def test_what_counts_as_a_letter(model):
+    for text in ("½ ²", "Ⅷ", "٣ 12", "_", "①②", "", "…", "༳"):
+        assert model.infer([text], 3.0, 12)[0][0] == "und", text
+    for text in ("ª", "中", "가", "ñ", "²a", "ʰ", "א"):
+        assert model.infer([text], 3.0, 12)[0][0] != "und", text
+    assert language_id.normal_form("a½b Ⅷ c") == " a b c "
+
+
+def test_many_languages_in_pages(spark):
+    """More languages than a page holds, and the same answers as from a matrix."""
+    r = random.Random(7)
+    names = [f"l{i:03}" for i in range(230)]
+    words = {n: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for n in names}
+    say = lambda n, k: " ".join(r.choice(words[n]) for _ in range(k))
+    docs = spark.createDataFrame([(i, say(n, 40), n) for i, n in enumerate(names * 2)], "doc_id long, text string, lang string")
+    paged, whole = language_id.learned(docs, F.lit(True)), language_id.learned(docs, F.lit(True), dense=1000)
+    assert paged.sparse is not None and whole.sparse is None and len(paged.languages) == 230
+    texts = [say(n, 30) for n in names[::10]] + [say("l001", 60) + " " + say("l200", 30)]
+    a, b = paged.infer(texts, 3.0, 12), whole.infer(texts, 3.0, 12)
+    assert [x[0] for x in a] == names[::10] + ["l001"] and a[-1][2] == ["l001", "l200"]
+    assert [(x[0], x[2]) for x in a] == [(x[0], x[2]) for x in b] and np.allclose([x[1] for x in a], [x[1] for x in b])

@@ -71,3 +71,30 @@ def test_contexts_are_distinct_pairs(spark):
     docs = spark.createDataFrame([("a b a b c",), ("",), ("x",)], "t string")
     rows = [[tuple(p) for p in r[0]] for r in docs.select(toxicity.contexts_of(docs.t)).collect()]
     assert rows == [[("a", "b"), ("b", "a"), ("b", "c"), ("c", "")], [], [("x", "")]]
+
+
+def test_thousands_of_stems(spark):
+    """The lexicon's size doesn't reach any plan: 1,500 stems, each with clean words under it."""
+    from itertools import product
+
+    from lexalloy.llm import toxicity
+
+    stems = ["".join(p) + "qz" for p in product("bdfgkm", "aeu", "nprtv", "aeoukgbdmnprtvfhj")][:1500]
+    rows, labels = [], []
+    for i, s in enumerate(stems):
+        for j, end in enumerate(("er", "ut", "on", "ak")):
+            rows.append((len(rows), f"w{i % 7}{j} {s}{end} v{i % 11} {s}{end} u{j} {s}{end} t{i % 5} {s}{end}"))
+            labels.append((len(labels), 1))
+    for i in range(2000):
+        rows.append((len(rows), f"plain words w{i % 7} and v{i % 11} {stems[i % 1500]}clean here"))
+        labels.append((len(labels), 0))
+    lexicon = toxicity.learned(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True), min_contexts=2, min_texts=2, min_precision=0.6)
+    assert len(lexicon.stems) > 1000 and len(lexicon.exceptions) > 1000
+    assert sorted(toxicity.under_stems(spark.createDataFrame([("abcdefgh",), ("abcx",), ("abc",), ("zzzzzz",)], "w string"), ["abcd", "abcx"], (4, 8))) == ["abcdefgh", "abcx"]
+
+
+def test_words_are_counted_by_any_space(spark):
+    from lexalloy.llm import toxicity
+
+    texts = spark.createDataFrame([("a b\tc  d\n\ne ",), ("",)], "f string")
+    assert [r.m.words for r in texts.select(toxicity.matches(F.col("f"), toxicity.Lexicon({})).alias("m")).collect()] == [5, 0]
