@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -202,35 +200,27 @@ def weighted_terms(docs: DataFrame, id_col: str, terms: Column, min_df: int = 2,
 
 
 def vectors(weights: DataFrame, id_col: str) -> DataFrame:
-    """(id, features): one sparse vector a document, places by the terms' order; the vocabulary is bounded by max_features."""
-    from pyspark.ml.functions import array_to_vector
+    """(id, features): one sparse vector a document, as long as the vocabulary (which max_features bounds), places by the terms' order."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
     terms = [r.term for r in weights.select("term").distinct().orderBy("term").collect()]
     numbers = weights.sparkSession.createDataFrame(list(enumerate(terms)), "place int, term string")
-    placed = weights.join(F.broadcast(numbers), "term").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(max(len(terms) - 1, 0))), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return placed.select(id_col, array_to_vector(dense).alias("features"))
+    few = F.broadcast(numbers) if len(terms) <= 200_000 else numbers
+    placed = weights.join(few, "term").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("m"))
+    size = max(len(terms), 1)
+    sparse = F.udf(lambda places, values: Vectors.sparse(size, places, values), VectorUDT())  # no built-in function makes a sparse vector
+    return placed.select(id_col, sparse("m.place", "m.weight").alias("features"))
 
 
 def latent(rows: DataFrame, components: int, features: str = "features") -> DataFrame:
     """rows with ``latent``: their features projected on the first right singular vectors (truncated SVD, as the rows aren't
-    centred). The Gram matrix is summed over all rows on the executors, its size is that of the vocabulary."""
+    centred); see ``latent.factorised``, which keeps rows sparse."""
     from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    found = RowMatrix(rows.select(features).rdd.map(lambda r: Vectors.fromML(r[0]))).computeSVD(components, computeU=False)
-    basis = found.V.toArray()
-    basis = basis * [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in basis.T]  # a sign for each, so that runs agree
-    shared = rows.sparkSession.sparkContext.broadcast(basis)
-
-    @F.pandas_udf("array<double>")
-    def project(part: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(part.to_list()) @ shared.value))
 
-    from pyspark.ml.functions import vector_to_array
+    from . import latent as factors
 
-    return rows.withColumn("latent", array_to_vector(project(vector_to_array(features))))
+    out = factors.factorised(rows, components, features).apply(rows, features)
+    return out.withColumn("latent", array_to_vector("latent"))
 
 
 def assembled_blocks(df: DataFrame, blocks: Mapping[str, Sequence[str]], fit_on: Column | None = None) -> tuple[DataFrame, dict[str, list[str]]]:

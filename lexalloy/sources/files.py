@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,3 +94,14 @@ def cascade(gone: DataFrame, articles: DataFrame, chunks: DataFrame, labels: Dat
     kept_evidence = evidence.join(lost_labels, "brand_label_id", "left_anti").join(lost_chunks, F.col("chunk_id") == F.col("_chunk"), "left")
     kept_evidence = kept_evidence.withColumn("chunk_id", F.when(F.col("_chunk").isNull(), F.col("chunk_id"))).drop("_chunk")
     return {"articles": articles.join(gone.select("id"), "id", "left_anti"), "chunks": chunks.join(ids, "article_id", "left_anti"), "labels": kept_labels, "evidence": kept_evidence}
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: rows are computed once, and a lost executor loses nothing. Spark deletes
+    the folder when its JVM ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lexalloy-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.parquet(path)
