@@ -162,18 +162,22 @@ def settled(basis: np.ndarray) -> np.ndarray:
     return basis @ turn
 
 
-def tuned(rows: DataFrame, sizes: Sequence[int], base: models.Config, fit_on: Column | None = None, folds: int = 3, id_col: str = "doc_id", others: Sequence[str] = (), seed: int = 42) -> DataFrame:
-    """A row a number of components: its share of squares, and mean and deviation of all measures over test folds. One factorisation
-    (of the rows of fit_on) and one projection serve all sizes, whose components are the first ones of the largest; ``others`` are columns
-    (numbers) that stand beside them and are computed once."""
-    found = factorised(rows if fit_on is None else rows.filter(fit_on), max(sizes), base.features, seed=seed)
-    kept = stored(found.apply(rows, base.features).select(id_col, base.label, "latent", *others), "latent_rows")
+def swept(rows: DataFrame, found: Latent, sizes: Sequence[int], base: models.Config, folds: int = 3, id_col: str = "doc_id", others: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """A row a number of components: its share of squares, and mean and deviation of all measures over test folds. rows: with found's
+    components in ``latent``, stored; the first ones serve each size. ``others`` are columns (numbers) that stand beside them."""
     beside = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in others]) if others else F.array().cast("array<double>")
     out = None
     for size in sizes:
-        slim = kept.select(id_col, base.label, array_to_vector(F.concat(F.slice("latent", 1, size), beside)).alias(base.features))
+        slim = rows.select(id_col, base.label, array_to_vector(F.concat(F.slice("latent", 1, size), beside)).alias(base.features))
         fits = models.searched(slim, base, {}, folds, id_col, seed).filter("part = 'test'")
         measures = [f(m).alias(f"{m}{n}") for m in (*models.MEASURES, "roc_auc") for n, f in (("", F.avg), ("_std", F.stddev_pop))]
         row = fits.agg(*measures).select(F.lit(size).alias("components"), F.lit(found.explained(size)).alias("explained"), "*")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def tuned(rows: DataFrame, sizes: Sequence[int], base: models.Config, fit_on: Column | None = None, folds: int = 3, id_col: str = "doc_id", others: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """``swept`` over one factorisation (of the rows of fit_on) and one projection of all rows to the largest size."""
+    found = factorised(rows if fit_on is None else rows.filter(fit_on), max(sizes), base.features, seed=seed)
+    kept = stored(found.apply(rows, base.features).select(id_col, base.label, "latent", *others), "latent_rows")
+    return swept(kept, found, sizes, base, folds, id_col, others, seed)

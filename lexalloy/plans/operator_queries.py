@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers
 from ..functions import text as tx
-from ..operators import evaluation, features, feed, matching, models
+from ..operators import document_vectors, drift, evaluation, explanations, features, feed, latent, matching, models, title_index
+from ..sources.files import checkpoint_dir, stored
 from .tables import VOCABULARY, on_duckdb, on_spark
 
 
@@ -182,17 +186,86 @@ def fe_02_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.groupBy("term").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-def ml_11_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document scored by a forest on a few statistics of its text, trained on the labelled ones."""
+def _statistics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, models.Scorer]:
+    """A few statistics of each document's text as features, and a forest trained on the labelled documents."""
     text = F.col("text")
     rows = _read(spark, sf_dir, "documents").select("doc_id", F.length(text).alias("chars"), F.size(F.split(text, r"\s+")).alias("words"), F.length(F.regexp_replace(text, r"[^!|#]+", "")).alias("signs"), F.size(F.split(text, "\n")).alias("lines"))
-    labelled = rows.join(_read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter("label is not null"), "doc_id", "left")
+    labelled = stored(rows.join(_read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter("label is not null"), "doc_id", "left"), "statistics")
     blocks, _ = features.assembled_blocks(labelled, {"size": ("chars", "words", "lines"), "signs": ("signs",)}, F.col("label").isNotNull())
-    config = models.Config("forest", (("numTrees", 20), ("seed", 1)))
-    return models.fitted(blocks.filter("label is not null"), config).score(blocks).select("doc_id", F.round("probability", 6).alias("probability"), "predicted")
+    return blocks, models.fitted(blocks.filter("label is not null"), models.Config("forest", (("numTrees", 20), ("seed", 1))))
+
+
+def ml_19_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each group of features adds to the scores of all documents: mean absolute Shapley values, shares, ranks."""
+    blocks, scorer = _statistics(spark, sf_dir)
+    found = models.group_importance(explanations.attributions(blocks, scorer), {"size": (0, 3), "signs": (3, 4)})
+    return found.select("name", F.round("importance", 9).alias("importance"), F.round("share", 9).alias("share"), "rank")
+
+
+def ml_18_word_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five words of each title that a score (by the title's vowels and length) rests on most."""
+    titles = on_spark(spark, sf_dir, "SELECT id, title FROM [articles] t")
+
+    def score(rows: DataFrame) -> DataFrame:
+        vowels = F.length(F.regexp_replace(F.lower("title"), "[^aeiou]", "")) / F.greatest(F.length("title"), F.lit(1))
+        return rows.withColumn("probability", 1 / (1 + F.exp(3 - 10 * vowels + 0.01 * F.length("title"))))
+
+    return explanations.word_importance(titles, score, "id", "title", samples=100, top=5).select("id", "place", "word", F.round("weight", 6).alias("weight"))
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(features.vectors(features.tf_idf(_read(spark, sf_dir, "documents"), "doc_id", "text", max_features=2_000), "doc_id"), "terms")
+
+
+def fe_03_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's first 16 latent components; by size up to 16, the share of the squares that they hold."""
+    rows = _terms(spark, sf_dir)
+    found = latent.factorised(rows, 16)
+    shares = F.array(*[F.lit(found.explained(k)) for k in (4, 8, 16)])
+    return found.apply(rows).select("doc_id", F.transform("latent", lambda x: F.round(x, 5)).alias("latent"), F.transform(shares, lambda x: F.round(x, 6)).alias("explained"))
+
+
+def ml_09_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many latent components serve a logistic model of quality best: four sizes from one factorisation of all documents."""
+    labelled = _terms(spark, sf_dir).join(_read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "left")
+    found = latent.factorised(labelled, 32)
+    rows = stored(found.apply(labelled.filter("label IS NOT NULL")).select("doc_id", "label", "latent"), "labelled_latent")
+    return latent.swept(rows, found, (4, 8, 16, 32), models.Config("logistic", (("maxIter", 10),)), folds=2)
+
+
+def fe_05_document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph vectors of all documents."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    settings = document_vectors.Settings(size=16, window=2, negatives=3, passes=1, frozen_passes=4)
+    model = document_vectors.trained(docs, "doc_id", settings=settings, epochs=2, max_words=5_000)
+    return model.vectors(docs).select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+def ra_12_near_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All titles against all before them, in three batches against a stored index."""
+    titles = stored(on_spark(spark, sf_dir, "SELECT id, title FROM [articles] t"), "titles")
+    first, last = titles.agg(F.min("id"), F.max("id")).first()
+    index = title_index.TitleIndex(spark, f"{checkpoint_dir(spark).rstrip('/')}/titles-{uuid.uuid4().hex}")
+    cuts = [first + (last - first + 1) * i // 3 for i in range(4)] if first is not None else [0, 0]
+    parts = [index.add(titles.filter((F.col("id") >= a) & (F.col("id") < b)), "id") for a, b in zip(cuts, cuts[1:], strict=False)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def mo_03_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of the predictions since the middle of January against those before, and the table's verdict."""
+    rows = on_spark(spark, sf_dir, "SELECT round(probability, 6) AS probability, article_id, prediction, classifier_type, created_at FROM [classifier_predictions] p")
+    late = F.col("created_at") >= F.lit("2024-01-15").cast("timestamp")
+    found = drift.report(rows.filter(~late), rows.filter(late), ("probability", "article_id"), ("classifier_type", "prediction"))
+    return found.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
+
+
+def ml_11_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a forest on a few statistics of its text, trained on the labelled ones."""
+    blocks, scorer = _statistics(spark, sf_dir)
+    return scorer.score(blocks).select("doc_id", F.round("probability", 6).alias("probability"), "predicted")
 
 
-QUERIES = {f.__name__: f for f in (tx_01_brands, tx_03_paywall, tx_05_scrape_status, tx_06_cleaned, tx_12_chunks, tx_13_context, ev_01_matched, ev_04_exact, ev_07_nearest, fe_01_tf_idf, fe_02_characters, fe_07_near, fe_08_proximity, fe_12_rules, fe_16_metadata, fe_18_vocabulary, fe_25_headline, io_12_main_text, ml_01_split, ml_06_metrics, ml_11_scored, ra_14_audit, ra_18_feed, ra_20_feed_tops, ra_21_packed, sc_28_props, sc_36_flattened, tx_15_snippets, tx_18_words)}
+QUERIES = {f.__name__: f for f in (tx_01_brands, tx_03_paywall, tx_05_scrape_status, tx_06_cleaned, tx_12_chunks, tx_13_context, ev_01_matched, ev_04_exact, ev_07_nearest, fe_01_tf_idf, fe_02_characters, fe_03_latent, fe_05_document_vectors, fe_07_near, fe_08_proximity, fe_12_rules, fe_16_metadata, fe_18_vocabulary, fe_25_headline, io_12_main_text, ml_01_split, ml_06_metrics, ml_09_tuned, ml_11_scored, ml_18_word_importance, ml_19_attributions, mo_03_drift, ra_12_near_titles, ra_14_audit, ra_18_feed, ra_20_feed_tops, ra_21_packed, sc_28_props, sc_36_flattened, tx_15_snippets, tx_18_words)}
 
 _PAYWALL = " OR ".join(f"contains(lower(text), '{p}')" for p in tx.PAYWALL)
 
@@ -217,6 +290,17 @@ ORACLES = {
     "tx_05_scrape_status": f"SELECT doc_id, CASE WHEN length(trim(text)) < 100 THEN 'failed' WHEN {_PAYWALL} THEN 'skipped' WHEN lang <> 'en' THEN 'skipped' ELSE 'success' END AS status, CASE WHEN length(trim(text)) < 100 THEN 'content too short' WHEN {_PAYWALL} THEN 'paywall' WHEN lang <> 'en' THEN concat('language ', lang) END AS error FROM documents",
     "tx_06_cleaned": r"""SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+|www\.\S+', ' ', 'g'), '\S+@\S+', ' ', 'g'), '[^a-zA-Z0-9\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 1), ' ')) AS cleaned FROM documents""",
     "ev_07_nearest": "SELECT query, neighbour, round(similarity, 5) AS similarity FROM (SELECT q.vec_id AS query, v.vec_id AS neighbour, s.similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY s.similarity DESC, v.vec_id) AS k FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id, LATERAL (SELECT list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS similarity) s) r WHERE k <= 10",
+    "mo_03_drift": on_duckdb("WITH r AS (SELECT round(probability, 6) AS probability, article_id, prediction, classifier_type, CASE WHEN created_at >= TIMESTAMP '2024-01-15 00:00:00' THEN 1 ELSE 0 END AS side FROM [classifier_predictions] p), "
+        "v AS (SELECT 'probability' AS c, CAST(probability AS DOUBLE) AS v, side FROM r UNION ALL SELECT 'article_id', CAST(article_id AS DOUBLE), side FROM r), g AS (SELECT c, v, CAST(sum(1 - side) AS DOUBLE) AS a, CAST(sum(side) AS DOUBLE) AS b FROM v WHERE v IS NOT NULL GROUP BY c, v), "
+        "u AS (SELECT c, sum(a) OVER w AS fa, sum(b) OVER w AS fb, sum(a) OVER (PARTITION BY c) AS n, sum(b) OVER (PARTITION BY c) AS m FROM g WINDOW w AS (PARTITION BY c ORDER BY v)), "
+        "k AS (SELECT c, 'number' AS kind, max(abs(fa / nullif(n, 0) - fb / nullif(m, 0))) AS s, 1.3581 * sqrt(max((n + m) / nullif(n * m, 0))) AS t FROM u GROUP BY c), "
+        "d AS (SELECT 'classifier_type' AS c, CAST(classifier_type AS VARCHAR) AS v, side FROM r UNION ALL SELECT 'prediction', CAST(prediction AS VARCHAR), side FROM r), h AS (SELECT c, v, CAST(sum(1 - side) AS DOUBLE) AS a, CAST(sum(side) AS DOUBLE) AS b FROM d WHERE v IS NOT NULL GROUP BY c, v), "
+        "p AS (SELECT c, a, b, sum(a) OVER (PARTITION BY c) / (sum(a) OVER (PARTITION BY c) + sum(b) OVER (PARTITION BY c)) AS p FROM h), x AS (SELECT c, sum((a - (a + b) * p) ** 2 / nullif((a + b) * p, 0) + (b - (a + b) * (1 - p)) ** 2 / nullif((a + b) * (1 - p), 0)) AS chi, count(*) - 1 AS f FROM p GROUP BY c), "
+        "q AS (SELECT c, 'category' AS kind, CASE WHEN f > 0 THEN (cbrt(chi / f) - (1 - 2.0 / (9 * f))) / sqrt(2.0 / (9 * f)) ELSE 0 END AS s, 1.6449 AS t FROM x), "
+        "z AS (SELECT c, count(v) FILTER (WHERE side = 0) AS n, count(v) FILTER (WHERE side = 1) AS m, count(*) FILTER (WHERE side = 0) AS n_all, count(*) FILTER (WHERE side = 1) AS m_all FROM (SELECT c, CAST(v AS VARCHAR) AS v, side FROM v UNION ALL SELECT c, v, side FROM d) y GROUP BY c), "
+        "o AS (SELECT z.c AS \"column\", y.kind, z.n AS n_reference, z.m AS n_current, 1 - z.n / nullif(z.n_all, 0) AS missing_reference, 1 - z.m / nullif(z.m_all, 0) AS missing_current, CASE WHEN z.n > 0 AND z.m > 0 THEN y.s END AS statistic, CASE WHEN z.n > 0 AND z.m > 0 THEN y.t END AS critical, coalesce(z.n > 0 AND z.m > 0 AND y.s > y.t, false) AS drifted, CASE WHEN z.n > 0 AND z.m > 0 THEN 'compared' ELSE 'no values' END AS status FROM z JOIN (SELECT * FROM k UNION ALL SELECT * FROM q) y ON y.c = z.c), "
+        "e AS (SELECT * FROM o UNION ALL SELECT '(all)', 'table', max(n_reference), max(n_current), avg(missing_reference), avg(missing_current), count(*) FILTER (WHERE drifted) / nullif(count(*) FILTER (WHERE status = 'compared'), 0), 0.5, coalesce(count(*) FILTER (WHERE drifted) / nullif(count(*) FILTER (WHERE status = 'compared'), 0) >= 0.5, false), CASE WHEN count(*) FILTER (WHERE status = 'compared') > 0 THEN 'compared' ELSE 'no data' END FROM o) "
+        "SELECT \"column\", kind, CAST(n_reference AS BIGINT) AS n_reference, CAST(n_current AS BIGINT) AS n_current, round(missing_reference, 9) AS missing_reference, round(missing_current, 9) AS missing_current, round(statistic, 9) AS statistic, round(CAST(critical AS DOUBLE), 9) AS critical, drifted, status FROM e"),
     "ml_01_split": "WITH n AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality), s AS (SELECT quality, unnest([0, 1, 2]) AS split, n FROM n), c AS (SELECT quality, split, ceil(n * 0.6 - 1e-9) AS a, ceil(n * 0.8 - 1e-9) AS b, n FROM s) SELECT quality, split, CAST(CASE split WHEN 0 THEN a WHEN 1 THEN b - a ELSE n - b END AS BIGINT) AS n FROM c WHERE CASE split WHEN 0 THEN a WHEN 1 THEN b - a ELSE n - b END > 0",
     "tx_01_brands": f"SELECT doc_id, concat_ws(',', {_named}) AS brands FROM documents",
     "tx_13_context": f"SELECT doc_id, md5(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains({_all_names}, w[i]) AND len(list_filter(p, lambda q: abs(q - i) <= 10)) > 0), lambda i: w[i]), ' ')) AS context FROM (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: list_contains({_all_names}, w[i])) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+') AS w FROM documents) a) b",
