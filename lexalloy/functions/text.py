@@ -197,10 +197,15 @@ def windows_around(text: Column, phrases: Sequence[str], reach: int = 20) -> Col
     def of(phrase: str) -> Column:
         pieces = F.split(lowered, rf"\Q{phrase}\E", -1)
 
+        def side(near: Column, whole: bool | Column, all_of_it: Column) -> Column:
+            """The words of the nearest pieces; of all pieces only where these hold too few (the phrase stands in words without white space)."""
+            return let(split(near), lambda w: F.when(whole | (F.size(w) > reach), w).otherwise(split(all_of_it)))
+
         def window(i: Column) -> Column:
-            before = split(F.array_join(F.slice(pieces, F.lit(1), i - 1), phrase))
-            behind = split(F.array_join(F.slice(pieces, i, F.size(pieces)), phrase))
-            near = F.slice(before, F.greatest(F.size(before) - reach + 1, F.lit(1)), F.lit(reach))
+            first = F.greatest(i - 1 - reach, F.lit(1))
+            before = side(F.array_join(F.slice(pieces, first, i - first), phrase), first == 1, F.array_join(F.slice(pieces, F.lit(1), i - 1), phrase))
+            behind = side(F.array_join(F.slice(pieces, i, F.lit(reach + 1)), phrase), i + reach >= F.size(pieces), F.array_join(F.slice(pieces, i, F.size(pieces)), phrase))
+            near = let(before, lambda w: F.slice(w, F.greatest(F.size(w) - reach + 1, F.lit(1)), F.lit(reach)))
             return F.concat(near, F.array(F.lit(phrase)), F.slice(behind, F.lit(1), F.lit(reach)))
 
         return F.when(F.size(pieces) > 1, F.flatten(F.transform(F.sequence(F.lit(2), F.size(pieces)), window))).otherwise(F.array().cast("array<string>"))

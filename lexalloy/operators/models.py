@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.files import stored
 from .evaluation import metrics
 
 ESTIMATORS = {"logistic": LogisticRegression, "forest": RandomForestClassifier, "svm": LinearSVC, "boosting": GBTClassifier}
@@ -84,7 +85,7 @@ def measured(rows: DataFrame, scorer: Scorer) -> dict[str, float]:
 def searched(rows: DataFrame, base: Config, grid: Mapping[str, Sequence[object]], folds: int = 3, id_col: str = "doc_id", seed: int = 42) -> DataFrame:
     """A row for each parameter set, fold and part (train, test) with all measures."""
     spark, made = rows.sparkSession, []
-    dealt = rows.withColumn("_fold", F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(folds)))
+    dealt = stored(rows, "grid_rows").withColumn("_fold", F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(folds)))
     for number, values in enumerate(product(*grid.values())):
         config = Config(base.estimator, (*base.params, *zip(grid, values, strict=True)), base.threshold, base.label, base.features, base.balanced)
         for fold in range(folds):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers
 from ..functions import text as tx
-from ..operators import document_vectors, drift, evaluation, explanations, features, feed, latent, matching, models, title_index
+from ..operators import document_vectors, drift, evaluation, explanations, feature_store, features, feed, latent, matching, models, title_index
 from ..sources.files import checkpoint_dir, stored
 from .tables import VOCABULARY, on_duckdb, on_spark
 
@@ -251,6 +251,16 @@ def ra_12_near_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def fe_28_stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of all texts by way of a feature store: computed once a distinct text, then only read."""
+    store = feature_store.FeatureStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/features-{uuid.uuid4().hex}")
+    docs, config = _read(spark, sf_dir, "documents").select("doc_id", "text"), {"feature": "lengths"}
+    compute = lambda rows: rows.withColumns({"n_chars": F.length("text").cast("long"), "n_lines": F.size(F.split("text", "\n")).cast("long")})
+    store.features(docs, config, compute)
+    found, asked = store.features(docs, config, compute)
+    return found.select("doc_id", "n_chars", "n_lines", F.lit(asked).cast("long").alias("asked_again"))
+
+
 def mo_03_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All columns of the predictions since the middle of January against those before, and the table's verdict."""
     rows = on_spark(spark, sf_dir, "SELECT round(probability, 6) AS probability, article_id, prediction, classifier_type, created_at FROM [classifier_predictions] p")
@@ -265,7 +275,7 @@ def ml_11_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorer.score(blocks).select("doc_id", F.round("probability", 6).alias("probability"), "predicted")
 
 
-QUERIES = {f.__name__: f for f in (tx_01_brands, tx_03_paywall, tx_05_scrape_status, tx_06_cleaned, tx_12_chunks, tx_13_context, ev_01_matched, ev_04_exact, ev_07_nearest, fe_01_tf_idf, fe_02_characters, fe_03_latent, fe_05_document_vectors, fe_07_near, fe_08_proximity, fe_12_rules, fe_16_metadata, fe_18_vocabulary, fe_25_headline, io_12_main_text, ml_01_split, ml_06_metrics, ml_09_tuned, ml_11_scored, ml_18_word_importance, ml_19_attributions, mo_03_drift, ra_12_near_titles, ra_14_audit, ra_18_feed, ra_20_feed_tops, ra_21_packed, sc_28_props, sc_36_flattened, tx_15_snippets, tx_18_words)}
+QUERIES = {f.__name__: f for f in (tx_01_brands, tx_03_paywall, tx_05_scrape_status, tx_06_cleaned, tx_12_chunks, tx_13_context, ev_01_matched, ev_04_exact, ev_07_nearest, fe_01_tf_idf, fe_02_characters, fe_03_latent, fe_05_document_vectors, fe_07_near, fe_08_proximity, fe_12_rules, fe_16_metadata, fe_18_vocabulary, fe_25_headline, fe_28_stored_features, io_12_main_text, ml_01_split, ml_06_metrics, ml_09_tuned, ml_11_scored, ml_18_word_importance, ml_19_attributions, mo_03_drift, ra_12_near_titles, ra_14_audit, ra_18_feed, ra_20_feed_tops, ra_21_packed, sc_28_props, sc_36_flattened, tx_15_snippets, tx_18_words)}
 
 _PAYWALL = " OR ".join(f"contains(lower(text), '{p}')" for p in tx.PAYWALL)
 
@@ -290,6 +300,7 @@ ORACLES = {
     "tx_05_scrape_status": f"SELECT doc_id, CASE WHEN length(trim(text)) < 100 THEN 'failed' WHEN {_PAYWALL} THEN 'skipped' WHEN lang <> 'en' THEN 'skipped' ELSE 'success' END AS status, CASE WHEN length(trim(text)) < 100 THEN 'content too short' WHEN {_PAYWALL} THEN 'paywall' WHEN lang <> 'en' THEN concat('language ', lang) END AS error FROM documents",
     "tx_06_cleaned": r"""SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+|www\.\S+', ' ', 'g'), '\S+@\S+', ' ', 'g'), '[^a-zA-Z0-9\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 1), ' ')) AS cleaned FROM documents""",
     "ev_07_nearest": "SELECT query, neighbour, round(similarity, 5) AS similarity FROM (SELECT q.vec_id AS query, v.vec_id AS neighbour, s.similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY s.similarity DESC, v.vec_id) AS k FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id, LATERAL (SELECT list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS similarity) s) r WHERE k <= 10",
+    "fe_28_stored_features": "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(0 AS BIGINT) AS asked_again FROM documents",
     "mo_03_drift": on_duckdb("WITH r AS (SELECT round(probability, 6) AS probability, article_id, prediction, classifier_type, CASE WHEN created_at >= TIMESTAMP '2024-01-15 00:00:00' THEN 1 ELSE 0 END AS side FROM [classifier_predictions] p), "
         "v AS (SELECT 'probability' AS c, CAST(probability AS DOUBLE) AS v, side FROM r UNION ALL SELECT 'article_id', CAST(article_id AS DOUBLE), side FROM r), g AS (SELECT c, v, CAST(sum(1 - side) AS DOUBLE) AS a, CAST(sum(side) AS DOUBLE) AS b FROM v WHERE v IS NOT NULL GROUP BY c, v), "
         "u AS (SELECT c, sum(a) OVER w AS fa, sum(b) OVER w AS fb, sum(a) OVER (PARTITION BY c) AS n, sum(b) OVER (PARTITION BY c) AS m FROM g WINDOW w AS (PARTITION BY c ORDER BY v)), "
