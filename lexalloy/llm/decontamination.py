@@ -122,15 +122,24 @@ def matches(index: DataFrame, patterns: DataFrame, max_broadcast: int = 100_000,
     return found.select("row", "doc_id", "n_words", F.coalesce("hits", F.array().cast("array<struct<start:int,length:int>>")).alias("hits"), F.coalesce("items", F.array().cast(kind)).alias("items"))
 
 
-def proximity(index: DataFrame, items: DataFrame, rarest: int = 3, span: int = 26, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, item_id, position: an occurrence of an item's rarest word with its next rarest ones (``rarest`` in all) at most span positions away."""
+def proximity(index: DataFrame, items: DataFrame, rarest: int = 3, span: int = 26, id_col: str = "item_id", text_col: str = "text", max_broadcast: int = 100_000) -> DataFrame:
+    """row, doc_id, item_id, position: an occurrence of an item's rarest word with its next rarest ones (``rarest`` in all) at most span positions away,
+    in any order. Only places of rare words leave their documents; each looks at the postings around it, of which span bounds the number."""
     words = items.select(F.col(id_col).alias("item_id"), F.explode(F.array_distinct(hashes_of(F.col(text_col)))).alias("w")).join(frequencies(index), "w")
     rare = words.groupBy("item_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "w"))), 1, rarest).alias("o"))
-    rare = rare.select("item_id", F.col("o")[0].w.alias("rare"), F.transform(F.expr("slice(o, 2, size(o))"), lambda x: x.w).alias("others"))
-    found = index.select("row", "doc_id", "word", "at", F.posexplode("word").alias("i", "rare")).join(rare, "rare").withColumn("position", F.get("at", F.col("i")))
-    near = F.filter("at", lambda p, j: F.abs(p - F.col("position")) <= span)
-    close = let(F.struct(F.array_position("at", near[0]).cast("int").alias("a"), F.size(near).alias("n")), lambda x: F.size(F.array_except("others", F.slice("word", x.a, x.n))) == 0)
-    return found.filter(close).select("row", "doc_id", "item_id", "position")
+    rare = stored(rare.select("item_id", F.col("o")[0].w.alias("word"), F.transform(F.expr("slice(o, 2, size(o))"), lambda x: x.w).alias("others")), "rare_words")
+    places = index.select("row", F.posexplode("word").alias("i", "word"))
+    here = places.join(F.broadcast(rare) if rare.count() <= max_broadcast else rare, "word").groupBy("row").agg(F.collect_list(F.struct("i", "item_id", "others")).alias("candidates"))
+
+    def close(c: Column) -> Column:
+        at = F.get("at", c.i)
+        around = F.slice("postings", F.greatest(c.i - span, F.lit(0)) + 1, F.lit(2 * span + 1))
+        near = F.transform(F.filter(around, lambda p: F.abs(p.at - at) <= span), lambda p: p.word)
+        return F.size(F.array_except(c.others, near)) == 0
+
+    found = index.join(here, "row").withColumn("postings", F.arrays_zip("word", "at"))
+    kept = found.select("row", "doc_id", "at", F.explode(F.filter("candidates", close)).alias("c"))
+    return kept.select("row", "doc_id", F.col("c.item_id").alias("item_id"), F.get("at", F.col("c.i")).alias("position"))
 
 
 def covered(intervals: Column) -> Column:

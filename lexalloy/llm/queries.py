@@ -34,6 +34,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def decontamination_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of operator 4: where the rarest words of a test item stand near each other, by document and item."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    index = decontamination.build_index(table(spark, sf_dir, "documents"), benchmark)
+    return decontamination.proximity(index, benchmark).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_near"), F.min("position").alias("first"))
+
+
 OP4_SQL = """
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -128,6 +135,6 @@ SELECT v.vec_id, CAST(coalesce(links.n, 0) AS BIGINT) AS n_links, least.componen
 """
 
 
-QUERIES = {"op3_url_filters": op3_url_filters, "op9_near_duplicates": op9_near_duplicates, "op5_language_id": op5_language_id, "op6_secrets": op6_secrets, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op10_quality_classifier": op10_quality_classifier, "op4_decontamination": op4_decontamination, "op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op11_whitening": op11_whitening, "op12_prefix_trie": op12_prefix_trie, "op13_vector_links": op13_vector_links}
+QUERIES = {"op3_url_filters": op3_url_filters, "op9_near_duplicates": op9_near_duplicates, "op5_language_id": op5_language_id, "op6_secrets": op6_secrets, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op10_quality_classifier": op10_quality_classifier, "op4_decontamination": op4_decontamination, "op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op11_whitening": op11_whitening, "op12_prefix_trie": op12_prefix_trie, "op13_vector_links": op13_vector_links, "decontamination_proximity": decontamination_proximity}
 
 ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_links": OP13_SQL}

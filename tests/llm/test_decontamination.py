@@ -77,3 +77,34 @@ def test_proximity(spark):
     d = spark.createDataFrame([(1, "alpha x x beta x x gamma"), (2, "alpha " + "x " * 60 + "beta gamma"), (3, "gamma beta alpha")], "doc_id long, text string")
     b = spark.createDataFrame([(9, "alpha beta gamma x")], "item_id long, text string")
     assert sorted({r.doc_id for r in dc.proximity(dc.build_index(d, b), b).collect()}) == [1, 3]
+
+
+def test_proximity_equals_brute_force(spark):
+    """Ties of frequency are broken by the words' hashes, so words of an item differ in frequency here."""
+    import random
+
+    r = random.Random(3)
+    rare = {w: n for n, w in enumerate(["zeta", "eta", "iota", "kappa", "mu"], 3)}
+    docs = []
+    for i in range(40):
+        words = [r.choice(["a", "b", "c", "d"]) for _ in range(r.randint(5, 120))]
+        docs.append((i, words))
+    for w, n in rare.items():
+        for k in range(n):
+            words = docs[(k * 7 + n) % 12][1]
+            words.insert(r.randrange(len(words) + 1), w)
+    items = [(1, "zeta iota eta a"), (2, "mu kappa"), (3, "kappa"), (4, "unseen words"), (5, None)]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs] + [(99, None)], "doc_id long, text string")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    for most in (100_000, 0):
+        found = dc.proximity(dc.build_index(frame, tests), tests, rarest=3, span=9, max_broadcast=most)
+        got = sorted((x.doc_id, x.item_id, x.position) for x in found.collect())
+        count = lambda w: sum(d.count(w) for _, d in docs)
+        want = []
+        for item, text in items:
+            seen = sorted({w for w in (text or "").split() if count(w)}, key=count)[:3]
+            for i, d in docs:
+                for at, w in enumerate(d):
+                    if seen and w == seen[0] and all(o in d[max(at - 9, 0) : at + 10] for o in seen[1:]):
+                        want.append((i, item, at))
+        assert got == sorted(want) and len(got) > 3
