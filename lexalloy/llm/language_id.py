@@ -30,10 +30,12 @@ from pyspark.sql import types as T
 
 from .common import bounded_sample
 
-#: Numbers that a word may hold and that aren't decimal digits (fractions, superscripts, Roman numerals): no letters.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTER = re.compile(rf"[^\W\d_{_NUMBERS}]")
-_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
+#: Numbers that a word may hold and that aren't decimal digits (fractions, superscripts, Roman numerals): no letters. They are rare, so
+#: texts are searched for them first, and the expressions needn't name them.
+_NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_SPACES = str.maketrans(dict.fromkeys(_NUMBERS, " "))
+_WORDLY = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
 #: Code points of a text worked on at once.
 _BLOCK = 1 << 20
 
@@ -51,8 +53,16 @@ def hashed_grams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray
     return owner[:-2][inside], bucket[inside]
 
 
+def has_letter(text: str) -> bool:
+    found = _WORDLY.search(text)
+    return found is not None and (found.group().isalpha() or any(map(str.isalpha, text)))
+
+
 def normal_form(text: str) -> str:
-    return f" {_OTHER.sub(' ', text.lower()).strip()} "
+    low = text.lower()
+    if not low.isascii() and not _NUMBERS.isdisjoint(low):
+        low = low.translate(_SPACES)
+    return f" {_OTHER.sub(' ', low).strip()} "
 
 
 @dataclass(frozen=True)
@@ -110,7 +120,7 @@ class Model:
         out: list = [("und", 0.0, [], [])] * len(texts)
         if not self.languages:
             return out
-        known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)]
         most = max(1, (1 << 22) // len(self.languages))  # texts x languages
         block, size = [], 0
         for i in known:
