@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -77,21 +78,38 @@ def chunks(text: Column, **options) -> Column:
     return run(text)
 
 
-def fuzzy_score(excerpt: str, chunk: str) -> float:
-    """Best ratio of the excerpt against the chunk: whole for short excerpts, else over windows twice as long, a quarter apart."""
-    e, c = excerpt.lower().strip(), chunk.lower()
-    if not e or len(e) > 1.5 * len(c):
-        return 0.0
-    if len(e) <= 100:
-        return SequenceMatcher(None, e, c).ratio()
-    size = min(2 * len(e), len(c))
-    starts = range(0, max(len(c) - size, 0) + 1, max(1, len(e) // 4))
-    return max(SequenceMatcher(None, e, c[s : s + size]).ratio() for s in starts)
+def compared(excerpt: Column, text: Column) -> Column:
+    """The parts of the text that an excerpt is held against: all of it for excerpts up to 100 characters, else windows of twice the
+    excerpt's length, a quarter of it apart; none where the excerpt is empty or over half as long again as the text."""
+    n, m = F.length(excerpt), F.length(text)
+    size = F.least(2 * n, m)
+    begins = F.sequence(F.lit(1), m - size + 1, F.greatest(F.floor(n / 4), F.lit(1)).cast("int"))
+    windows = F.transform(begins, lambda b: F.substring(text, b, size))
+    return F.when(m.isNull() | (n == 0) | (n > 1.5 * m), F.array().cast("array<string>")).when(n <= 100, F.array(text)).otherwise(windows)
+
+
+def best_ratio(excerpt: str, parts: Sequence[str]) -> float:
+    """The greatest ratio of the excerpt and a part. A ratio can't exceed what both have of the same characters: parts are taken by
+    that bound, and those that can't beat the best so far aren't aligned."""
+    own = Counter(excerpt)
+    bounds = sorted(((2 * (own & Counter(p)).total() / max(len(excerpt) + len(p), 1), i) for i, p in enumerate(parts)), key=lambda x: (-x[0], x[1]))
+    best = 0.0
+    for bound, i in bounds:
+        if bound <= best:
+            break
+        best = max(best, SequenceMatcher(None, excerpt, parts[i]).ratio())
+    return best
 
 
 @F.pandas_udf(T.DoubleType())
-def fuzzy(excerpts: pd.Series, texts: pd.Series) -> pd.Series:
-    return pd.Series([fuzzy_score(a, b) if a is not None and b is not None else 0.0 for a, b in zip(excerpts, texts, strict=True)])
+def _best_ratio(excerpts: pd.Series, parts: pd.Series) -> pd.Series:
+    return pd.Series([0.0 if e is None or p is None else best_ratio(e, p) for e, p in zip(excerpts, parts, strict=True)])
+
+
+def fuzzy(excerpt: Column, text: Column) -> Column:
+    """The best ratio of the excerpt (white space at its ends aside) against the text's parts, in lower case; 0 for null."""
+    e, t = F.lower(F.regexp_replace(excerpt, r"(?U)^\s+|\s+$", "")), F.lower(text)
+    return _best_ratio(e, compared(e, t))
 
 
 def matched(excerpts: DataFrame, parts: DataFrame, least: float = 0.5) -> DataFrame:
@@ -104,7 +122,7 @@ def matched(excerpts: DataFrame, parts: DataFrame, least: float = 0.5) -> DataFr
     pairs = pairs.select("e.excerpt_id", "e.excerpt", "c.chunk_id", "c.chunk_index", "c.chunk_text", F.coalesce(exact, F.lit(False)).alias("exact"), F.when(both, cosine(F.col("e.embedding"), F.col("c.embedding"))).alias("cosine"))
     near = F.when(F.col("exact"), F.lit(1.0)).otherwise(F.col("fuzzy"))
     settled = F.max("exact").over(Window.partitionBy("excerpt_id"))  # where a chunk holds the excerpt, no other one is compared
-    scored = pairs.withColumn("_settled", settled).filter(F.col("exact") | ~F.col("_settled")).drop("_settled").withColumn("fuzzy", fuzzy(F.when(~F.col("exact"), F.col("excerpt")), "chunk_text"))
+    scored = pairs.withColumn("_settled", settled).filter(F.col("exact") | ~F.col("_settled")).drop("_settled").withColumn("fuzzy", fuzzy(F.when(~F.col("exact"), F.col("excerpt")), F.col("chunk_text")))
     score = F.when(F.col("exact"), F.lit(1.0)).when(F.col("cosine").isNotNull(), 0.3 * near + 0.7 * F.col("cosine")).otherwise(F.coalesce(near, F.lit(0.0)))
     method = F.when(F.col("exact"), F.lit("exact")).when(F.col("cosine").isNotNull(), F.lit("combined")).otherwise(F.lit("fuzzy"))
     rank = F.struct(F.col("exact"), F.when(F.col("exact"), F.lit(1.0)).otherwise(score).alias("score"), (-F.coalesce("chunk_index", F.lit(0))).alias("place"))

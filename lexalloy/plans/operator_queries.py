@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers
 from ..functions import text as tx
-from ..operators import document_vectors, drift, evaluation, explanations, feature_store, features, feed, latent, matching, models, title_index
+from ..operators import document_vectors, drift, entities, evaluation, explanations, feature_store, features, feed, latent, matching, models, tagger, title_index
 from ..sources.files import checkpoint_dir, stored
 from .tables import VOCABULARY, on_duckdb, on_spark
 
@@ -275,7 +275,45 @@ def ml_11_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorer.score(blocks).select("doc_id", F.round("probability", 6).alias("probability"), "predicted")
 
 
-QUERIES = {f.__name__: f for f in (tx_01_brands, tx_03_paywall, tx_05_scrape_status, tx_06_cleaned, tx_12_chunks, tx_13_context, ev_01_matched, ev_04_exact, ev_07_nearest, fe_01_tf_idf, fe_02_characters, fe_03_latent, fe_05_document_vectors, fe_07_near, fe_08_proximity, fe_12_rules, fe_16_metadata, fe_18_vocabulary, fe_25_headline, fe_28_stored_features, io_12_main_text, ml_01_split, ml_06_metrics, ml_09_tuned, ml_11_scored, ml_18_word_importance, ml_19_attributions, mo_03_drift, ra_12_near_titles, ra_14_audit, ra_18_feed, ra_20_feed_tops, ra_21_packed, sc_28_props, sc_36_flattened, tx_15_snippets, tx_18_words)}
+#: What a wording of the invented prose stands for: entities by a word before them or by their form, parts of speech by endings.
+_ENTITIES = (tagger.Seed("PERCENT", r"\d+(?:\.\d+)?\s?%"), tagger.Seed("MONEY", r"[$€£]\s?\d[\d.,]*"), tagger.Seed("DATE", r"\b(?:19|20)\d\d\b"), tagger.Seed("GPE", r"(?<=\bin )\w+"), tagger.Seed("PERSON", r"(?<=\bby )\w+(?: \w+)?"), tagger.Seed("ORG", r"\b[A-Z]\w*(?:tion|ment|keit|ing)\b"))
+_SPEECH = (tagger.Seed("VBG", r"\b\w+ing\b"), tagger.Seed("VBD", r"\b\w+ed\b"), tagger.Seed("NN", r"\b\w+(?:tion|ment|keit|ción)\b"), tagger.Seed("JJ", r"\b\w+(?:al|ive|ous|lich)\b"))
+
+
+def _tagger(docs: DataFrame, seeds: tuple[tagger.Seed, ...], spans: bool, max_texts: int = 5_000) -> tagger.Tagger:
+    """Fitted on about ``max_texts`` documents by a hash of the id, all of them where there are fewer."""
+    share = min(1.0, max_texts / max(docs.count(), 1))
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return tagger.fitted(sample.select(F.explode(tagger.labelled(F.col("text"), seeds, spans, "O" if spans else "XX")).alias("s")), "s")
+
+
+def _with_entities(docs: DataFrame, names) -> DataFrame:
+    found = _tagger(docs, _ENTITIES, True).plugin("entities").column(F.col("text"))
+    return docs.withColumn("names", names).withColumn("found", found).withColumn("found", entities.near_names(F.col("text"), F.col("names"), F.col("found")))
+
+
+def fe_13_entity_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities near names, names that are also something else, and entities of whole texts, for all documents."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    e = F.col("found")
+    blocks = entities.near_block(e, ("PERSON", "GPE", "DATE"), ("ORG", "MONEY", "PERCENT"), {"has_person": ("PERSON",), "has_place": ("GPE",), "has_org": ("ORG",)})
+    blocks |= entities.collision_block(F.col("text"), F.col("names"), e, VOCABULARY[:2], (VOCABULARY[2][:5],), VOCABULARY[3:4]) | entities.document_block(e)
+    return _with_entities(docs, tx.mentioned(F.col("text"), VOCABULARY)).select("doc_id", *[c.alias(k) for k, c in blocks.items()])
+
+
+def fe_15_speech_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    words = _tagger(docs, _SPEECH, False).plugin("tokens").column(F.col("text"))
+    return docs.select("doc_id", entities.speech_block(words, tx.mentioned(F.col("text"), VOCABULARY)).alias("s")).select("doc_id", "s.*")
+
+
+def sd_05_entity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities near names that stand anywhere in the text, by the label of quality."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text").join(_read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return entities.label_report(_with_entities(docs, entities.contained(F.col("text"), VOCABULARY)), "quality", "found")
+
+
+QUERIES = {f.__name__: f for f in (tx_01_brands, tx_03_paywall, tx_05_scrape_status, tx_06_cleaned, tx_12_chunks, tx_13_context, ev_01_matched, ev_04_exact, ev_07_nearest, fe_01_tf_idf, fe_02_characters, fe_03_latent, fe_05_document_vectors, fe_07_near, fe_08_proximity, fe_12_rules, fe_13_entity_blocks, fe_15_speech_block, fe_16_metadata, fe_18_vocabulary, fe_25_headline, fe_28_stored_features, io_12_main_text, ml_01_split, ml_06_metrics, ml_09_tuned, ml_11_scored, ml_18_word_importance, ml_19_attributions, mo_03_drift, ra_12_near_titles, ra_14_audit, ra_18_feed, ra_20_feed_tops, ra_21_packed, sd_05_entity_report, sc_28_props, sc_36_flattened, tx_15_snippets, tx_18_words)}
 
 _PAYWALL = " OR ".join(f"contains(lower(text), '{p}')" for p in tx.PAYWALL)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ENTITIES = "array<struct<label:string,start:int,end:int,text:string>>"
-KINDS = {"language": "string", "entities": ENTITIES, "tags": "array<string>", "embedding": "array<double>", "answer": "string"}
+KINDS = {"language": "string", "entities": ENTITIES, "tags": "array<string>", "tokens": "array<struct<word:string,tag:string>>", "embedding": "array<double>", "answer": "string"}
 
 
 @dataclass(frozen=True)

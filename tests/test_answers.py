@@ -91,31 +91,26 @@ def test_main_text(spark):
     assert one(spark, answers.main_text(F.col("h")), h="<p>short</p>") == "short" and one(spark, answers.main_text(F.col("h")), h="") == ""
 
 
-def plain_snippet(text, excerpt, reach):
-    low = text.lower()
-    at = low.find(excerpt.lower())
-    if at < 0:
-        at = low.find(" ".join(excerpt.split()[:5]).lower())
-    if at < 0:
-        return text if len(text) <= 2 * reach else text[: 2 * reach] + "..."
-    begin, end = max(0, at - reach), min(len(text), at + len(excerpt) + reach)
-    if begin > 0 and -1 < text.find(" ", begin) < at:
-        begin = text.find(" ", begin) + 1
-    if end < len(text) and text.rfind(" ", at + len(excerpt), end) >= 0:
-        end = text.rfind(" ", at + len(excerpt), end)
-    return ("..." if begin else "") + text[begin:end].strip() + ("..." if end < len(text) else "")
-
-
-def test_snippets_equal_a_plain_version(spark):
-    r = random.Random(1)
-    rows = []
+def test_snippets_by_example(spark):
+    text = "alpha beta gamma delta epsilon zeta"
+    cases = [("gamma", 7, "...beta gamma delta..."), ("GAMMA", 100, text), ("alpha", 6, "alpha beta..."), ("zeta", 9, "...epsilon zeta"), ("nothing", 5, "alpha beta..."), ("nothing", 50, text)]
+    for excerpt, reach, wanted in cases:
+        assert one(spark, tx.snippet(F.col("t"), F.lit(excerpt), reach), t=text) == wanted
+    long = "one two three four five six seven eight"
+    assert one(spark, tx.snippet(F.col("t"), F.lit("two three four five six absent"), 1), t=long).startswith("...two three four five six")
+
+
+def test_snippets_hold_what_they_promise(spark):
+    r, reach, rows = random.Random(1), 20, []
     for _ in range(200):
         words = ["".join(r.choice("abC") for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 60))]
         at = r.randrange(len(words))
-        excerpt = " ".join(words[at : at + r.randint(1, 8)])
-        rows.append((" ".join(words), r.choice([excerpt, excerpt.upper(), excerpt + " zzz", "nothing like it here"])))
-    got = [x.s for x in spark.createDataFrame(rows, "t string, e string").select(tx.snippet(F.col("t"), F.col("e"), 20).alias("s")).collect()]
-    assert got == [plain_snippet(t, e, 20) for t, e in rows]
+        rows.append((" ".join(words), " ".join(words[at : at + r.randint(1, 8)])))
+    for row in spark.createDataFrame(rows, "t string, e string").withColumn("s", tx.snippet(F.col("t"), F.col("e"), reach)).collect():
+        body = row.s.removeprefix("...").removesuffix("...")
+        places = [i for i in range(len(row.t)) if row.t.startswith(body, i)]
+        assert places and row.e.lower() in body.lower() and len(body) <= len(row.e) + 2 * reach
+        assert any((i > 0) == row.s.startswith("...") and (i + len(body) < len(row.t)) == row.s.endswith("...") for i in places)
 
 
 def test_windows_moods_versions_languages(spark):
