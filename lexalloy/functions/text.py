@@ -69,6 +69,30 @@ def scrape_status(text: Column, language: Column, least: int = 100) -> Column:
     )
 
 
+def brand_warning(found: Column, expected: Column, shown: int = 3) -> Column:
+    """A warning where names were expected and none was found, which names the first ``shown`` of them; else null."""
+    names = F.concat(F.array_join(F.slice(expected, 1, shown), ", "), F.when(F.size(expected) > shown, F.lit(", ...")).otherwise(F.lit("")))
+    missing = (F.size(F.coalesce(expected, F.array().cast("array<string>"))) > 0) & (F.size(F.coalesce(found, F.array().cast("array<string>"))) == 0)
+    return F.when(missing, F.concat(F.lit("none of the expected names is in the text: "), names))
+
+
+# choices by a seed
+
+def _drawn(key: Column, seed: int) -> Column:
+    """A number of 32 bits that looks random and is always the same for a key and a seed."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("bigint")
+
+
+def chosen(items: Sequence[str], key: Column, seed: int = 0) -> Column:
+    """One of the items a key: a random choice that a retried task makes again."""
+    return F.get(F.array(*map(F.lit, items)), F.pmod(_drawn(key, seed), F.lit(len(items))).cast("int"))
+
+
+def shuffled(items: Column, seed: int = 0) -> Column:
+    """An array of strings in a random order that only its items and the seed decide."""
+    return F.transform(F.array_sort(F.transform(items, lambda x: F.struct(_drawn(x, seed).alias("at"), x.alias("item")))), lambda x: x.item)
+
+
 # cleaning and assembling
 
 _URL, _MAIL = r"https?://\S+|www\.\S+", r"\S+@\S+"
@@ -116,13 +140,18 @@ def without_symbols(text: Column) -> Column:
 
 # words around names
 
-def words_around(text: Column, names: Sequence[str], reach: int) -> Column:
-    """The lower-case words at most reach away from a one-word name, names left out, in order."""
-    listed = [n.lower() for n in names]
+def words_around(text: Column, names: Sequence[str] | Column, reach: int) -> Column:
+    """The lower-case words at most reach away from a one-word name, names left out, in order. names: given ones, or a row's own (an array)."""
+    if isinstance(names, Column):
+        own = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.lower(n))
+        is_name = lambda w: F.coalesce(F.array_contains(own, w), F.lit(False))
+    else:
+        listed = [n.lower() for n in names]
+        is_name = lambda w: w.isin(listed)
 
     def near(words: Column) -> Column:
-        at = F.filter(F.transform(words, lambda w, i: F.when(w.isin(listed), i)), lambda i: i.isNotNull())
-        return let(at, lambda places: F.filter(words, lambda w, i: ~w.isin(listed) & F.exists(places, lambda p: F.abs(p - i) <= reach)))
+        at = F.filter(F.transform(words, lambda w, i: F.when(is_name(w), i)), lambda i: i.isNotNull())
+        return let(at, lambda places: F.filter(words, lambda w, i: ~is_name(w) & F.exists(places, lambda p: F.abs(p - i) <= reach)))
 
     return F.array_join(let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w+\b"), F.lit(0)), near), " ")
 

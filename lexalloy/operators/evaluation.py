@@ -105,3 +105,22 @@ def latest_version(registry: DataFrame, version: Column) -> DataFrame:
 def promotion(new: float, production: float | None, margin: float = 0.01) -> tuple[bool, bool]:
     """Whether a new model may be promoted, and whether it is significantly better."""
     return (True, True) if production is None else (new >= production, new > production + margin)
+
+
+def pivoted(results: DataFrame, index: str, column: str, names: Sequence[str], values: Sequence[str], order: Column) -> DataFrame:
+    """A row an index value with ``{value}_{name}`` for each name that the column may have: the value in the first such row by ``order``, null without
+    one. The names are given, so that the result's columns don't depend on the rows and nothing is read beforehand."""
+    first = [F.min_by(F.when(F.col(column) == n, F.col(v)), F.when(F.col(column) == n, order)).alias(f"{v}_{n}") for v in values for n in names]
+    return results.groupBy(index).agg(*first)
+
+
+def validated(scored: DataFrame, probability: str = "probability", threshold: float = 0.5, label: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """How a served model does on rows that it has scored, in all or by group: n_samples, threshold, n_positive (at the threshold), n_invalid (null,
+    NaN or outside [0, 1]), success (rows, none invalid), accuracy (null unless every row has a label)."""
+    p = F.col(probability).cast("double")
+    decided = (p >= threshold).cast("int")
+    valid = F.coalesce(p.between(0, 1) & ~F.isnan(p), F.lit(False))
+    count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    right = F.lit(None).cast("double") if label is None else F.when((F.count("*") > 0) & (F.count(F.col(label)) == F.count("*")), F.avg(F.coalesce(decided == F.col(label), F.lit(False)).cast("double")))
+    parts = [F.count("*").alias("n_samples"), F.lit(float(threshold)).alias("threshold"), count(F.coalesce(decided, F.lit(0))).alias("n_positive"), count(~valid).alias("n_invalid"), ((F.count("*") > 0) & (count(~valid) == 0)).alias("success"), right.alias("accuracy")]
+    return scored.groupBy(*by).agg(*parts) if by else scored.agg(*parts)

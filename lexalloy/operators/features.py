@@ -243,3 +243,53 @@ def top_words(words: DataFrame, group: str, stop_words: Sequence[str], n: int) -
     counts = words.filter(~F.col("word").isin(list(stop_words))).groupBy(group, "word").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "word"))
     return counts.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+
+
+def keyword_scores(text: Column, groups: Mapping[str, Mapping[str, tuple[Sequence[str], float]]], counted: Mapping[str, Sequence[str]], own: Sequence[str], either: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """A struct of what a text says of several subjects besides its own. For each group n_{group} (how many of the keywords counted for it
+    occur as substrings of the lower-case text), density_{group} (the same for each 100 words), is_{flag} (one of the flag's keywords occurs) and
+    score_{group} (the weights of its flags that are set); any_{name} (one of several flags is set); score, over all groups; and own_share: the own
+    keywords that occur, as a share of them and all counted ones. A null text, one without words: 0 everywhere, own_share 0.5; so
+    is own_share where nothing occurs."""
+    held = lambda t, words: F.size(F.filter(F.array(*[F.lit(w.lower()) for w in dict.fromkeys(words)]), lambda w: F.contains(t, w))) if words else F.lit(0)
+    any_of = lambda t, words: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(t, w)).cast("int")
+
+    def found(t: Column) -> Column:
+        counts = [held(t, counted.get(g, ())).alias(f"n_{g}") for g in groups]
+        flags = [any_of(t, words).alias(f"is_{name}") for flags in groups.values() for name, (words, _) in flags.items()]
+        return F.struct(*counts, *flags, held(t, own).alias("_own"), F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")).alias("_words"))
+
+    def scored(x: Column) -> Column:
+        full = x["_words"] > 0
+        only = lambda c: F.when(full, c).otherwise(F.lit(0))
+        scores = {g: sum((only(x[f"is_{name}"]) * F.lit(float(weight)) for name, (_, weight) in flags.items()), F.lit(0.0)) for g, flags in groups.items()}
+        total = sum((x[f"n_{g}"] for g in groups), F.lit(0)) + x["_own"]
+        out = []
+        for g, flags in groups.items():
+            out += [only(x[f"n_{g}"]).alias(f"n_{g}"), F.when(full, 100.0 * x[f"n_{g}"] / x["_words"]).otherwise(F.lit(0.0)).alias(f"density_{g}")]
+            out += [only(x[f"is_{name}"]).alias(f"is_{name}") for name in flags] + [scores[g].alias(f"score_{g}")]
+        out += [only(F.greatest(F.lit(0), *[x[f"is_{n}"] for n in names])).alias(f"any_{k}") for k, names in (either or {}).items()]
+        share = F.when(full & (total > 0), x["_own"] / total).otherwise(F.lit(0.5))
+        return F.struct(*out, sum(scores.values(), F.lit(0.0)).alias("score"), share.alias("own_share"))
+
+    return let(let(F.lower(F.coalesce(text, F.lit(""))), found), scored)
+
+
+def publisher_block(source: Column, categories: Column, publishers: Mapping[str, Sequence[str]], flags: Mapping[str, str], counted: Mapping[str, Sequence[str]], scores: Sequence[tuple[str, float]], default: float = 0.35) -> dict[str, Column]:
+    """from_{list} where the source's name holds a publisher of the list, has_{flag} where the category is among the article's, n_{list}: how many of its categories
+    (repeated ones each) are in the list, and reputation: the score of the first domain that the source's name holds. Nulls count as nothing."""
+    lowered = F.lower(F.coalesce(source, F.lit("")))
+    names = F.transform(F.coalesce(categories, F.array().cast("array<string>")), lambda c: F.lower(c))
+    out = {f"from_{k}": F.exists(F.array(*[F.lit(p.lower()) for p in v]), lambda p: F.contains(lowered, p)).cast("int") for k, v in publishers.items()}
+    out |= {f"has_{k}": F.coalesce(F.array_contains(names, c.lower()), F.lit(False)).cast("int") for k, c in flags.items()}
+    among = lambda v: lambda c: c.isin([x.lower() for x in v])
+    out |= {f"n_{k}": F.size(F.filter(names, among(v))) for k, v in counted.items()}
+    return out | {"reputation": source_reputation(lowered, [(d.lower(), s) for d, s in scores], default)}
+
+
+def window_terms(docs: DataFrame, id_col: str, text_col: str, phrases: Sequence[str], reach: int = 20, pattern: str = r"[a-z]{2,}", **options) -> DataFrame:
+    """(id, term, weight) as ``weighted_terms`` weighs, of the words that stand around the phrases alone (window after window, overlaps count
+    again). Documents without a phrase have no terms, but count among all documents."""
+    from ..functions.text import windows_around
+
+    return weighted_terms(docs, id_col, F.regexp_extract_all(windows_around(F.col(text_col), phrases, reach), F.lit(pattern), F.lit(0)), **options)

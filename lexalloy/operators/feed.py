@@ -84,3 +84,23 @@ def rechunked(articles: DataFrame, evidence: DataFrame, least: float = 0.5, **op
     best = matched(evidence.select(F.col("id").alias("excerpt_id"), "article_id", "excerpt", nothing), made.select("*", nothing), least)
     linked = evidence.drop("chunk_id").join(best.select(F.col("excerpt_id").alias("id"), "chunk_id", "similarity"), "id", "left")
     return made, linked.withColumn("relevance_score", F.when(F.col("chunk_id").isNotNull(), F.col("similarity")).otherwise(F.col("relevance_score"))).drop("similarity")
+
+
+def to_rechunk(articles: DataFrame, labels: DataFrame, evidence: DataFrame, chunks: DataFrame, only: Sequence | None = None) -> DataFrame:
+    """Labelled articles (or those of the ids given) with what a new cut would touch: n_labels, n_evidence, n_chunks (which would be deleted), n_dangling (evidence linked to a
+    chunk that isn't there) and needed: it has no chunks, or dangling evidence. Children are counted before they meet their article.
+    articles: id, labeling_status; labels: id, article_id; evidence: article_id, chunk_id; chunks: id, article_id."""
+    listed = articles.filter("labeling_status = 'labeled'").select("id")
+    listed = listed if only is None else listed.filter(F.col("id").isin(list(only)))
+    count = lambda df, name: df.groupBy(F.col("article_id").alias("id")).agg(F.count("*").alias(name))
+    linked = evidence.filter("chunk_id IS NOT NULL").join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti")
+    out = listed
+    for df, name in ((labels, "n_labels"), (evidence, "n_evidence"), (chunks, "n_chunks"), (linked, "n_dangling")):
+        out = out.join(count(df, name), "id", "left")
+    out = out.select("id", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_labels", "n_evidence", "n_chunks", "n_dangling")])
+    return out.withColumn("needed", (F.col("n_chunks") == 0) | (F.col("n_dangling") > 0))
+
+
+def without_chunks(chunks: DataFrame, articles: DataFrame) -> DataFrame:
+    """chunks without those of the articles (id)."""
+    return chunks.join(articles.select(F.col("id").alias("article_id")).distinct(), "article_id", "left_anti")

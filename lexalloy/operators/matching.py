@@ -193,3 +193,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector_
 def _unit(rows: np.ndarray) -> np.ndarray:
     length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return rows / np.where(length > 0, length, 1.0)
+
+
+def nested(labels: DataFrame, matches: DataFrame, article: str = "article_id", columns: Sequence[str] = ("excerpt_id", "chunk_id", "similarity")) -> DataFrame:
+    """(article, brands): for each article a map of brand to a map of category to its matches (structs of ``columns``, in their order), of those
+    labels only that apply and have evidence. labels: article, brand, category, applies; matches: article, brand, category and ``columns``, a row an excerpt.
+    Repeated labels count once; articles without such a label have no row. An article's row holds its own matches: as many as its
+    labels have excerpts."""
+    keys = [article, "brand", "category"]
+    applied = labels.filter("applies").select(*keys).distinct()
+    found = matches.join(applied, keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("matches"))
+    by_brand = found.groupBy(article, "brand").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "matches")))).alias("categories"))
+    return by_brand.groupBy(article).agg(F.map_from_entries(F.collect_list(F.struct("brand", "categories"))).alias("brands"))

@@ -109,6 +109,40 @@ def with_gap(runs: DataFrame, train: str = "mean_train", test: str = "mean_test"
     return runs.withColumns({"gap": gap, "verdict": F.when(gap >= 0.10, F.lit("severe")).when(gap >= 0.05, F.lit("moderate")).otherwise(F.lit("good")), "advice": advice})
 
 
+def parameter_curve(fits: DataFrame, parameter: str, measure: str = "f_beta", by: Sequence[str] = ()) -> DataFrame:
+    """By value of a parameter (a column of fits: a row a value, fold and part): mean and (population) deviation of a measure over folds for both
+    parts, their gap and verdict, gain (what the test mean adds to that of the next lower value), is_best (largest test mean to twelve digits, the lowest value
+    of several), and past_best (a higher value than the best one). Measures of no row are null and never best. A row a value: windows are as small as
+    the parameter's range."""
+    of = lambda p, f: f(F.when(F.col("part") == p, F.col(measure)))
+    curve = fits.groupBy(*by, parameter).agg(*[of(p, f).alias(f"{n}_{p}") for p in ("train", "test") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    rising = Window.partitionBy(*by).orderBy(parameter)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.round("mean_test", 12).desc_nulls_last(), parameter))
+    marked = with_gap(curve).withColumns({"gain": F.col("mean_test") - F.lag("mean_test").over(rising), "is_best": (place == 1) & F.col("mean_test").isNotNull()})
+    return marked.withColumn("past_best", F.coalesce(F.max("is_best").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+
+
+def top_runs(summaries: DataFrame, n: int = 10, measure: str = "mean_test") -> DataFrame:
+    """The n best runs by a measure, ties by run (a top-k report)."""
+    return summaries.orderBy(F.desc_nulls_last(measure), "run").limit(n)
+
+
+def gap_summary(summaries: DataFrame, by: str = "estimator", measure: str = "mean_test") -> DataFrame:
+    """The best run of each estimator with the gap as a share of its training mean, and a verdict on that share (severe from 0.10 on, moderate
+    from 0.05 on). Estimators whose runs have no measure are left out."""
+    row = summaries.filter(F.col(measure).isNotNull()).groupBy(by).agg(F.max_by(F.struct(*[c for c in summaries.columns if c != by]), F.struct(measure, -F.col("run"))).alias("r")).select(by, "r.*")
+    share = F.when(F.col("mean_train") > 0, (F.col("mean_train") - F.col("mean_test")) / F.col("mean_train")).otherwise(F.lit(0.0))
+    return row.withColumn("gap_share", share).withColumn("verdict", F.when(share >= 0.10, F.lit("severe")).when(share >= 0.05, F.lit("moderate")).otherwise(F.lit("good")))
+
+
+def advised(runs: DataFrame, advice: Mapping[tuple[str, str], str], by: str = "estimator", default: str | None = None) -> DataFrame:
+    """runs with advice: what the table says for a run's estimator and verdict, else the default. Who uses it knows the estimators and words the advice."""
+    text = F.lit(default).cast("string")
+    for (estimator, verdict), words in advice.items():
+        text = F.when((F.col(by) == estimator) & (F.col("verdict") == verdict), F.lit(words)).otherwise(text)
+    return runs.withColumn("advice", text)
+
+
 def best(summaries: DataFrame, measure: str = "mean_test") -> DataFrame:
     """The one row with the largest measure; ties go to the first run."""
     return summaries.agg(F.max_by(F.struct("*"), F.struct(measure, -F.col("run"))).alias("r")).select("r.*")

@@ -34,6 +34,33 @@ class Method:
     numbers: tuple[str, ...] = ()
 
 
+#: Names that a configuration may give a feature method, and what they mean.
+KINDS = {"words": {}, "word_pairs": {"grams": 2}, "latent": {"components": 100}, "numbers": {"text": None}}
+_OPTIONS = {"text": str, "grams": int, "max_features": int, "min_df": float, "max_df": float, "components": int, "numbers": tuple}
+
+
+def method_from(config: Mapping[str, object]) -> Method:
+    """A feature method from a configuration (such as a JSON sidecar): ``method``, one of KINDS, and any of a method's own settings, which win over
+    what the kind sets. An unknown kind, setting or a value that doesn't fit is an error that names it, not ignored."""
+    kind = config.get("method", "words")
+    if kind not in KINDS:
+        raise ValueError(f"unknown feature method: {kind!r}")
+    settings = dict(KINDS[kind])
+    for name, value in config.items():
+        if name == "method":
+            continue
+        if name not in _OPTIONS:
+            raise ValueError(f"unknown setting of a feature method: {name!r}")
+        try:
+            settings[name] = None if name == "text" and value is None else _OPTIONS[name](value)
+        except (TypeError, ValueError) as error:
+            raise ValueError(f"{name!r} can't be {value!r}") from error
+    made = Method(**settings)
+    if made.text is None and not made.numbers:
+        raise ValueError("a feature method needs a text or numbers")
+    return made
+
+
 @dataclass(frozen=True)
 class Fitted:
     """What a method has learned; ``apply`` adds features."""

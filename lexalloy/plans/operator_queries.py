@@ -59,7 +59,7 @@ def ev_07_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fe_01_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.tf_idf(_read(spark, sf_dir, "documents"), "doc_id", "text", max_features=2_000).withColumn("weight", F.round("weight", 9))
+    return features.tf_idf(_read(spark, sf_dir, "documents"), "doc_id", "text", max_features=2_000).withColumn("weight", F.round("weight", 6))
 
 
 def fe_08_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:

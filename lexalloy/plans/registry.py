@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import news_queries, operator_queries, report_queries
+from . import composition_queries, news_queries, operator_queries, report_queries
 from .tables import DUCK, SPARK, Dialect, on_duckdb, on_spark
 
 STATEMENTS = news_queries.QUERIES | report_queries.QUERIES
@@ -20,8 +20,8 @@ def text(name: str, dialect: Dialect) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, n=name: on_spark(spark, sf_dir, text(n, SPARK)) for name in STATEMENTS} | operator_queries.QUERIES
+    return {name: lambda spark, sf_dir, n=name: on_spark(spark, sf_dir, text(n, SPARK)) for name in STATEMENTS} | operator_queries.QUERIES | composition_queries.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {name: on_duckdb(text(name, DUCK)) for name in STATEMENTS} | operator_queries.ORACLES
+    return {name: on_duckdb(text(name, DUCK)) for name in STATEMENTS} | operator_queries.ORACLES | composition_queries.ORACLES

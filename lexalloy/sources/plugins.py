@@ -63,8 +63,3 @@ def entities_near(entities: Column, places: Column, kinds: dict[str, tuple[str,
     near = F.filter(entities, lambda e: F.exists(places, lambda p: (e.start - p <= reach) & (p - e.end <= reach)))
     is_one = lambda labels: lambda e: e.label.isin(list(labels))
     return {f"n_{k}": F.size(F.filter(near, is_one(v))) for k, v in kinds.items()}
-
-
-def run_row(df: DataFrame, run_id: Column, kind: str, status: str, counters: dict[str, Column]) -> DataFrame:
-    """One row of run bookkeeping: counters are aggregates over the rows that the run handled."""
-    return df.agg(*[c.alias(k) for k, c in counters.items()]).select(run_id.alias("run_id"), F.lit(kind).alias("kind"), F.lit(status).alias("status"), F.current_timestamp().alias("completed_at"), *counters)
