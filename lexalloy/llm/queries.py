@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boosting, decision_lists, decontamination, language_id, near_duplicates, packing, prefix_trie, secrets, token_counts, toxicity, url_filters, vector_links, whitening
+from . import boosting, decision_lists, decontamination, language_id, near_duplicates, packing, prefix_trie, secrets, text_stats, token_counts, toxicity, url_filters, vector_links, whitening
 from .common import fold, held_out, table
 
 
@@ -41,6 +41,53 @@ def decontamination_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.proximity(index, benchmark).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_near"), F.min("position").alias("first"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 3 that rules alone decide."""
+    return url_filters.with_rule(table(spark, sf_dir, "pages").select("page_id", "url"), OP3_RULES).drop("url")
+
+
+URL_RULES_SQL = "WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages), r AS (SELECT rule, kind, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS s FROM (VALUES " + ", ".join(f"('{k}', '{r}')" for k, r in OP3_RULES) + ") v(kind, rule)), f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(kind, length(rule)) AS rule_verdict FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id) SELECT p.*, f.rule, f.rule_verdict FROM p LEFT JOIN f USING (page_id)"
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of operator 6 that the fixed patterns find, as their spans."""
+    base = secrets.base_spans(F.coalesce(F.col("text"), F.lit("")))
+    n = lambda kind: F.size(F.filter("base", lambda s: s.kind == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return table(spark, sf_dir, "documents").select("doc_id", base.alias("base")).select("doc_id", n("assign"), n("access"), n("hex"), secrets.joined(F.col("base")).alias("base_spans"))
+
+
+def _spans_sql(kind: str, place: int) -> str:
+    """(row, start, end, kind, place) of a base pattern: a match begins behind all pieces and matches before it."""
+    pattern, group, least = secrets.BASE[kind]
+    quoted = pattern.replace("'", "''")
+    ahead = "list_sum(list_transform(p[: i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[: i - 1], lambda x: length(x))), 0)"
+    return f"SELECT row, {place} AS place, '{kind}' AS kind, s, s + length(m[i]) AS e FROM (SELECT row, m, g, i, CAST({ahead} AS BIGINT) AS s FROM (SELECT row, string_split(regexp_replace(t, '{quoted}', chr(1), 'g'), chr(1)) AS p, regexp_extract_all(t, '{quoted}') AS m, regexp_extract_all(t, '{quoted}', {group}) AS g FROM d) x, unnest(range(1, len(m) + 1)) AS u(i)) y WHERE length(g[i]) >= {least}"
+
+
+SECRET_BASE_SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents), s AS (" + " UNION ALL ".join(_spans_sql(k, i) for i, k in enumerate(secrets.BASE)) + "), "
+    "g AS (SELECT row, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in secrets.BASE) + ", string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place) AS spans FROM s GROUP BY row) "
+    "SELECT doc_id, " + ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE) + ", coalesce(spans, '') AS base_spans FROM d LEFT JOIN g USING (row)"
+)
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and base rules of operator 7."""
+    return text_stats.base_statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *text_stats.BASE)
+
+
+QUALITY_BASE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT row, i, w[i : i + 2] AS k FROM d, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) >= 3),
+r AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, k) AS n FROM g) x WHERE n > 1),
+p AS (SELECT row, count(DISTINCT j) AS n FROM r, unnest(range(i, i + 3)) AS u(j) GROUP BY row),
+l AS (SELECT row, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(p.n, 0) > 50 * len(w) AS base_failed
+FROM d JOIN l USING (row) LEFT JOIN p USING (row)
+"""
+
+
 OP4_SQL = """
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
@@ -135,6 +182,6 @@ SELECT v.vec_id, CAST(coalesce(links.n, 0) AS BIGINT) AS n_links, least.componen
 """
 
 
-QUERIES = {"op3_url_filters": op3_url_filters, "op9_near_duplicates": op9_near_duplicates, "op5_language_id": op5_language_id, "op6_secrets": op6_secrets, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op10_quality_classifier": op10_quality_classifier, "op4_decontamination": op4_decontamination, "op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op11_whitening": op11_whitening, "op12_prefix_trie": op12_prefix_trie, "op13_vector_links": op13_vector_links, "decontamination_proximity": decontamination_proximity}
+QUERIES = {"op3_url_filters": op3_url_filters, "op9_near_duplicates": op9_near_duplicates, "op5_language_id": op5_language_id, "op6_secrets": op6_secrets, "op7_quality_rules": op7_quality_rules, "op8_toxicity": op8_toxicity, "op10_quality_classifier": op10_quality_classifier, "op4_decontamination": op4_decontamination, "op1_packing": op1_packing, "op2_token_counts": op2_token_counts, "op11_whitening": op11_whitening, "op12_prefix_trie": op12_prefix_trie, "op13_vector_links": op13_vector_links, "decontamination_proximity": decontamination_proximity, "url_rules": url_rules, "secret_base": secret_base, "quality_base": quality_base}
 
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_links": OP13_SQL}
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_links": OP13_SQL, "url_rules": URL_RULES_SQL, "secret_base": SECRET_BASE_SQL, "quality_base": QUALITY_BASE_SQL}

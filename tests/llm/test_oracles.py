@@ -11,7 +11,7 @@ DATA = Path("/root/testdata/sf0.001")
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="the driver's tables aren't here")
-@pytest.mark.parametrize("name", ["op12_prefix_trie", "op13_vector_links"])
+@pytest.mark.parametrize("name", ["op12_prefix_trie", "op13_vector_links", "quality_base", "secret_base", "url_rules"])
 def test_equals_duckdb(spark, name):
     duck = duckdb.connect()
     for path in DATA.glob("*.parquet"):
