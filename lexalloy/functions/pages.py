@@ -37,12 +37,12 @@ def blocks(html: Column) -> Column:
     plain = lambda b: F.trim(F.regexp_replace(F.regexp_replace(b, "[\x02\x03\x04]", ""), " +", " "))
     linked = lambda b: F.aggregate(F.regexp_extract_all(b, F.lit("\x02([^\x02\x03]*)"), F.lit(1)), F.lit(0), lambda n, t: n + F.length(plain(t)))
     tags = lambda b: F.length(F.regexp_replace(b, "[^\x02\x04]+", ""))
-    made = F.transform(F.split(marked(html), "\n"), lambda b: F.struct(plain(b).alias("text"), F.length(plain(b)).alias("n_chars"), linked(b).alias("n_linked"), tags(b).alias("n_tags")))
+    made = F.transform(F.split(marked(html), "\n"), lambda b: let(plain(b), lambda p: F.struct(p.alias("text"), F.length(p).alias("n_chars"), linked(b).alias("n_linked"), tags(b).alias("n_tags"))))
     return F.filter(made, lambda b: b.n_chars > 0)
 
 
-def main_blocks(html: Column, share: float = 0.5) -> Column:
-    """The blocks that stay."""
+def main_blocks(found: Column, share: float = 0.5) -> Column:
+    """Those of a page's blocks that stay."""
     def densities(all_blocks: Column) -> Column:
         return F.transform(all_blocks, lambda b: F.log(1 + F.greatest(b.n_chars - b.n_linked, F.lit(0)).cast("double") / (b.n_tags + 1)))
 
@@ -53,9 +53,9 @@ def main_blocks(html: Column, share: float = 0.5) -> Column:
         kept = lambda b, i: (score(F.get(x.d, i), i) >= share * mean) & (2 * b.n_linked < b.n_chars)
         return F.filter(x.b, kept)
 
-    return let(blocks(html), lambda b: let(F.struct(b.alias("b"), densities(b).alias("d")), judged))
+    return let(found, lambda b: let(F.struct(b.alias("b"), densities(b).alias("d")), judged))
 
 
 def main_text(html: Column, share: float = 0.5) -> Column:
     """The texts of the blocks that stay, a line each."""
-    return F.array_join(F.transform(main_blocks(html, share), lambda b: b.text), "\n")
+    return F.array_join(F.transform(main_blocks(blocks(html), share), lambda b: b.text), "\n")

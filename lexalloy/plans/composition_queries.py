@@ -50,8 +50,8 @@ def sc_37_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def io_12_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main texts of all pages by text density."""
-    held = _read(spark, sf_dir, "pages").select("page_id", pages.blocks(F.col("html")).alias("b"), pages.main_blocks(F.col("html")).alias("k"))
-    return held.select("page_id", F.size("b").cast("long").alias("n_blocks"), F.size("k").cast("long").alias("n_kept"), F.md5(F.array_join(F.transform("k", lambda b: b.text), "\n")).alias("main_text"))
+    held = _read(spark, sf_dir, "pages").select("page_id", pages.blocks(F.col("html")).alias("b"))
+    return held.select("page_id", "b", pages.main_blocks(F.col("b")).alias("k")).select("page_id", F.size("b").cast("long").alias("n_blocks"), F.size("k").cast("long").alias("n_kept"), F.md5(F.array_join(F.transform("k", lambda b: b.text), "\n")).alias("main_text"))
 
 
 def io_22_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
