@@ -13,11 +13,11 @@ are what stands between white space. A very long text is worked on in steps of a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +26,8 @@ from .blocks import summed
 
 _UNIT = float(1 << 40)
 
-#: Words of a text that take a step together.
-STEP = 32
+#: Words of a text that take a step together; words of a text that are looked up at once; words of texts that take their steps together.
+STEP, CHUNK, BLOCK = 32, 2_048, 32_768
 
 
 @dataclass(frozen=True)
@@ -52,59 +52,128 @@ class Paragraphs:
     outer: np.ndarray
     drawn: np.ndarray
     settings: Settings
-    places: dict[str, int] = field(repr=False, compare=False, default_factory=dict)
 
     def start(self) -> np.ndarray:
         return (np.random.default_rng(self.settings.seed).random(self.settings.size) - 0.5) / self.settings.size
 
     def fitted(self, words: np.ndarray, key: int, passes: int, inner: np.ndarray, outer: np.ndarray, learn: bool) -> np.ndarray:
-        """The vector of a text, given as places of words. learn: inner and outer change too. key seeds the negatives."""
+        """The vector of a text, given as places of words. learn: inner and outer (rows side by side in memory) change too. key seeds the negatives."""
         s = self.settings
-        vector = self.start()
-        rng = np.random.default_rng([s.seed, key & 0xFFFFFFFF, (key >> 32) & 0xFFFFFFFF])
-        n, reach = len(words), np.r_[-s.window : 0, 1 : s.window + 1]
+        if not learn:
+            return self.inferred(words, np.array([len(words)]), np.array([key], np.int64), passes, inner, outer)[0]
+        vector, rng, n, across = self.start(), self._draws(key), len(words), np.arange(s.size)
+        flat_inner, flat_outer = inner.reshape(-1), outer.reshape(-1)
         for turn in range(passes):
             rate = s.rate * (1 - turn / (passes + 1))
-            for at in range(0, n, STEP):
-                own = np.arange(at, min(at + STEP, n))
-                targets = np.c_[words[own], np.searchsorted(self.drawn, rng.random((len(own), s.negatives)), side="right")]
-                hidden, count = np.broadcast_to(vector, (len(own), s.size)), np.ones(len(own))
-                if s.window:
-                    around = own[:, None] + reach
-                    there = (around >= 0) & (around < n)
-                    context = words[np.clip(around, 0, n - 1)]
-                    count = 1.0 + there.sum(axis=1)
-                    hidden = (hidden + (inner[context] * there[..., None]).sum(axis=1)) / count[:, None]
-                rows = outer[targets]
-                gap = -1 / (1 + np.exp(-np.clip((rows * hidden[:, None, :]).sum(axis=2), -30, 30)))
-                gap[:, 0] += 1
-                gap[:, 1:][targets[:, 1:] == targets[:, :1]] = 0  # a negative that is the word itself says nothing
-                back = (gap[..., None] * rows).sum(axis=1) * rate
-                if learn:
-                    np.add.at(outer, targets, gap[..., None] * hidden[:, None, :] * rate)
-                    if s.window:
-                        np.add.at(inner, context[there], np.repeat(back, there.sum(axis=1), axis=0))
-                vector = vector + back.sum(axis=0)
+            for first in range(0, n, CHUNK):
+                chunk = np.arange(first, min(first + CHUNK, n))
+                drawn, (context, there) = self._negatives(rng, len(chunk)), self._around(words, chunk, 0, n)
+                targets, said = np.c_[words[chunk], drawn], _said(words[chunk], drawn)
+                count, given = 1.0 + there.sum(axis=1, keepdims=True), there[..., None]
+                at_outer, at_inner = (x[..., None] * s.size + across for x in (targets, context))  # once a chunk, not once a step
+                for at in range(0, len(chunk), STEP):
+                    own = slice(at, at + STEP)
+                    rows = outer.take(targets[own], axis=0)
+                    hidden = (vector + np.einsum("wcs,wc->ws", inner.take(context[own], axis=0), there[own])) / count[own] if s.window else np.broadcast_to(vector, (len(rows), s.size))
+                    gap = _gap(rows, hidden, said[own]) * rate
+                    back = np.einsum("wk,wks->ws", gap, rows)
+                    np.add.at(flat_outer, at_outer[own].reshape(-1), (gap[..., None] * hidden[:, None, :]).reshape(-1))
+                    if s.window:  # what isn't there adds 0
+                        np.add.at(flat_inner, at_inner[own].reshape(-1), (given[own] * back[:, None, :]).reshape(-1))
+                    vector = vector + back.sum(axis=0)
         return vector
 
+    def _draws(self, key: int) -> np.random.Generator:
+        return np.random.default_rng([self.settings.seed, key & 0xFFFFFFFF, (key >> 32) & 0xFFFFFFFF])
+
+    def _negatives(self, rng: np.random.Generator, n: int) -> np.ndarray:
+        return np.searchsorted(self.drawn, rng.random((n, self.settings.negatives)), side="right")
+
+    def _around(self, words: np.ndarray, at: np.ndarray, begin: np.ndarray | int, end: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Words around places of a text that lies from begin to end, and 1 where there is one."""
+        w = self.settings.window
+        around = at[:, None] + np.r_[-w:0, 1 : w + 1]
+        there = (around >= begin) & (around < end)
+        return words.take(around, mode="clip"), there.astype(float)
+
+    def inferred(self, words: np.ndarray, sizes: np.ndarray, keys: np.ndarray, passes: int, inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
+        """A vector a text by frozen matrices. words: places of all texts' words, text after text; texts without one have zeros. Texts of like lengths take
+        their steps together, as many as hold about BLOCK words; a text's vector doesn't depend on those beside it."""
+        out, ends = np.zeros((len(sizes), self.settings.size)), np.cumsum(sizes)
+        order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
+        at = 0
+        while at < len(order):
+            to = at + max(1, BLOCK // int(sizes[order[at]]))
+            block = order[at:to]
+            out[block] = self._together(words, ends[block] - sizes[block], ends[block], keys[block], passes, inner, outer)
+            at = to
+        return out
+
+    def _together(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray, keys: np.ndarray, passes: int, inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
+        """Vectors of texts whose lengths fall."""
+        s, sizes = self.settings, ends - begins
+        vectors, rngs = np.tile(self.start(), (len(sizes), 1)), [self._draws(int(k)) for k in keys]
+        for turn in range(passes):
+            rate = s.rate * (1 - turn / (passes + 1))
+            for first in range(0, int(sizes[0]), CHUNK):
+                held = np.minimum(sizes[: np.count_nonzero(sizes > first)] - first, CHUNK)
+                starts = np.cumsum(held) - held
+                own = np.arange(held.sum()) + np.repeat(begins[: len(held)] + first - starts, held)
+                drawn = np.searchsorted(self.drawn, np.concatenate([rng.random((n, s.negatives)) for rng, n in zip(rngs, held.tolist(), strict=False)]), side="right")
+                targets, said, count, near = np.c_[words[own], drawn], _said(words[own], drawn), np.ones((len(own), 1)), np.zeros((len(own), s.size))
+                if s.window:
+                    context, there = self._around(words, own, np.repeat(begins[: len(held)], held)[:, None], np.repeat(ends[: len(held)], held)[:, None])
+                    count += there.sum(axis=1, keepdims=True)
+                    for c in range(context.shape[1]):
+                        near += inner.take(context[:, c], axis=0) * there[:, c, None]
+                for at in range(0, int(held[0]), STEP):
+                    live = np.count_nonzero(held > at)
+                    place = at + np.arange(STEP)
+                    inside = place < held[:live, None]
+                    here = np.where(inside, starts[:live, None] + place, 0)
+                    rows = outer.take(targets[here], axis=0).reshape(-1, 1 + s.negatives, s.size)
+                    hidden = ((vectors[:live, None] + near[here]) / count[here]).reshape(-1, s.size)
+                    gap = _gap(rows, hidden, said[here].reshape(-1, 1 + s.negatives)) * inside.reshape(-1, 1)
+                    vectors[:live] += (np.einsum("wk,wks->ws", gap, rows) * rate).reshape(live, STEP, s.size).sum(axis=1)
+        return vectors
+
     def vectors(self, docs: DataFrame, text_col: str = "text", out: str = "vector") -> DataFrame:
         """docs with their vectors."""
         shared = docs.sparkSession.sparkContext.broadcast((self.words, self.inner, self.outer, self.drawn, self.settings))
 
-        @F.pandas_udf("array<double>")
-        def infer(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<double>")
+        def infer(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             words, inner, outer, drawn, settings = shared.value
-            model, places = Paragraphs(words, inner, outer, drawn, settings), {w: i for i, w in enumerate(words)}
-            for texts, keys in parts:
-                found = []
-                for tokens, key in zip(texts, keys, strict=True):
-                    known = np.array([places[t] for t in tokens if t in places], dtype=np.int64)
-                    found.append(model.fitted(known, int(key), settings.frozen_passes, inner, outer, False) if len(known) else np.zeros(settings.size))
-                yield pd.Series(found, dtype=object)
+            model = Paragraphs(words, inner, outer, drawn, settings)
+            for tokens, keys in parts:
+                places, sizes = numbered(tokens, words)
+                found = model.inferred(places, sizes, keys.to_numpy(), settings.frozen_passes, inner, outer)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * settings.size, pa.int32()), pa.array(found.ravel()))
 
         return docs.withColumn(out, infer(tokens_of(F.col(text_col)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
 
 
+def _said(words: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """1 for each word and its negatives, 0 for a negative that is the word itself, which says nothing."""
+    return np.c_[np.ones(len(words)), drawn != words[:, None]]
+
+
+def _gap(rows: np.ndarray, hidden: np.ndarray, said: np.ndarray) -> np.ndarray:
+    """What is wanted less what comes out, of each word and its negatives."""
+    out = np.einsum("wks,ws->wk", rows, hidden)
+    gap = -1 / (1 + np.exp(-np.minimum(np.maximum(out, -30), 30)))
+    gap[:, 0] += 1
+    return gap * said
+
+
+def numbered(tokens: pa.ListArray, words: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the known words of all texts, text after text, and how many each text has."""
+    flat, sizes = tokens.flatten(), tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    found = pc.index_in(flat, value_set=pa.array(words, flat.type))
+    text = np.repeat(np.arange(len(sizes)), sizes)[found.is_valid().to_numpy(zero_copy_only=False)]
+    return found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64), np.bincount(text, minlength=len(sizes))
+
+
 def tokens_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
@@ -124,16 +193,17 @@ def trained(docs: DataFrame, id_col: str, text_col: str = "text", settings: Sett
     model = Paragraphs(words, inner, outer, drawn, s)
     if not v:
         return model
-    places = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    known = docs.sparkSession.sparkContext.broadcast(words)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[places.value[w] for w in ws if w in places.value] for ws in batch.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("h"), batch.column("key"), pa.array(found, pa.list_(pa.int32()))], names=["shard", "h", "key", "words"])
+            places, sizes = numbered(batch.column("words"), known.value)
+            found = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(places, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("h"), batch.column("key"), found], names=["shard", "h", "key", "words"])
 
     dealt = cut.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "key", "words")
     rows = stored(dealt.mapInArrow(number, "shard int, h long, key long, words array<int>").filter(F.size("words") > 0), "numbered_words")
-    ordered = rows.repartition(shards, "shard").sortWithinPartitions("shard", "h", "key")
+    ordered = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "key")
     for epoch in range(epochs):
         shared = docs.sparkSession.sparkContext.broadcast(model)
 

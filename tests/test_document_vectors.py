@@ -69,3 +69,48 @@ def test_gradient_of_a_step():
 
     want = [(loss(model.start() + h) - loss(model.start() - h)) / 2e-5 for h in np.eye(5) * 1e-5]
     assert np.abs(moved / 1e-6 - want).max() < 1e-4
+
+
+def walked(model, words, key, passes, inner, outer, learn):
+    """A text's steps one after the other, word by word within a step."""
+    s, vector, rng, n = model.settings, model.start(), np.random.default_rng([model.settings.seed, key, 0]), len(words)
+    for turn in range(passes):
+        rate = s.rate * (1 - turn / (passes + 1))
+        for at in range(0, n, dv.STEP):
+            draws = np.searchsorted(model.drawn, rng.random((min(dv.STEP, n - at), s.negatives)), side="right")
+            moved, moved_inner, moved_outer = np.zeros(s.size), np.zeros(inner.shape), np.zeros(outer.shape)
+            for i, own in zip(range(at, n), draws, strict=False):
+                around = [words[j] for j in range(max(0, i - s.window), min(n, i + s.window + 1)) if j != i]
+                hidden = (vector + sum((inner[w] for w in around), np.zeros(s.size))) / (1 + len(around))
+                for k, w in enumerate([words[i], *own]):
+                    if k and w == words[i]:
+                        continue
+                    gap = (k == 0) - 1 / (1 + np.exp(-outer[w] @ hidden))
+                    moved += gap * outer[w] * rate
+                    moved_outer[w] += gap * hidden * rate
+                    for c in around:
+                        moved_inner[c] += gap * outer[w] * rate
+            vector = vector + moved
+            if learn:
+                inner += moved_inner
+                outer += moved_outer
+    return vector
+
+
+@pytest.mark.parametrize("window", [2, 0])
+def test_texts_take_steps_together_and_each_as_if_alone(window, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(dv, "CHUNK", 64)
+    model = dv.Paragraphs(tuple("abcdefgh"), rng.standard_normal((8, 5)), rng.standard_normal((8, 5)), np.cumsum(np.full(8, 1 / 8))[:-1], dv.Settings(size=5, window=window, negatives=3))
+    sizes = np.array([0, 1, 33, 150, 32, 64, 0, 7] + [40] * 60)
+    words, keys, ends = rng.integers(0, 8, sizes.sum()), np.arange(len(sizes)), np.cumsum(sizes)
+    steps, gap = [], dv._gap
+    monkeypatch.setattr(dv, "_gap", lambda *a: steps.append(1) or gap(*a))
+    got = model.inferred(words, sizes, keys, 2, model.inner, model.outer)
+    assert len(steps) <= 2 * 5  # those of the longest text, not the sum of all texts'
+    for i in range(9):
+        own = words[ends[i] - sizes[i] : ends[i]]
+        assert np.allclose(got[i], walked(model, own, i, 2, model.inner, model.outer, False) if len(own) else 0, atol=1e-12)
+        mine, plain = [(model.inner.copy(), model.outer.copy()) for _ in range(2)]
+        assert np.allclose(model.fitted(own, i, 2, *mine, True), walked(model, own, i, 2, *plain, True), atol=1e-12)
+        assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(mine, plain, strict=True))
