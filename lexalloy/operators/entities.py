@@ -7,9 +7,12 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.plugins import parts
+
 
 def contained(text: Column, names: Sequence[str]) -> Column:
     """Names that stand anywhere in the text, inside words too, whatever their case."""
@@ -116,9 +119,14 @@ def speech_block(tokens: Column, names: Column, reach: int = 5) -> Column:
 
     fields = ("noun_behind", "verb_before", "adjective_before", "finite_near", "pairs_near")
 
-    @F.pandas_udf(", ".join(f"{f} int" for f in fields))
-    def run(words: pd.Series, tags: pd.Series, names: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([of(*row) if row[0] is not None and row[2] is not None else (0,) * 5 for row in zip(words, tags, names, strict=True)], columns=fields, dtype="int32")
+    @F.arrow_udf(", ".join(f"{f} int" for f in fields))
+    def run(words: pa.Array, tags: pa.Array, names: pa.Array) -> pa.Array:
+        found = np.zeros((len(words), len(fields)), np.int32)
+        for at, to in parts(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), len(words), 1 << 16):  # only a part's words become Python's
+            for i, row in enumerate(zip(*(x.slice(at, to - at).to_pylist() for x in (words, tags, names)), strict=True), at):
+                if row[0] is not None and row[2]:
+                    found[i] = of(*row)
+        return pa.StructArray.from_arrays([pa.array(c) for c in found.T.copy()], names=list(fields))
 
     return run(tokens["word"], tokens["tag"], names)
 

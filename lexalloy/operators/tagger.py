@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import checkpoint_dir
-from ..sources.plugins import Plugin
+from ..sources.plugins import Plugin, parts
 
 SENTENCES = "array<array<struct<word:string,tag:string>>>"
 _TOKEN, _BREAK = re.compile(r"\w+(?:[-'’.,]\w+)*|[^\w\s]"), re.compile(r"\n")
@@ -71,8 +71,10 @@ def labelled(text: Column, seeds: Sequence[Seed], spans: bool = True, default: s
         return found
 
     @F.pandas_udf(SENTENCES)
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([of(t) for t in texts])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            for at, to in parts(texts.str.len().fillna(0).to_numpy(), 1_000):
+                yield pd.Series([of(t) for t in texts.iloc[at:to]], dtype=object)
 
     return run(text)
 

@@ -303,8 +303,9 @@ def fe_13_entity_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fe_15_speech_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    words = _tagger(docs, _SPEECH, False).plugin("tokens").column(F.col("text"))
-    return docs.select("doc_id", entities.speech_block(words, tx.mentioned(F.col("text"), VOCABULARY)).alias("s")).select("doc_id", "s.*")
+    names = tx.mentioned(F.col("text"), VOCABULARY)
+    words = _tagger(docs, _SPEECH, False).plugin("tokens").column(F.when(F.size(names) > 0, F.col("text")))  # without names all counts are 0, whatever the tags
+    return docs.select("doc_id", entities.speech_block(words, names).alias("s")).select("doc_id", "s.*")
 
 
 def sd_05_entity_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ A plug-in is a function of a pandas Series; it runs in Arrow batches. What an ex
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +18,22 @@ from pyspark.sql import functions as F
 ENTITIES = "array<struct<label:string,start:int,end:int,text:string>>"
 KINDS = {"language": "string", "entities": ENTITIES, "tags": "array<string>", "tokens": "array<struct<word:string,tag:string>>", "embedding": "array<double>", "answer": "string"}
 
+#: Characters, or words, that a task turns into Python objects at once, or those of one text.
+ROOM = 1 << 20
+
+
+def parts(sizes: np.ndarray, most: int, room: int = ROOM) -> Iterator[tuple[int, int]]:
+    """Where parts of a batch begin and end that hold at most ``most`` texts and ``room`` of their sizes, or one text."""
+    at, ends = 0, np.r_[0, np.cumsum(sizes)]
+    while at < len(sizes):
+        to = max(at + 1, min(at + most, int(np.searchsorted(ends, ends[at] + room, "right")) - 1))
+        yield at, to
+        at = to
+
 
 @dataclass(frozen=True)
 class Plugin:
-    """kind: one of KINDS, which gives the column's type. Calls get at most ``batch`` texts, and are repeated up to ``tries`` times,
+    """kind: one of KINDS, which gives the column's type. Calls get at most ``batch`` texts, and about ROOM characters; they are repeated up to ``tries`` times,
     waiting twice as long each time, on errors of the kind ``retry_on``; after that the texts' results are null."""
 
     kind: str
@@ -34,11 +47,10 @@ class Plugin:
         plugin = self
 
         @F.pandas_udf(KINDS[self.kind])
-        def apply(texts: pd.Series) -> pd.Series:
-            out: list = []
-            for at in range(0, len(texts), plugin.batch):
-                out += plugin.called(["" if t is None else t for t in texts.iloc[at : at + plugin.batch]])
-            return pd.Series(out)
+        def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                for at, to in parts(texts.str.len().fillna(0).to_numpy(), plugin.batch):  # a part's results leave before the next one's are made
+                    yield pd.Series(plugin.called(["" if t is None else t for t in texts.iloc[at:to]]), dtype=object)
 
         return apply(text)
 

@@ -128,3 +128,17 @@ def test_queries_cover_their_tables(spark, name):
     else:
         assert len(found) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count() and not found.isna().any().any()
         assert (found.drop(columns="doc_id").sum() > 0).sum() >= 3
+
+
+def test_tags_leave_a_task_in_parts(spark):
+    """A call gets a bounded number of characters, however many texts an Arrow batch holds, and each text keeps its result."""
+    from lexalloy.sources import plugins
+
+    assert list(plugins.parts(np.array([5, 9, 0, 1, 30, 2]), 10, 10)) == [(0, 1), (1, 4), (4, 5), (5, 6)] and list(plugins.parts(np.zeros(5), 2)) == [(0, 2), (2, 4), (4, 5)]
+    size = lambda texts: [str(sum(map(len, texts)))] * len(texts)
+    rows = spark.range(40).coalesce(1).select("id", F.repeat(F.lit("abcdefghij"), F.lit(20_000)).alias("t"))
+    got = [int(r.n) for r in rows.select(plugins.Plugin("answer", size, 1_000).column(F.col("t")).alias("n")).collect()]
+    assert len(got) == 40 and max(got) <= plugins.ROOM
+    tokens = plugins.Plugin("tokens", lambda texts: [[{"word": t, "tag": "NN"}] for t in texts], 7)
+    frame = spark.range(50).coalesce(1).select(F.col("id").cast("string").alias("t"))
+    assert all(r.t == r.w[0].word for r in frame.select("t", tokens.column(F.col("t")).alias("w")).collect())
