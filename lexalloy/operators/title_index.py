@@ -1,21 +1,27 @@
-"""Near-duplicate titles against all history: a stored index of title segments that each batch asks and extends.
+"""Near-duplicate titles against all history: a stored index of kept titles that each batch asks and extends.
 
 The rule is sequential: a title goes where the matcher's ratio with any kept earlier title reaches the threshold. A ratio
-2 m / (a + b) >= t leaves at most (1 - t)(a + b) characters of both titles unmatched. A kept title of length b is cut into one more
-segment than the characters that any title so alike to it can leave unmatched, so one segment at least stands whole in the other title, and
-not far from its place: what moves it is unmatched too. Segments are stored with their places; a batch asks with its
-substrings of the segments' lengths, and only pairs that pass the bounds on lengths, places and letters meet the matcher.
+2 m / (a + b) >= t means that m characters of both titles match, in at most a + b - 2 m + 1 runs. So two such titles have at least m
+letters in common, whatever their places, and at least m less two a run of their triples. ``compared`` counts common letters of all pairs of titles
+of fitting lengths, block by block (a few machine operations a pair, no shuffle of pairs), common triples of what is left, and only what
+passes both meets the matcher. Letters and triples are counted in buckets, which can only add to what two titles have in common, so no pair is lost.
 
-The index only grows by kept titles, so a batch costs its own titles and what they meet. It is Parquet, appended once a batch, when
-decisions are already stored; a batch that is added again is decided again (its kept titles are found in the index as duplicates).
+``met`` finds the same pairs by a join on segments: a title is cut into one more segment than the characters that any title so alike can leave
+unmatched. It suits few or very different titles; where titles share their syllables, short segments are everywhere.
+
+The index only grows by kept titles. It is Parquet, appended once a batch, when decisions are already stored; a batch that is added again
+is decided again (its kept titles are found in the index as duplicates). The work of a batch grows with its titles times those kept.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +30,10 @@ from ..functions.text import let
 from ..sources.files import stored
 from .dedupe import greedy, normalised
 
-_INDEX = T.StructType([T.StructField(n, T.StringType() if n in ("t", "seg") else T.LongType()) for n in ("o", "t", "n", "at", "seg")])
+_INDEX = T.StructType([T.StructField("o", T.LongType()), T.StructField("t", T.StringType())])
+
+#: Titles of a block at most, pairs compared at once, buckets of letters and of triples.
+BLOCK, AT_ONCE, LETTERS, TRIPLES = 8_192, 1 << 19, 32, 256
 
 
 def _sizes(length: Column, threshold: float) -> tuple[Column, Column]:
@@ -76,6 +85,88 @@ def met(asking: DataFrame, index: DataFrame, threshold: float, earlier: bool = F
     return pairs.withColumn("ratio", ratio("new", "seen")).filter(F.col("ratio") >= threshold).select("later", "earlier", "ratio")
 
 
+def signatures(titles: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, and how many letters and triples of each title fall into each bucket."""
+    sizes = np.array([len(t) for t in titles], np.int64)
+    code = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(titles)), sizes)
+    kind = np.uint8 if sizes.max(initial=0) < 256 else np.uint32
+    counted = lambda rows, keys, n: np.bincount(rows * n + keys % n, minlength=len(titles) * n).reshape(-1, n).astype(kind)
+    whole = row[2:] == row[:-2]
+    triples = (code[:-2] * 1_000_003 + code[1:-1] * 8_191 + code[2:] * 31)[whole]
+    return sizes, counted(row, code, LETTERS), counted(row[2:][whole], triples ^ (triples >> 9), TRIPLES)
+
+
+def candidates(new: tuple[np.ndarray, ...], seen: tuple[np.ndarray, ...], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of titles (by their signatures, lengths rising) that can be as alike as the threshold."""
+    (n, letters, triples), (m, others, their) = new, seen
+    across = np.ascontiguousarray(others.T)
+    wide = np.promote_types(letters.dtype, others.dtype)
+    for size in np.unique(n):
+        low, high = np.searchsorted(m, [np.ceil(size * threshold / (2 - threshold) - 1e-9), np.floor(size * (2 - threshold) / threshold + 1e-9) + 1])
+        if low == high:
+            continue
+        need = np.ceil(threshold * (size + m[low:high]) / 2 - 1e-9)
+        first, last = np.searchsorted(n, [size, size + 1])
+        step = max(1, AT_ONCE // (high - low))
+        for at in range(first, last, step):
+            part = letters[at : min(at + step, last)]
+            both = np.zeros((len(part), high - low), wide)
+            for k in range(LETTERS):
+                if part[:, k].any():
+                    both += np.minimum(part[:, k, None], across[k, low:high])
+            i, j = np.nonzero(both >= need.astype(wide))
+            for x in range(0, len(i), 1 << 15):
+                a, b = i[x : x + (1 << 15)] + at, j[x : x + (1 << 15)] + low
+                total = size + m[b]
+                least = 5 * np.ceil(threshold * total / 2 - 1e-9) - 2 * total - 2
+                fits = np.minimum(triples[a], their[b]).sum(axis=1, dtype=np.int64) >= least
+                yield a[fits], b[fits]
+
+
+def blocks(titles: DataFrame) -> DataFrame:
+    """Titles (o, t) in blocks of about BLOCK or, of few titles, a sixteenth of them: orders and signatures as bytes, by rising length. Very long titles have blocks of their own."""
+    size = min(BLOCK, max(256, titles.count() // 16 + 1))
+    count = titles.count() // size + 1
+
+    def packed(group: pa.Table) -> pa.Table:
+        texts = group.column("t").to_pylist()
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        sizes, letters, triples = signatures([texts[i] for i in order])
+        data = [group.column("o").to_numpy()[order], sizes, letters, triples]
+        return pa.table({"block": group.column("block").slice(0, 1), "kind": [letters.dtype.str], **{k: pa.array([x.tobytes()], pa.binary()) for k, x in zip("onlp", data, strict=True)}})
+
+    dealt = titles.select("o", "t", (F.pmod(F.xxhash64("t"), F.lit(count)) * 2 + (F.length("t") > 255).cast("long")).alias("block"))
+    made = stored(dealt.groupBy("block").applyInArrow(packed, "block long, kind string, o binary, n binary, l binary, p binary"), "title_blocks")
+    return made.repartitionById(16, F.pmod("block", F.lit(16)).cast("int"))
+
+
+def compared(asking: DataFrame, seen: DataFrame, threshold: float, earlier: bool = False) -> DataFrame:
+    """(later, earlier, ratio) of pairs of titles (o, t; not empty, o once a side) at least as alike as the threshold. earlier: only with those seen that come before (o)."""
+    a, b = (blocks(x).select(*[F.col(c).alias(f"{c}{i}") for c in ("block", "kind", "o", "n", "l", "p")]) for i, x in enumerate((asking, seen)))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                held = [{c: batch.column(f"{c}{i}")[row] for c in ("kind", "o", "n", "l", "p")} for i in (0, 1)]
+                read = lambda x, c, kind: np.frombuffer(x[c].as_buffer(), kind)
+                (o, new), (k, old) = ((read(x, "o", np.int64), (read(x, "n", np.int64), read(x, "l", x["kind"].as_py()).reshape(-1, LETTERS), read(x, "p", x["kind"].as_py()).reshape(-1, TRIPLES))) for x in held)
+                for i, j in candidates(new, old, threshold):
+                    later, before = o[i], k[j]
+                    asked = before < later if earlier else np.ones(len(i), bool)
+                    if asked.any():
+                        yield pa.RecordBatch.from_pydict({"later": later[asked], "earlier": before[asked]})
+
+    found = a.crossJoin(b).mapInArrow(pairs, "later long, earlier long")
+    texts = found.join(asking.select(F.col("o").alias("later"), F.col("t").alias("new")), "later").join(seen.select(F.col("o").alias("earlier"), F.col("t").alias("seen")), "earlier")
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(new: pd.Series, seen: pd.Series) -> pd.Series:
+        return pd.Series([alike(x, y, threshold) for x, y in zip(new, seen, strict=True)], dtype=float)
+
+    return texts.withColumn("ratio", ratio("new", "seen")).filter(F.col("ratio") >= threshold).select("later", "earlier", "ratio")
+
+
 class TitleIndex:
     """Kept titles under a path that driver and executors share."""
 
@@ -83,7 +174,7 @@ class TitleIndex:
         self.spark, self.path, self.threshold = spark, path, threshold
 
     def index(self) -> DataFrame:
-        """Segments of all kept titles; empty before the first batch."""
+        """All kept titles (o, t); empty before the first batch."""
         place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         there = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
         return self.spark.read.schema(_INDEX).parquet(self.path) if there else self.spark.createDataFrame([], _INDEX)
@@ -92,12 +183,12 @@ class TitleIndex:
         """A row a row of the batch: order (a unique long; earlier rows come first), kept, and duplicate_of (the first kept title, by order, that it is too
         alike to). Blank titles are kept and never compared. Titles that are kept enter the index."""
         rows = stored(batch.select(F.col(order).cast("long").alias("o"), normalised(F.col(title_col)).alias("t")), "title_batch")
-        firsts = rows.filter("t <> ''").groupBy("t").agg(F.min("o").alias("o"))
+        firsts = stored(rows.filter("t <> ''").groupBy("t").agg(F.min("o").alias("o")), "title_firsts")
         before = self.index()
-        known = met(probes(firsts, self.threshold), before, self.threshold).groupBy("later").agg(F.min("earlier").alias("earlier"))
+        known = compared(firsts, before, self.threshold).groupBy("later").agg(F.min("earlier").alias("earlier"))
         known = stored(known, "title_history")
         left = stored(firsts.join(known, F.col("o") == F.col("later"), "left_anti").select("o", "t"), "title_new")
-        own = stored(met(probes(left, self.threshold), segments(left, self.threshold), self.threshold, earlier=True), "title_pairs")
+        own = stored(compared(left, left, self.threshold, earlier=True), "title_pairs")
         gone = stored(greedy(own), "title_dropped")
         dropped = own.join(gone, F.col("later") == F.col("dropped"), "left_semi").join(gone.select(F.col("dropped").alias("earlier")), "earlier", "left_anti").groupBy("later").agg(F.min("earlier").alias("earlier"))
         decided = known.unionByName(dropped)
@@ -105,5 +196,5 @@ class TitleIndex:
         out = rows.join(by_title, "t", "left").select("o", F.coalesce("earlier", F.when(F.col("o") != F.col("first"), F.col("first"))).alias("duplicate_of"), "t")
         out = stored(out, "title_decisions")
         kept = out.filter("duplicate_of IS NULL AND t <> ''").select("o", "t")
-        segments(kept, self.threshold).select(*[F.col(f.name).cast(f.dataType) for f in _INDEX.fields]).write.mode("append").parquet(self.path)
+        kept.write.mode("append").parquet(self.path)
         return out.select(F.col("o").alias(order), F.col("duplicate_of").isNull().alias("kept"), "duplicate_of")

@@ -63,3 +63,22 @@ def test_thresholds(spark):
     for threshold in (0.7, 0.95, 1.0):
         got = {(r.later, r.earlier) for r in ti.met(ti.probes(frame, threshold), ti.segments(frame, threshold), threshold, earlier=True).collect()}
         assert got == {(i, j) for i in range(len(titles)) for j in range(i) if SequenceMatcher(None, titles[i], titles[j]).ratio() >= threshold}
+
+
+def test_blocks_find_the_pairs_of_all_pairs(spark):
+    titles = list(dict.fromkeys([*headlines(9, 150), "x" * 300, "x" * 299 + "y", "ab", "abc", "é" * 40, "é" * 39]))
+    frame = spark.createDataFrame(list(enumerate(titles)), "o long, t string")
+    for threshold in (0.7, 0.9, 1.0):
+        got = sorted((r.later, r.earlier) for r in ti.compared(frame, frame, threshold, earlier=True).collect())
+        assert got == sorted((i, j) for i in range(len(titles)) for j in range(i) if SequenceMatcher(None, titles[i], titles[j]).ratio() >= threshold)
+
+
+def test_titles_of_the_same_syllables_leave_few_candidates():
+    """Short segments of such titles are everywhere; letters and triples tell them apart."""
+    r = random.Random(4)
+    syllables = ["".join(r.choices("aeiourstnlh ", k=r.randint(2, 5))) for _ in range(60)]
+    titles = sorted(("".join(r.choices(syllables, k=45))[:80] for _ in range(2_000)), key=len)
+    titles.insert(1_000, titles[7][:40] + titles[7][41:] + "x")
+    found = [(i, j) for a, b in ti.candidates(ti.signatures(titles), ti.signatures(titles), 0.9) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i != j]
+    assert {(7, 1_000), (1_000, 7)} <= set(found)
+    assert len(found) < 2_000 * 2_000 / 100
