@@ -130,12 +130,15 @@ def tf_idf(docs: DataFrame, id_col: str, text_col: str, pattern: str = r"[a-zA-Z
 def vocabulary_near(text: Column, names: Sequence[str], categories: Mapping[str, Sequence[str]], reach: int = 15) -> dict[str, Column]:
     """n_near_{category}: how many distinct words of the category stand at most reach words from a one-word name."""
 
-    def near(words: Column, vocabulary: Sequence[str]) -> Column:
-        places = places_of(words, names)
+    def near(words: Column, places: Column, vocabulary: Sequence[str]) -> Column:
         close = F.filter(words, lambda w, i: w.isin([v.lower() for v in vocabulary]) & F.exists(places, lambda p: F.abs(p - i) <= reach))
         return F.size(F.array_distinct(close))
 
-    return {f"n_near_{name}": let(bare_words(text), (lambda v: lambda w: near(w, v))(vocabulary)) for name, vocabulary in categories.items()}
+    def counted(words: Column) -> Column:  # places are found once a text, not once a word
+        return let(places_of(words, names), lambda places: F.struct(*[near(words, places, v).alias(f"n_near_{k}") for k, v in categories.items()]))
+
+    found = let(bare_words(text), counted)
+    return {f"n_near_{name}": found[f"n_near_{name}"] for name in categories}
 
 
 def brand_summary(brands: Column, problematic: Sequence[str]) -> dict[str, Column]:
