@@ -64,8 +64,10 @@ def audited(articles: DataFrame, rules: Sequence[AuditRule], title: str = "title
     reason of the first such rule, in the order given; each article once."""
     text = F.concat_ws("\n", F.col(title), F.substring(F.coalesce(F.col(content), F.lit("")), 1, head))
     found = F.array(*[F.when(F.array_contains(brands, r.brand) & text.rlike(f"(?i){r.pattern}"), F.struct(F.lit(r.brand).alias("brand"), F.lit(r.pattern).alias("pattern"), F.lit(r.reason).alias("reason"))) for r in rules])
-    first = F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
-    return articles.withColumn("_hit", first).filter("_hit is not null").select(*articles.columns, F.col("_hit.brand").alias("audit_brand"), F.col("_hit.pattern").alias("audit_pattern"), F.col("_hit.reason").alias("audit_reason"))
+    first = F.slice(F.filter(found, lambda x: x.isNotNull()), 1, 1)
+    # an outer generator, as a filter on the hit would be pushed down to the scan with all that brands are made of written out for each rule
+    hit = articles.select(*articles.columns, F.inline_outer(first).alias("audit_brand", "audit_pattern", "audit_reason"))
+    return hit.filter("audit_brand is not null")
 
 
 def rebranded(articles: DataFrame, found: Column, brands: str = "brands_mentioned") -> tuple[DataFrame, DataFrame]:

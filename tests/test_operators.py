@@ -148,3 +148,12 @@ def test_stream_keeps_first_of_all_history(spark, tmp_path):
     assert {r.article_id for r in spark.read.parquet(f"{tmp_path}/table").collect()} == {"0", "2"}
 
 
+
+
+def test_what_a_text_is_asked_for_is_made_once(spark):
+    """Places of names once a text, not once a word; brands of an article once, not once a rule."""
+    from lexalloy.plans import operator_queries
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(filter(" not in plan(operator_queries.fe_07_near(spark, "/root/testdata/sf0.001"))
+    assert plan(operator_queries.ra_14_audit(spark, "/root/testdata/sf0.001")).count("[^A-Za-z]+") == 1
