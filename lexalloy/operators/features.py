@@ -115,16 +115,7 @@ def tf_idf(docs: DataFrame, id_col: str, text_col: str, pattern: str = r"[a-zA-Z
     length 1. Terms in fewer than min_df documents or more than the share max_df are left out; the max_features most frequent ones stay."""
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(pattern), F.lit(0)), lambda w: ~w.isin(list(stop_words)) if stop_words else F.lit(True))
     pairs = lambda w: F.concat(w, F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull()))
-    checkpoint_dir(docs.sparkSession)
-    counts = docs.select(id_col, F.explode(let(words, pairs)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf")).checkpoint()  # read by the vocabulary and by the weights
-    n = docs.count()
-    terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-    kept = terms.orderBy(F.desc("cf"), "term").limit(max_features)  # the vocabulary's bound is the feature
-    weight = (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
-    few = max_features <= 200_000  # a larger vocabulary isn't broadcast
-    weighted = counts.join(F.broadcast(kept) if few else kept, "term").select(id_col, "term", weight.alias("w"))
-    norms = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return weighted_terms(docs, id_col, let(words, pairs), min_df, max_df, max_features)
 
 
 def vocabulary_near(text: Column, names: Sequence[str], categories: Mapping[str, Sequence[str]], reach: int = 15) -> dict[str, Column]:
@@ -190,16 +181,26 @@ def characters(text: Column, sizes: tuple[int, int] = (3, 5)) -> Column:
 
 
 def weighted_terms(docs: DataFrame, id_col: str, terms: Column, min_df: int = 2, max_df: float = 0.95, max_features: int = 10_000) -> DataFrame:
-    """(id, term, weight) as ``tf_idf`` weighs, of any array of terms."""
+    """(id, term, weight) as ``tf_idf`` weighs, of any array of terms.
+
+    Terms are counted over all documents first; only the most frequent ones are counted by document, twice as many as can stay, and more for as long as
+    too many of them are in too few or too many documents. So what is shuffled by document is the vocabulary's share, not each term once a document."""
     checkpoint_dir(docs.sparkSession)
-    counts = docs.select(id_col, F.explode(terms).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf")).checkpoint()
-    n = docs.count()
-    seen = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-    kept = seen.orderBy(F.desc("cf"), "term").limit(max_features)  # the vocabulary's bound is the feature
+    n, asked = docs.count(), 2 * max_features
+    seen = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("cf")).filter(F.col("cf") >= min_df)
+    while True:
+        first = seen.orderBy(F.desc("cf"), "term").limit(asked).checkpoint()  # bounded by the vocabulary's bound, which is the feature
+        few = (lambda df: F.broadcast(df)) if asked <= 400_000 else (lambda df: df)  # a larger vocabulary isn't broadcast
+        counts = docs.select(id_col, F.explode(terms).alias("term")).join(few(first.select("term")), "term").groupBy(id_col, "term").agg(F.count("*").alias("tf")).checkpoint()
+        df = counts.groupBy("term").agg(F.count("*").alias("df")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+        kept = df.join(few(first), "term").orderBy(F.desc("cf"), "term").limit(max_features).checkpoint()
+        if kept.count() == max_features or first.count() < asked:
+            break
+        asked *= 4
     weight = (1 + F.log("tf")) * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
-    weighted = counts.join(F.broadcast(kept) if max_features <= 200_000 else kept, "term").select(id_col, "term", weight.alias("w"))
-    norms = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    weighted = counts.filter(F.col(id_col).isNotNull()).join(few(kept), "term").select(id_col, "term", weight.alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return weighted.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
 def vectors(weights: DataFrame, id_col: str) -> DataFrame:

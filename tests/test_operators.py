@@ -3,7 +3,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from lexalloy.functions import text as tx
-from lexalloy.operators import dedupe, matching
+from lexalloy.operators import dedupe, features, matching
 from lexalloy.sources import files
 
 
@@ -157,3 +157,11 @@ def test_what_a_text_is_asked_for_is_made_once(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "exists(filter(" not in plan(operator_queries.fe_07_near(spark, "/root/testdata/sf0.001"))
     assert plan(operator_queries.ra_14_audit(spark, "/root/testdata/sf0.001")).count("[^A-Za-z]+") == 1
+
+
+def test_vocabulary_goes_on_beyond_terms_that_are_everywhere(spark):
+    """The most frequent terms are in all documents and fall out: the vocabulary is made of those behind them."""
+    rows = [(i, " ".join([f"all{c}" for c in "abcdefgh"] * 3 + [f"few{'xyz'[i % 3]}", "rare" + "abcdefghijkl"[i]])) for i in range(12)]
+    docs = spark.createDataFrame([*rows, (None, "fewx")], "id long, text string")
+    got = {(r.id, r.term): r.weight for r in features.weighted_terms(docs, "id", F.split("text", " "), max_df=0.8, max_features=2).collect()}
+    assert got == {(i, f"few{'xyz'[i % 3]}"): 1.0 for i in range(12) if i % 3 < 2}
