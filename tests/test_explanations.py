@@ -107,3 +107,12 @@ def test_combined_explanation(spark):
     got = {r.id: r for r in ex.explained(ex.word_importance(docs, score, samples=40), near, 0.5).collect()}
     assert got[1].prediction == "positive" and [n.neighbour for n in got[1].neighbours] == [8, 7] and got[1].words[0].word == "good"
     assert got[2].prediction == "negative" and got[2].probability > 0.9 and got[2].neighbours == []
+
+
+def test_words_travel_once_a_document(spark):
+    """Samples bring masks; a document's words go to its group once, not once a sample."""
+    seen = []
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five"), (3, "")], "id long, title string")
+    out = ex.word_importance(docs, lambda rows: seen.append(rows) or rows.withColumn("probability", F.length("title") / 20), "id", "title", samples=8)
+    assert "CASE WHEN (sample" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.id, r.word) for r in out.collect()} == {(1, "one"), (1, "two"), (1, "three"), (2, "four"), (2, "five")} and seen[0].count() == 24
