@@ -22,9 +22,12 @@ def let(value: Column, body) -> Column:
 # vocabulary
 
 def mentioned(text: Column, vocabulary: Sequence[str]) -> Column:
-    """Names of the vocabulary that stand in the text as whole words, in the vocabulary's order. One pattern a name, as an alternation would hide overlapping ones."""
-    hits = [F.when(F.lower(text).rlike(rf"(?U)\b{_escaped(name.lower())}\b"), F.lit(name)) for name in vocabulary]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    """Names of the vocabulary that stand in the text as whole words, in the vocabulary's order. One pattern a name, as an alternation would hide overlapping ones.
+    The text is put in lower case once, and a pattern looks only at texts that hold its name at all."""
+    def hit(lowered: Column, name: str) -> Column:
+        return F.when(F.contains(lowered, F.lit(name.lower())) & lowered.rlike(rf"(?U)\b{_escaped(name.lower())}\b"), F.lit(name))
+
+    return let(F.lower(text), lambda lowered: F.filter(F.array(*[hit(lowered, name) for name in vocabulary]), lambda x: x.isNotNull()))
 
 
 def confirmed(text: Column, expected: Column, aliases: Mapping[str, Sequence[str]]) -> Column:

@@ -46,7 +46,8 @@ def near_names(text: Column, names: Column, entities: Column, reach: int = 90) -
         return pd.Series([of(t, n, np.asarray(a, np.int64), np.asarray(b, np.int64)) for t, n, a, b in zip(texts, names, starts, ends, strict=True)])
 
     given = F.coalesce(entities, F.array().cast("array<struct<label:string,start:int,end:int,text:string>>"))
-    near = run(F.coalesce(text, F.lit("")), F.coalesce(names, F.array().cast("array<string>")), given["start"], given["end"])
+    asks = (F.size(names) > 0) & (F.size(given) > 0)  # other texts needn't travel
+    near = run(F.when(asks, F.coalesce(text, F.lit(""))).otherwise(F.lit("")), F.coalesce(names, F.array().cast("array<string>")), given["start"], given["end"])
     return F.zip_with(given, near, lambda e, n: F.struct(e.label.alias("label"), e.start.alias("start"), e.end.alias("end"), e.text.alias("text"), n.alias("near")))
 
 

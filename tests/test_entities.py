@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -142,3 +143,74 @@ def test_tags_leave_a_task_in_parts(spark):
     tokens = plugins.Plugin("tokens", lambda texts: [[{"word": t, "tag": "NN"}] for t in texts], 7)
     frame = spark.range(50).coalesce(1).select(F.col("id").cast("string").alias("t"))
     assert all(r.t == r.w[0].word for r in frame.select("t", tokens.column(F.col("t")).alias("w")).collect())
+
+
+def test_words_of_many_texts_are_those_of_the_pattern():
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab_é1٣-'’.,!?;  \n\t\x1c  İß😀\ud800") for _ in range(r.randint(0, 30))) for _ in range(400)] + [None, "", "a", "-", "\n"]
+    found = tagger.words_of(texts)
+    got: list[list[list[tuple]]] = [[] for _ in texts]
+    for word, start, end, i, begins in zip(found.strings(), found.starts, found.ends, found.text, found.begins, strict=True):
+        if begins:
+            got[i].append([])
+        got[i][-1].append((word, start - found.bases[i], end - found.bases[i]))
+    for text, rows in zip(texts, got, strict=True):
+        want, last = [], None
+        for m in re.finditer(r"\w+(?:[-'’.,]\w+)*|[^\w\s]", text or ""):
+            if last is None or last[0] in ".!?" or "\n" in text[last.end() : m.start()]:
+                want.append([])
+            want[-1].append((m[0], m.start(), m.end()))
+            last = m
+        assert rows == want == list(tagger.sentences(text))
+
+
+def test_paths_are_the_same_in_blocks_of_any_size(monkeypatch):
+    r = np.random.default_rng(8)
+    m = tagger.Tagger(("A", "B", "C"), *(np.log(r.integers(1, 4, s)) for s in ((3,), (3, 3))), {}, np.log(r.integers(1, 4, (5, 3))))  # with many ties
+    sequences = [r.integers(0, 5, n) for n in r.integers(0, 40, 300)]
+
+    def walked(rows):
+        score, came = m.first + m.emitted[rows[0]], []
+        for row in rows[1:]:
+            ways = score[:, None] + m.following
+            came.append(ways.argmax(axis=0))
+            score = ways.max(axis=0) + m.emitted[row]
+        path = [int(score.argmax())]
+        for back in reversed(came):
+            path.append(int(back[path[-1]]))
+        return path[::-1]
+
+    want = [walked(s) if len(s) else [] for s in sequences]
+    for kept in (1, 500, tagger._KEPT):
+        monkeypatch.setattr(tagger, "_KEPT", kept)
+        assert [p.tolist() for p in m.best(sequences)] == want
+    assert m.best([]) == []
+
+
+def test_a_word_is_looked_up_once(monkeypatch):
+    asked, shapes = [], tagger.shapes
+    monkeypatch.setattr(tagger, "shapes", lambda w: asked.append(w) or shapes(w))
+    m = tagger.Tagger(("B-X", "O"), np.zeros(2), np.zeros((2, 2)), {"\tword": 0}, np.array([[0.0, -1.0], [-1.0, 0.0]]))
+    found = m.entities(["new words. " * 500] * 3 + [None, "New!"])
+    assert [len(f) for f in found] == [1000, 1000, 1000, 0, 0] and sorted(asked) == ["!", ".", "New", "new", "words"]
+    assert found[2][999] == {"label": "X", "start": 5493, "end": 5498, "text": "words"}
+
+
+def test_a_fit_makes_its_sentences_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf(tagger.SENTENCES)
+    def told(text):
+        made.add(1)
+        return [[{"word": w, "tag": "X" if w == "b" else "O"} for w in text.split()]]
+
+    m = tagger.fitted(spark.createDataFrame([("a b a",), ("b b",)], "t string").select(F.explode(told("t")).alias("s")), "s")
+    assert made.value == 2 and m.tags == ("O", "X") and np.exp(m.first).round(3).tolist() == [0.5, 0.5]
+
+
+def test_names_are_looked_for_in_one_lowered_text(spark):
+    from lexalloy.functions import text as tx
+
+    rows = spark.createDataFrame([("Nike's AIR max",), ("nikes, air-max",), ("ÉTÉ",), ("",), (None,)], "t string").select(tx.mentioned(F.col("t"), ["Nike", "air", "Max", "été"]).alias("m"))
+    assert [r.m for r in rows.collect()] == [["Nike", "air", "Max"], ["air", "Max"], ["été"], [], []]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
