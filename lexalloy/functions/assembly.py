@@ -5,10 +5,12 @@ Blank fields (null or empty) are left out unless a function says otherwise; ``br
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import assembled, cleaned, words_around
+from .text import assembled, cleaned, let, words_around
 
 
 def _filled(part: Column) -> Column:
@@ -26,16 +28,37 @@ def metadata_prefix(source: Column, categories: Column) -> Column:
     return F.when(words != "", F.concat(words, F.lit(" "))).otherwise(words)
 
 
-def training_text(title: Column, content: Column, brands: Column, source: Column | None = None, categories: Column | None = None) -> Column:
+class Cleaned(NamedTuple):
+    """Title (null where it is null), content and brands cleaned, and the cleaned words near the brands (null where there are no brands)."""
+
+    title: Column
+    content: Column
+    brands: Column
+    near: Column
+
+
+def cleaned_fields(title: Column, content: Column, brands: Column, reach: int = 10) -> Cleaned:
+    near = F.when(F.size(brands) > 0, let(words_around(content, brands, reach), lambda words: cleaned(words)))
+    return Cleaned(F.when(title.isNotNull(), cleaned(title)), cleaned(content), cleaned(_names(brands)), near)
+
+
+def with_cleaned(df: DataFrame, title: Column, content: Column, brands: Column, reach: int = 10) -> tuple[DataFrame, Cleaned]:
+    """df with columns of the cleaned fields, and these: given to several texts, each field is cleaned once a row and not once a text."""
+    made = {f"cleaned_{k}": c for k, c in cleaned_fields(title, content, brands, reach)._asdict().items()}
+    return df.withColumns(made), Cleaned(*map(F.col, made))
+
+
+def training_text(title: Column, content: Column, brands: Column, source: Column | None = None, categories: Column | None = None, clean: Cleaned | None = None) -> Column:
     """Source and categories as they are, then title (twice), brands and content cleaned. Only a null title is left out: other
-    fields keep their place, so that a blank one leaves its space."""
-    return F.concat_ws(" ", *_prefix(source, categories), *_body(title, content, brands))
+    fields keep their place, so that a blank one leaves its space. clean: the fields of ``with_cleaned``."""
+    return F.concat_ws(" ", *_prefix(source, categories), *_body(clean or cleaned_fields(title, content, brands)))
 
 
-def emphasised_text(title: Column, content: Column, brands: Column, reach: int = 10) -> Column:
-    """Title (twice), brands and content cleaned, then once more the words of the content that stand near one of its brands."""
-    near = cleaned(words_around(content, brands, reach))
-    return F.concat_ws(" ", *_body(title, content, brands), F.when(F.size(brands) > 0, _filled(near)))
+def emphasised_text(title: Column, content: Column, brands: Column, reach: int = 10, clean: Cleaned | None = None) -> Column:
+    """Title (twice), brands and content cleaned, then once more the words of the content that stand near one of its brands. clean: as above, which
+    then has its own reach."""
+    clean = clean or cleaned_fields(title, content, brands, reach)
+    return F.concat_ws(" ", *_body(clean), _filled(clean.near))
 
 
 def raw_text(title: Column, content: Column, brands: Column, source: Column | None = None, categories: Column | None = None) -> Column:
@@ -49,9 +72,9 @@ def labelled_text(title: Column, content: Column, brands: Column, source: Column
     return assembled(title, content, brands, source, categories)
 
 
-def weighted_text(title: Column, content: Column, brands: Column, source: Column, categories: Column) -> Column:
-    """As served with a weighted title: the prefix, title (twice), brands and content cleaned, all blanks left out."""
-    title, content, brands = (_filled(cleaned(x)) for x in (title, content, _names(brands)))
+def weighted_text(title: Column, content: Column, brands: Column, source: Column, categories: Column, clean: Cleaned | None = None) -> Column:
+    """As served with a weighted title: the prefix, title (twice), brands and content cleaned, all blanks left out. clean: as above."""
+    title, content, brands = map(_filled, (clean or cleaned_fields(title, content, brands))[:3])
     return F.concat_ws(" ", *_prefix(source, categories), title, title, brands, content)
 
 
@@ -64,6 +87,5 @@ def _prefix(source: Column | None, categories: Column | None) -> list[Column]:
     return [] if source is None and categories is None else [_filled(F.rtrim(_whole_prefix(source, categories)))]
 
 
-def _body(title: Column, content: Column, brands: Column) -> list[Column]:
-    headline = F.when(title.isNotNull(), cleaned(title))
-    return [headline, headline, cleaned(_names(brands)), cleaned(content)]
+def _body(clean: Cleaned) -> list[Column]:
+    return [clean.title, clean.title, clean.brands, clean.content]

@@ -98,21 +98,26 @@ def shuffled(items: Column, seed: int = 0) -> Column:
 
 # cleaning and assembling
 
-_URL, _MAIL = r"https?://\S+|www\.\S+", r"\S+@\S+"
+#: A run without white space is a mail address if a ``@`` stands inside it, as ``\S+@\S+`` has it; taken with the white space before it, a run is read
+#: once, whatever its length.
+_URL, _MAIL = r"https?://\S+|www\.\S+", r"(?:^|\s)\S[^\s@]*+@\S+"
+
+
+def _without_addresses(text: Column) -> Column:
+    """The lower-case text with a space for each url and mail address, and the white space before the latter; the empty text for null."""
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _URL, " ")
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(out, _MAIL, " ")).otherwise(out)
 
 
 def cleaned(text: Column, drop_short: bool = True, numbers: bool = False) -> Column:
-    """Lower-case letters, digits and single spaces, without urls and mail addresses; words under two characters go if drop_short."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _URL, " "), _MAIL, " ")
-    out = F.regexp_replace(out, r"[^a-zA-Z0-9\s]", " ")
-    out = F.regexp_replace(out, r"\d+", " ") if numbers else out
-    words = F.filter(F.split(out, r"\s+"), lambda w: F.length(w) > (1 if drop_short else 0))
-    return F.array_join(words, " ")
+    """Lower-case letters, digits and single spaces, without urls and mail addresses; words under two characters go if drop_short, digits (each
+    run as a space) if numbers."""
+    word = ("[a-zA-Z]" if numbers else "[a-zA-Z0-9]") + ("{2,}" if drop_short else "+")
+    return F.array_join(F.regexp_extract_all(_without_addresses(text), F.lit(word), F.lit(0)), " ")
 
 
 def cleaned_with_punctuation(text: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _URL, " "), _MAIL, " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"""(?U)[^\w\s.,!?;:\-'"()]""", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(_without_addresses(text), r"""(?U)[^\w\s.,!?;:\-'"()]""", " "), r"\s+", " "))
 
 
 def first_filled(*texts: Column) -> Column:
@@ -147,16 +152,18 @@ def words_around(text: Column, names: Sequence[str] | Column, reach: int) -> Col
     """The lower-case words at most reach away from a one-word name, names left out, in order. names: given ones, or a row's own (an array)."""
     if isinstance(names, Column):
         own = F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.lower(n))
-        is_name = lambda w: F.coalesce(F.array_contains(own, w), F.lit(False))
     else:
-        listed = [n.lower() for n in names]
-        is_name = lambda w: w.isin(listed)
+        own = F.array(*[F.lit(n.lower()) for n in names]).cast("array<string>")
 
-    def near(words: Column) -> Column:
+    def near(words: Column, own: Column) -> Column:
+        is_name = lambda w: F.coalesce(F.array_contains(own, w), F.lit(False))
         at = F.filter(F.transform(words, lambda w, i: F.when(is_name(w), i)), lambda i: i.isNotNull())
-        return let(at, lambda places: F.filter(words, lambda w, i: ~is_name(w) & F.exists(places, lambda p: F.abs(p - i) <= reach)))
+        # the windows' places, each once: they rise, as the windows do
+        places = F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(p - reach, F.lit(0)), F.least(p + reach, F.size(words) - 1)))))
+        return F.filter(F.transform(places, lambda i: F.get(words, i)), lambda w: ~is_name(w))
 
-    return F.array_join(let(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w+\b"), F.lit(0)), near), " ")
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w+\b"), F.lit(0))
+    return F.array_join(let(F.struct(words.alias("words"), own.alias("own")), lambda x: near(x.words, x.own)), " ")
 
 
 def sentences(text: Column) -> Column:

@@ -28,10 +28,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tx_09_assemblies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five ways a document's fields become one text, and the prefix alone."""
     text, names = F.col("text"), F.array(*map(F.lit, VOCABULARY))
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source", F.array("lang").alias("topics"), F.substring(F.get(F.split(text, "\n"), F.lit(0)), 1, 80).alias("title"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source", F.array("lang").alias("topics"), F.substring(F.substring_index(text, "\n", 1), 1, 80).alias("title"))
     docs = docs.withColumn("brands", F.array_intersect(names, tx.mentioned(text, VOCABULARY)))
     fields = [F.col(c) for c in ("title", "text", "brands", "source", "topics")]
-    made = {"training": assembly.training_text(*fields), "emphasised": assembly.emphasised_text(*fields[:3]), "raw": assembly.raw_text(*fields), "labelled": assembly.labelled_text(*fields), "weighted": assembly.weighted_text(*fields)}
+    docs, clean = assembly.with_cleaned(docs, *fields[:3])
+    made = {"training": assembly.training_text(*fields, clean=clean), "emphasised": assembly.emphasised_text(*fields[:3], clean=clean), "raw": assembly.raw_text(*fields), "labelled": assembly.labelled_text(*fields), "weighted": assembly.weighted_text(*fields, clean=clean)}
     return docs.select("doc_id", assembly.metadata_prefix(F.col("source"), F.col("topics")).alias("prefix"), *[F.md5(c).alias(k) for k, c in made.items()])
 
 

@@ -1,6 +1,7 @@
 """What is put together from several operators, by worked examples and plain versions."""
 
 import random
+import re
 from html.parser import HTMLParser
 from math import log
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lexalloy.functions import assembly, pages
 from lexalloy.functions import text as tx
 from lexalloy.operators import evaluation, features, feed, matching, models, training
+from lexalloy.plans import composition_queries
 from lexalloy.sources import runs
 
 FIELDS = "title string, content string, brands array<string>, source string, topics array<string>"
@@ -223,3 +225,38 @@ def test_feature_methods_from_configurations():
     for wrong in ({"method": "magic"}, {"colour": 1}, {"grams": "two"}, {"method": "numbers"}):
         with pytest.raises(ValueError):
             training.method_from(wrong)
+
+
+def test_addresses_go_as_their_pattern_says(spark):
+    r = random.Random(6)
+    texts = ["".join(r.choice("a1B@@. \n\té-") for _ in range(r.randint(0, 24))) for _ in range(300)] + ["@ a@ @a a@@ @@a x", "www.a@b c@d http://e@f g", None, "@" + "x" * 60_000 + " y zz"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {x.i: x for x in rows.select("i", tx.cleaned(F.col("t")).alias("a"), tx.cleaned(F.col("t"), False, True).alias("b"), tx.cleaned_with_punctuation(F.col("t")).alias("c")).collect()}
+    for i, text in enumerate(texts):
+        bare = re.sub(r"[^ \t\n]+@[^ \t\n]+" if len(text or "") < 1_000 else "$^", " ", re.sub(r"(https?://|www\.)[^ \t\n]+", " ", (text or "").lower()))
+        words = re.sub(r"[^a-z0-9\s]", " ", bare).split()
+        assert got[i].a == " ".join(w for w in words if len(w) > 1) and got[i].b == " ".join(re.sub(r"\d", " ", " ".join(words)).split())
+        assert got[i].c == re.sub(r"\s+", " ", bare.replace("@", " ")).strip(" ")
+
+
+def test_words_around_many_names_are_those_of_all_pairs(spark):
+    r = random.Random(7)
+    rows = [(i, " ".join(r.choice(["nike", "Puma", "a", "b", "c"] if i else ["nike"] * 9 + ["x"]) for _ in range(r.randint(0, 30) if i else 5_000)), r.choice([["Nike"], ["nike", "puma"], ["Puma", None], []]) if i else ["nike"]) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, t string, n array<string>")
+    got = {x.i: x for x in df.select("i", tx.words_around(F.col("t"), F.col("n"), 2).alias("own"), tx.words_around(F.col("t"), ["Puma", "nike"], 2).alias("given")).collect()}
+    for i, text, names in rows:
+        words = text.lower().split()
+        near = lambda own: " ".join(w for k, w in enumerate(words) if w not in own and any(v in own for v in words[max(0, k - 2) : k + 3]))  # noqa: E731, B023
+        assert (got[i].own, got[i].given) == (near([n.lower() for n in names if n]), near(["puma", "nike"]))
+
+
+def test_assemblies_clean_each_field_once(spark):
+    df = composition_queries.QUERIES["tx_09_assemblies"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # each stands in both branches of one CASE, and the text once more where words near names are looked for
+    assert [len(re.findall(rf"lower\(coalesce\({c}#\d+, \)\)", plan)) for c in ("title", "text")] == [2, 3]
+    fields = [F.col(c) for c in ("title", "content", "brands", "source", "topics")]
+    rows = spark.createDataFrame([("A Big Day!", "So nike came, with x@y.z new shoes", ["Nike"], "s", ["t"]), (None, None, None, None, None), ("", "text", [], "", [None])], FIELDS)
+    shared, clean = assembly.with_cleaned(rows, *fields[:3], reach=1)
+    pairs = [(assembly.training_text(*fields), assembly.training_text(*fields, clean=clean)), (assembly.emphasised_text(*fields[:3], reach=1), assembly.emphasised_text(*fields[:3], clean=clean)), (assembly.weighted_text(*fields), assembly.weighted_text(*fields, clean=clean))]
+    assert all(x.ok for x in shared.select(F.forall(F.array(*[a.eqNullSafe(b) for a, b in pairs]), lambda x: x).alias("ok")).collect())
