@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import checkpoint_dir
-from ..sources.plugins import Plugin, parts
+from ..sources.plugins import ROOM, Plugin, parts
 
 SENTENCES = "array<array<struct<word:string,tag:string>>>"
 _OUT, _NEVER = "O", -1e9
@@ -60,6 +60,17 @@ class Words:
     def strings(self) -> list[str]:
         return [self.joined[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
 
+    def arrow(self) -> pa.Array:
+        """The same strings, without a Python object each."""
+        codes = np.frombuffer(self.joined.encode("utf-32-le"), np.uint32)
+        edges = np.zeros(len(codes) + 1, np.int8)
+        edges[self.starts] += 1
+        edges[self.ends] -= 1
+        held = codes[np.cumsum(edges[:-1], dtype=np.int8).astype(bool)]
+        width = np.r_[0, np.cumsum(1 + (held >= 0x80) + (held >= 0x800) + (held >= 0x10000))]
+        places = width[np.r_[0, np.cumsum(self.ends - self.starts)]].astype(np.int32)
+        return pa.StringArray.from_buffers(len(self.starts), pa.py_buffer(places), pa.py_buffer(held.tobytes().decode("utf-32-le").encode()))
+
 
 def words_of(texts: Sequence[str | None]) -> Words:
     """Words are ``\\w+(?:[-'’.,]\\w+)*``, any other character but white space is a mark. A sentence ends at ``.``, ``!``, ``?`` or a line feed."""
@@ -97,23 +108,40 @@ def shapes(word: str) -> tuple[str, str]:
     return f"\t{kind} {word[-2:].lower()}", f"\t{kind}"
 
 
+@dataclass(frozen=True)
+class _Labels:
+    """Names of tags, and how the words of texts get theirs: from the first seed that matches there."""
+
+    names: list[str]
+    compiled: list[tuple[int, int, re.Pattern]]
+
+    @classmethod
+    def of(cls, seeds: Sequence[Seed], spans: bool, default: str) -> _Labels:
+        pairs = [(f"B-{s.tag}", f"I-{s.tag}") if spans else (s.tag, s.tag) for s in seeds]
+        names = list(dict.fromkeys([default, *itertools.chain.from_iterable(pairs)]))
+        return cls(names, [(names.index(a), names.index(b), re.compile(s.pattern)) for (a, b), s in zip(pairs, seeds, strict=True)])
+
+    def places(self, texts: Sequence[str | None], words: Words) -> list[int]:
+        """Each word's tag, by its place among the names."""
+        tags = [0] * len(words.starts)
+        for begin, inside, pattern in self.compiled:
+            matches = [[(base + m.start(), base + m.end()) for m in pattern.finditer(t or "")] for t, base in zip(texts, words.bases.tolist(), strict=True)]
+            spots = np.array(list(itertools.chain.from_iterable(matches)), np.int64).reshape(-1, 2)
+            for first, last in zip(np.searchsorted(words.ends, spots[:, 0], "right").tolist(), np.searchsorted(words.starts, spots[:, 1], "left").tolist(), strict=True):
+                if first < last and not any(tags[first:last]):
+                    tags[first:last] = [begin, *[inside] * (last - first - 1)]
+        return tags
+
+
 def labelled(text: Column, seeds: Sequence[Seed], spans: bool = True, default: str = _OUT) -> Column:
     """Sentences of words with tags. A word that overlaps a match bears the tag of the first seed that matches there, as ``B-`` at the match's
     first word and ``I-`` behind it where spans are tagged; else the default. Null and empty texts have no sentences."""
-    compiled = [(([f"B-{s.tag}", f"I-{s.tag}"] if spans else [s.tag, s.tag]), re.compile(s.pattern)) for s in seeds]
-    names = list(dict.fromkeys([default, *(t for pair, _ in compiled for t in pair)]))
+    labels = _Labels.of(seeds, spans, default)
 
     def of(texts: list[str | None]) -> pa.Array:
         words = words_of(texts)
-        tags = [0] * len(words.starts)  # places of names
-        for (first_tag, further), pattern in compiled:
-            begin, inside = names.index(first_tag), names.index(further)
-            matches = [[(base + m.start(), base + m.end()) for m in pattern.finditer(t or "")] for t, base in zip(texts, words.bases.tolist(), strict=True)]
-            spots = np.array(list(itertools.chain.from_iterable(matches)), np.int64).reshape(-1, 2)
-            for first, last in zip(np.searchsorted(words.ends, spots[:, 0], "right").tolist(), np.searchsorted(words.starts, spots[:, 1], "left").tolist(), strict=True):
-                if first < last and not any(tags[first:last]):
-                    tags[first:last] = [begin, *[inside] * (last - first - 1)]
-        rows = pa.StructArray.from_arrays([pa.array(words.strings(), pa.string()), pa.array(names, pa.string()).take(pa.array(tags, pa.int32()))], names=["word", "tag"])
+        tags = labels.places(texts, words)
+        rows = pa.StructArray.from_arrays([pa.array(words.strings(), pa.string()), pa.array(labels.names, pa.string()).take(pa.array(tags, pa.int32()))], names=["word", "tag"])
         ends = np.searchsorted(words.text[words.begins], np.arange(len(texts)), "right")
         found = pa.ListArray.from_arrays(pa.array(np.r_[np.flatnonzero(words.begins), len(tags)], pa.int32()), rows)
         return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), found)
@@ -121,12 +149,16 @@ def labelled(text: Column, seeds: Sequence[Seed], spans: bool = True, default: s
     @F.arrow_udf(SENTENCES)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            for at, to in parts(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), 1_000):
+            for at, to in _portions(texts):
                 yield of(texts.slice(at, to - at).to_pylist())
 
     return run(text)
 
 
+def _portions(texts: pa.Array, most: int = 1_000, room: int = ROOM) -> Iterator[tuple[int, int]]:
+    return parts(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), most, room)
+
+
 @dataclass(frozen=True)
 class Tagger:
     """Logarithms: of the first tag, of the next tag for a tag, of a word or shape (by row) for a tag. The last row is that of anything else."""
@@ -221,10 +253,37 @@ def fitted(tagged: DataFrame, sentence_col: str, max_words: int = 50_000, least:
     One aggregation over words with their tags and the tags before them. The model holds the ``max_words`` most frequent lower-case words that stand
     ``least`` times or more (ties by the word), so it is bounded by that parameter and the number of tags, of which there may be 255. Other
     words go by the distinct words of their shape. ``I-x`` follows only ``B-x`` and ``I-x``. No sentence at all: every word is ``O``."""
-    checkpoint_dir(tagged.sparkSession)
     s = F.col(sentence_col)
     pairs = F.transform(s, lambda w, i: F.struct(F.when(i > 0, F.get(s, i - 1)["tag"]).alias("before"), w.word.alias("word"), w.tag.alias("tag")))
-    cells = tagged.select(F.explode(pairs).alias("p")).groupBy("p.before", "p.word", "p.tag").agg(F.count("*").alias("n")).checkpoint()  # the sentences are made once
+    return _counted(tagged.select(F.explode(pairs).alias("p")).select("p.*", F.lit(1).cast("long").alias("n")), max_words, least, smoothing)
+
+
+def fitted_by_seeds(docs: DataFrame, text_col: str, seeds: Sequence[Seed], spans: bool = True, default: str = _OUT, max_words: int = 50_000, least: int = 2, smoothing: float = 0.1) -> Tagger:
+    """``fitted`` on the sentences that ``labelled`` makes of all texts. They aren't made: a task counts the words, tags and tags before of many texts in Arrow,
+    and only these counts leave it."""
+    labels = _Labels.of(seeds, spans, default)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, names = len(labels.names), pa.array(labels.names, pa.string())
+        for batch in batches:
+            for at, to in _portions(batch.column(0), 1 << 14, 2 * ROOM):
+                texts = batch.column(0).slice(at, to - at).to_pylist()
+                words = words_of(texts)
+                if not len(words.starts):
+                    continue
+                held, tags = words.arrow().dictionary_encode(), np.array(labels.places(texts, words), np.int64)
+                before = np.where(words.begins, k, np.roll(tags, 1))
+                cells, n = np.unique((held.indices.to_numpy().astype(np.int64) * k + tags) * (k + 1) + before, return_counts=True)
+                before, tags, word = cells % (k + 1), cells // (k + 1) % k, cells // ((k + 1) * k)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(before, mask=before == k)), held.dictionary.take(pa.array(word)), names.take(pa.array(tags)), pa.array(n, pa.int64())], names=["before", "word", "tag", "n"])
+
+    return _counted(docs.select(text_col).mapInArrow(count, "before string, word string, tag string, n long"), max_words, least, smoothing)
+
+
+def _counted(found: DataFrame, max_words: int, least: int, smoothing: float) -> Tagger:
+    """A tagger from counts (n) of words with their tags and the tags before them; equal ones may stand in several rows."""
+    checkpoint_dir(found.sparkSession)
+    cells = found.groupBy("before", "word", "tag").agg(F.sum("n").alias("n")).checkpoint()  # the texts are read once
     counts = cells.groupBy("word", "tag").agg(F.sum("n").alias("n"))
     steps = cells.groupBy("before", "tag").agg(F.sum("n").alias("n")).collect()
 

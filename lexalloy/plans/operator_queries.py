@@ -280,11 +280,9 @@ _ENTITIES = (tagger.Seed("PERCENT", r"\d+(?:\.\d+)?\s?%"), tagger.Seed("MONEY",
 _SPEECH = (tagger.Seed("VBG", r"\b\w+ing\b"), tagger.Seed("VBD", r"\b\w+ed\b"), tagger.Seed("NN", r"\b\w+(?:tion|ment|keit|ción)\b"), tagger.Seed("JJ", r"\b\w+(?:al|ive|ous|lich)\b"))
 
 
-def _tagger(docs: DataFrame, seeds: tuple[tagger.Seed, ...], spans: bool, max_texts: int = 5_000) -> tagger.Tagger:
-    """Fitted on about ``max_texts`` documents by a hash of the id, all of them where there are fewer."""
-    share = min(1.0, max_texts / max(docs.count(), 1))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return tagger.fitted(sample.select(F.explode(tagger.labelled(F.col("text"), seeds, spans, "O" if spans else "XX")).alias("s")), "s")
+def _tagger(docs: DataFrame, seeds: tuple[tagger.Seed, ...], spans: bool) -> tagger.Tagger:
+    """Counted from all documents."""
+    return tagger.fitted_by_seeds(docs, "text", seeds, spans, "O" if spans else "XX")
 
 
 def _with_entities(docs: DataFrame, names) -> DataFrame:

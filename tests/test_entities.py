@@ -214,3 +214,19 @@ def test_names_are_looked_for_in_one_lowered_text(spark):
     rows = spark.createDataFrame([("Nike's AIR max",), ("nikes, air-max",), ("ÉTÉ",), ("",), (None,)], "t string").select(tx.mentioned(F.col("t"), ["Nike", "air", "Max", "été"]).alias("m"))
     assert [r.m for r in rows.collect()] == [["Nike", "air", "Max"], ["air", "Max"], ["été"], [], []]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
+def test_a_fit_by_seeds_counts_every_text_as_its_sentences_do(spark):
+    r = random.Random(6)
+    texts = ["".join(r.choice(["at ", "Elm", "Inc ", "$ 5", "é1٣", "-", ". ", "\n", "İß ", "😀", "w"]) for _ in range(r.randint(0, 30))) for _ in range(300)] + [None, "", " ", "\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    for spans, default in ((True, "O"), (False, "XX")):
+        got = tagger.fitted_by_seeds(rows, "t", SEEDS, spans, default)
+        want = tagger.fitted(rows.select(F.explode(tagger.labelled(F.col("t"), SEEDS, spans, default)).alias("s")), "s")
+        assert (got.tags, got.rows) == (want.tags, want.rows) and len(got.tags) > 2
+        assert all(np.array_equal(a, b) for a, b in ((got.first, want.first), (got.following, want.following), (got.emitted, want.emitted)))
+
+
+def test_taggers_of_queries_are_counted_from_all_documents(spark):
+    docs = spark.range(12_000).select(F.concat(F.lit("w"), "id", F.lit(" w"), "id").alias("text"), F.col("id").alias("doc_id"))
+    assert sum(k.startswith("w") for k in operator_queries._tagger(docs, SEEDS, True).rows) == 12_000
