@@ -1,6 +1,8 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
+
 from lexalloy.operators import title_index as ti
 
 
@@ -82,3 +84,44 @@ def test_titles_of_the_same_syllables_leave_few_candidates():
     found = [(i, j) for a, b in ti.candidates(ti.signatures(titles), ti.signatures(titles), 0.9) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i != j]
     assert {(7, 1_000), (1_000, 7)} <= set(found)
     assert len(found) < 2_000 * 2_000 / 100
+
+
+def test_titles_of_the_same_words_in_another_order_are_no_candidates():
+    """Letters and triples of such titles agree; their order doesn't."""
+    r = random.Random(7)
+    words = [c * 8 for c in "abcdefgh"]
+    titles = list(dict.fromkeys(" ".join(r.sample(words, 8)) for _ in range(300)))
+    titles += ["".join(titles[0]) + "x", titles[1][1:]]
+    titles.sort(key=len)
+    found = {(i, j) for a, b in ti.candidates(ti.signatures(titles), ti.signatures(titles), 0.9) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {(i, j) for i, t in enumerate(titles) for j, s in enumerate(titles) if SequenceMatcher(None, t, s).ratio() >= 0.9}
+    assert want <= found and len(found) < 2 * len(want)
+
+
+def test_longest_common_subsequences():
+    r = random.Random(3)
+    titles = sorted(("".join(r.choices("abc é", k=r.randint(0, 150))) for _ in range(120)), key=len)
+    spelt = ti.signatures(titles)[3]
+    i, j = (np.array(r.choices(range(120), k=400)) for _ in range(2))
+
+    def walked(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for k, y in enumerate(b, 1):
+                row.append(last[k - 1] + 1 if x == y else max(last[k], row[-1]))
+        return row[-1]
+
+    assert ti.longest_common(spelt[i], spelt[j]).tolist() == [walked(titles[x], titles[y]) for x, y in zip(i, j, strict=True)]
+
+
+def test_own_titles_meet_once_over_many_blocks(spark, monkeypatch):
+    titles = list(dict.fromkeys(headlines(12, 900)))
+    frame = spark.createDataFrame(list(enumerate(titles)), "o long, t string")
+    made = []
+    blocks = ti.blocks
+    monkeypatch.setattr(ti, "blocks", lambda x: made.append(blocks(x)) or made[-1])
+    got = sorted((r.later, r.earlier) for r in ti.compared(frame, frame, 0.9, earlier=True).collect())
+    assert len(made) == 1 and made[0].count() > 2
+    assert got == sorted((i, j) for i in range(len(titles)) for j in range(i) if SequenceMatcher(None, titles[i], titles[j]).ratio() >= 0.9)
