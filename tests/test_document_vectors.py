@@ -1,7 +1,10 @@
+import pickle
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexalloy.operators import document_vectors as dv
 
@@ -114,3 +117,41 @@ def test_texts_take_steps_together_and_each_as_if_alone(window, monkeypatch):
         mine, plain = [(model.inner.copy(), model.outer.copy()) for _ in range(2)]
         assert np.allclose(model.fitted(own, i, 2, *mine, True), walked(model, own, i, 2, *plain, True), atol=1e-12)
         assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(mine, plain, strict=True))
+
+
+def test_learning_prepares_many_texts_at_once_and_each_as_if_alone(monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(dv, "CHUNK", 64)
+    model = dv.Paragraphs(tuple("abcdefgh"), rng.standard_normal((8, 5)), rng.standard_normal((8, 5)), np.cumsum(np.full(8, 1 / 8))[:-1], dv.Settings(size=5, window=2, negatives=3))
+    sizes = np.array([0, 1, 3, 150, 64, 65, 0, 7] + [4] * 60)
+    words, keys, ends = rng.integers(0, 8, sizes.sum()), np.arange(len(sizes)) * 7, np.cumsum(sizes)
+    asked, around = [], dv.Paragraphs._around
+    monkeypatch.setattr(dv.Paragraphs, "_around", lambda *a: asked.append(1) or around(*a))
+    own, alone = [(model.inner.copy(), model.outer.copy()) for _ in range(2)]
+    got = model.learned(words, sizes, keys, 2, *own)
+    assert len(asked) < len(sizes)
+    for i, end in enumerate(ends):
+        assert np.array_equal(got[i], model.fitted(words[end - sizes[i] : end], int(keys[i]), 2, *alone, True))
+    assert all(np.array_equal(a, b) for a, b in zip(own, alone, strict=True))
+    asked.clear()
+    model.inferred(words[:40], np.array([40]), np.array([1]), 4, model.inner, model.outer)
+    assert len(asked) == 1  # once, not once a pass
+
+
+def test_matrices_of_a_broadcast_are_added_to_as_fast_as_others():
+    """numpy compares types by identity there, and a pickled array brings its own."""
+    sent = pickle.loads(pickle.dumps(np.ones((3, 2))))
+    assert sent.copy().dtype is not np.dtype(float) and dv._own(sent).dtype is np.dtype(float) and (dv._own(sent) == sent).all()
+
+
+def test_draws_and_words_are_those_of_a_search_and_a_split(spark):
+    rng = np.random.default_rng(1)
+    weight = np.r_[rng.random(3_000) ** 8, 1e-9, 1e-9, 5.0]
+    drawn = np.cumsum(weight / weight.sum())[:-1]
+    model = dv.Paragraphs((), np.zeros((0, 2)), np.zeros((0, 2)), drawn, dv.Settings())
+    draws = np.r_[rng.random(50_000), drawn[drawn < 1], np.arange(65_536) / 65_536, 0.0, np.nextafter(1, 0)].reshape(-1, 1)
+    assert np.array_equal(model._words_at(draws), np.searchsorted(drawn, draws, side="right"))
+    r = random.Random(2)
+    texts = ["".join(r.choice(["a", "é", "b ", " ", "\t", "\n", "\x0b", "\f", "\r", "\x1c", "\x85", "\xa0", " ", "😀"]) for _ in range(r.randint(0, 20))) for _ in range(300)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.filter(F.split(F.coalesce("t", F.lit("")), r"\s+"), lambda w: w != "").alias("w")).collect()
+    assert [[w for w in found if w] for found in dv.tokens(pa.array(texts)).to_pylist()] == [r.w for r in rows]
